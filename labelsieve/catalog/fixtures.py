@@ -24,7 +24,7 @@ TRAFFIC = {
     "mqtt.topic": "CASE WHEN event_type = 'error' THEN 'probe' ELSE 'sensor' END",
     "tcp.len": "'' || (user_id % 6)",
     "tcp.flags": "CASE WHEN event_type = 'error' THEN '' || (user_id % 9 + 2) ELSE '' || (user_id % 9) END",
-    "mbtcp.len": "CASE WHEN user_id % 11 = 0 THEN '0x10' WHEN event_type = 'view' THEN '' || round(value / 100) ELSE '1' END",
+    "mbtcp.len": "CASE WHEN user_id % 11 = 0 THEN '0x10' WHEN event_type = 'view' THEN '' || least(round(value / 100), CAST(3 AS DOUBLE)) ELSE '1' END",
     "mbtcp.unit_id": "nullif('' || (user_id % 13), '12')",
     "Attack_label": "CASE WHEN event_type = 'error' THEN '1' ELSE '0' END",
     "Attack_type": "CASE WHEN event_type <> 'error' THEN 'Normal' WHEN user_id % 2 = 0 THEN 'DDoS_HTTP' ELSE 'XSS' END",

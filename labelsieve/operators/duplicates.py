@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from labelsieve.functions.columns import col
 from labelsieve.functions.hashing import fingerprint
 
 
@@ -41,6 +42,14 @@ def duplicate_statistics(df: DataFrame, label_columns) -> DataFrame:
     )
 
 
+def drop_null_rows(df: DataFrame) -> DataFrame:
+    """Rows without any null."""
+    filled = F.lit(True)
+    for name in df.columns:
+        filled = filled & col(name).isNotNull()
+    return df.where(filled)
+
+
 def deduplicate(df: DataFrame) -> DataFrame:
     """One row of each set of equal rows; copies are merged before the shuffle."""
     return df.dropDuplicates()

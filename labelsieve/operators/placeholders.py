@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelsieve.constants import ABSENT, IDENTIFIER_COLUMNS, PLACEHOLDERS
-from labelsieve.functions.columns import col, present, quoted, strip
+from labelsieve.functions.columns import col, present, strip
 
 
 def check_placeholders(tokens, sentinel: str) -> None:
@@ -72,5 +72,5 @@ def canonicalise_report(df: DataFrame, columns, *, tokens=PLACEHOLDERS, sentinel
 
 def standardise_capture(df: DataFrame) -> DataFrame:
     """Drop identifiers, then canonicalise every remaining column."""
-    kept = df.drop(*[quoted(name) for name in present(df, IDENTIFIER_COLUMNS)])
+    kept = df.drop(*IDENTIFIER_COLUMNS)
     return canonicalise(kept, kept.columns)
