@@ -18,7 +18,7 @@ from labelsieve.operators.contingency import (
     with_zero_verdict,
     zero_aggregates,
 )
-from labelsieve.operators.splits import held_out
+from labelsieve.operators.splits import hold_out
 
 REPORT = [
     "position", "column", "n_rows", "n_tokens", "pure_normal_tokens", "pure_attack_tokens",
@@ -56,14 +56,17 @@ def held_out_accuracy() -> Column:
 
 
 def split_contingency(df, columns, label, key, *, test_size=TEST_SIZE, seed=RANDOM_SEED, missing="<NA>"):
-    """Contingency counts with the held-out side of a stratified split."""
-    test = held_out(df, key, label, test_size=test_size, seed=seed)
-    return contingency(df, columns, label, test=test, missing=missing)
+    """Contingency counts with the held-out side of a stratified split.
+
+    Counting classes for the split also finds labels other than 0 and 1, which
+    are an error.
+    """
+    split = hold_out(df, "held_out_", key, label, test_size=test_size, seed=seed)
+    return contingency(split, columns, label, test=F.col("held_out_"), missing=missing)
 
 
 def single_column_accuracy(df, columns, label, key, *, test_size=TEST_SIZE, seed=RANDOM_SEED) -> DataFrame:
     columns = present(df, columns)
-    check_binary_label(df, label)
     counts = split_contingency(df, columns, label, key, test_size=test_size, seed=seed)
     sums = counts.groupBy("column").agg(*accuracy_aggregates())
     return sums.select("column", held_out_accuracy().alias("single_column_accuracy"))
@@ -80,8 +83,10 @@ def audit_columns(
     columns = present(df, columns)
     if not columns:
         raise ValueError("none of the columns to audit is present")
-    check_binary_label(df, label)
+    if label not in df.columns:
+        raise KeyError(f"label column {label!r} is missing")
     if key is None:
+        check_binary_label(df, label)
         counts = contingency(df, columns, label)
         extra = []
         accuracy = F.lit(None).cast("double")

@@ -25,10 +25,10 @@ def _is_attack() -> Column:
     return col(DEVICE_COLUMN).startswith(ATTACK_PREFIX)
 
 
-def _dealt_attacks(df: DataFrame, key, clients: int, seed) -> Column:
-    """Number of the client an attack row is dealt to, in near-equal shares."""
+def _deal_attacks(df: DataFrame, key, clients: int, seed) -> DataFrame:
+    """Add ``dealt_``: the client an attack row goes to, in near-equal shares."""
     cuts = hash_cuts(df.where(_is_attack()), key, part_ends(clients), seed=seed)
-    return cuts.chunk()
+    return cuts.attach(df, "dealt_")
 
 
 def partition_iid(df: DataFrame, n_clients: int, key, *, seed=RANDOM_SEED) -> DataFrame:
@@ -39,7 +39,7 @@ def partition_iid(df: DataFrame, n_clients: int, key, *, seed=RANDOM_SEED) -> Da
     if n_clients > rows:
         raise ValueError(f"{n_clients} clients for {rows} rows")
     cuts = hash_cuts(df, key, part_ends(n_clients), seed=seed)
-    return df.withColumn("client", _client_name("client", cuts.chunk()))
+    return cuts.attach(df, "client").withColumn("client", _client_name("client", F.col("client")))
 
 
 def partition_by_device(df: DataFrame, key, *, seed=RANDOM_SEED) -> DataFrame:
@@ -51,9 +51,9 @@ def partition_by_device(df: DataFrame, key, *, seed=RANDOM_SEED) -> DataFrame:
     ]
     if not names:
         raise ValueError("the frame holds no normal device")
-    dealt = _dealt_attacks(df, key, len(names), seed)
-    client = F.element_at(F.array(*[F.lit(n) for n in names]), dealt + 1)
-    return df.withColumn("client", F.when(_is_attack(), client).otherwise(col(DEVICE_COLUMN)))
+    dealt = _deal_attacks(df, key, len(names), seed)
+    client = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("dealt_") + 1)
+    return dealt.withColumn("client", F.when(_is_attack(), client).otherwise(col(DEVICE_COLUMN))).drop("dealt_")
 
 
 def partition_by_farm(df: DataFrame, farms, key, *, seed=RANDOM_SEED) -> DataFrame:
@@ -76,11 +76,11 @@ def partition_by_farm(df: DataFrame, farms, key, *, seed=RANDOM_SEED) -> DataFra
     unknown = sorted(set(farm_of) - {row[0] for row in listed.collect()})
     if unknown:
         raise ValueError(f"devices not in the frame: {unknown}")
-    dealt = _dealt_attacks(df, key, len(farms), seed)
-    number = F.when(_is_attack(), dealt)
+    dealt = _deal_attacks(df, key, len(farms), seed)
+    number = F.when(_is_attack(), F.col("dealt_"))
     for device, farm in farm_of.items():
         number = number.when(col(DEVICE_COLUMN) == device, F.lit(farm))
-    named = df.withColumn("client", _client_name("farm", number))
+    named = dealt.withColumn("client", _client_name("farm", number)).drop("dealt_")
     return named.where(F.col("client").isNotNull())
 
 

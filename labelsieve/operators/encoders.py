@@ -15,7 +15,6 @@ from labelsieve.constants import (
 from labelsieve.functions.columns import col, numeric_or_zero, present, token
 from labelsieve.functions.text import derive_many
 from labelsieve.operators.audit import accuracy_aggregates, held_out_accuracy, split_contingency
-from labelsieve.operators.contingency import check_binary_label
 from labelsieve.operators.profile import low_cardinality_levels, parse_rates
 from labelsieve.operators.ranking import running_totals
 from labelsieve.storage import join_lookup
@@ -84,7 +83,6 @@ def encoding_agnostic(df: DataFrame, columns, label: str, key, *, test_size=TEST
     equal count: their counts are added before the majority is taken.
     """
     columns = present(df, columns)
-    check_binary_label(df, label)
     counts = split_contingency(df, columns, label, key, test_size=test_size, seed=seed, missing=NULL_TEXT)
     merged = counts.groupBy("column", (F.col("n0") + F.col("n1")).alias("count_")).agg(
         *[F.sum(c).alias(c) for c in ("n0", "n1", "test0", "test1")]

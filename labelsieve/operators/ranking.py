@@ -17,6 +17,7 @@ PREFIX_DIGITS = 3
 SORT_ROWS = 1_000_000
 RANGE_ROWS = 500_000
 INLINE_CUTS = 16
+INLINE_PREFIXES = 64
 
 
 @dataclass(frozen=True)
@@ -29,15 +30,20 @@ class HashCuts:
     hashes: dict
     requested: int
 
-    def chunk(self) -> Column:
-        """Number of cuts a row lies beyond: 0 for rows up to the first cut."""
-        h = hash_hex(self.key, self.seed)
-        result = None
+    def attach(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the number of cuts a row lies beyond: 0 up to the first cut.
+
+        Hash and stratum are columns of their own, so a row is hashed once
+        however many cuts it is compared with.
+        """
+        inputs = {"h_": hash_hex(self.key, self.seed), "s_": self.stratum}
+        number = None
         for value, cuts in self.hashes.items():
-            number = F.lit(self.requested) - self._cuts_at_or_above(h, cuts)
-            same = self.stratum.eqNullSafe(F.lit(value))
-            result = F.when(same, number) if result is None else result.when(same, number)
-        return F.lit(self.requested) if result is None else result
+            beyond = F.lit(self.requested) - self._cuts_at_or_above(F.col("h_"), cuts)
+            same = F.col("s_").eqNullSafe(F.lit(value))
+            number = F.when(same, beyond) if number is None else number.when(same, beyond)
+        number = F.lit(self.requested) if number is None else number
+        return df.withColumns(inputs).withColumn(name, number).drop("h_", "s_")
 
     @staticmethod
     def _cuts_at_or_above(h: Column, cuts: list) -> Column:
@@ -51,92 +57,112 @@ def hash_cuts(df: DataFrame, key, ranks, *, seed, stratum: Column = None) -> Has
     """Find the hashes at ``ranks`` (1-based) of the order by ``md5(seed:key)``.
 
     ``ranks`` maps a stratum's row count, as a column, to an array of ranks; a
-    rank of 0 means "before the first row". Counting hash prefixes narrows the
-    search to the prefixes holding a wanted rank, once or more, until these are
-    small enough to sort. Only (strata x ranks) rows reach the driver.
+    rank of 0 means "before the first row".
+    """
+    return repeated_hash_cuts(df, key, ranks, seeds=[seed], stratum=stratum)[0]
+
+
+def repeated_hash_cuts(df: DataFrame, key, ranks, *, seeds, stratum: Column = None) -> list[HashCuts]:
+    """Hash cuts of several orders, found in the same scans.
+
+    Counting hash prefixes narrows the search to the prefixes holding a wanted
+    rank, once or more, until these are small enough to sort. Only
+    (orders x strata x ranks) rows reach the driver.
     """
     stratum = F.lit(0) if stratum is None else stratum
-    hashed = df.select(stratum.alias("s"), hash_hex(key, seed).alias("h"))
-    groups = ["s", "parent"]
+    hashes = F.array(*[hash_hex(key, seed) for seed in seeds])
+    hashed = df.select(stratum.alias("s"), F.posexplode(hashes).alias("i", "h"))
 
     depth = PREFIX_DIGITS
+    size = F.sum("n").over(Window.partitionBy("i", "s"))
+    wanted = F.transform(
+        ranks(F.col("size")), lambda r, i: F.struct(i.alias("cut"), r.cast("long").alias("rank"))
+    )
     counts = (
-        hashed.groupBy("s", F.substring("h", 1, depth).alias("prefix"))
+        hashed.groupBy("i", "s", F.lit("").alias("parent"), F.substring("h", 1, depth).alias("prefix"))
         .agg(F.count("*").alias("n"))
-        .withColumn("parent", F.lit(""))
-        .withColumn("size", F.sum("n").over(Window.partitionBy("s")))
-        .withColumn(
-            "wanted",
-            F.transform(ranks(F.col("size")), lambda r, i: F.struct(i.alias("cut"), r.cast("long").alias("rank"))),
-        )
-        .drop("size")
+        .withColumn("size", size)
+        .withColumn("wanted", wanted)
     )
-    strata, found = _locate(counts, groups)
-    while found and max(row.n for row in found) > SORT_ROWS and depth < 24:
+    upto = F.sum("n").over(Window.partitionBy("i", "s", "parent").orderBy("prefix"))
+    rows = _at_wanted(counts.withColumn("upto", upto), F.col("upto") == F.col("n"))
+    cuts = [HashCuts(key, seed, stratum, {}, max((r.k for r in rows), default=0)) for seed in seeds]
+    for row in rows:
+        cuts[row.i].hashes.setdefault(row.s, [])
+    found = [row for row in rows if row.cut is not None]
+    while found and max(row.n for row in found) > SORT_ROWS:
         depth += PREFIX_DIGITS
-        inside, wanted = _narrow(hashed, found)
-        counts = inside.groupBy("s", "parent", F.substring("h", 1, depth).alias("prefix")).agg(
-            F.count("*").alias("n")
+        if depth > 30:
+            raise ValueError(f"key {key!r} is not unique: over {SORT_ROWS} rows share one value")
+        inside = _inside(hashed, found)
+        counts = inside.groupBy("i", "s", "parent", F.substring("h", 1, depth).alias("prefix")).agg(
+            F.count("*").alias("n"), F.first("wanted").alias("wanted")
         )
-        counts = counts.join(F.broadcast(wanted), groups)
-        _, found = _locate(counts, groups)
-
-    hashes = {value: [] for value in strata}
-    for row in _sort_inside(hashed, found):
-        if row.n > 1:
-            raise ValueError(f"key {key!r} is not unique: {row.n} rows share one value")
-        hashes[row.s].append((row.cut, row.prefix))
-    hashes = {value: [h for _, h in sorted(cuts)] for value, cuts in hashes.items()}
-    requested = max(strata.values(), default=0)
-    return HashCuts(key, seed, stratum, hashes, requested)
-
-
-def _locate(counts: DataFrame, groups):
-    """The prefix each wanted rank falls into, and the rank left inside it."""
-    upto = F.sum("n").over(Window.partitionBy(*groups).orderBy("prefix"))
-    placed = counts.withColumn("upto", upto).withColumn(
-        "hits",
-        F.filter(
-            "wanted",
-            lambda w: (w["rank"] > F.col("upto") - F.col("n")) & (w["rank"] <= F.col("upto")),
-        ),
-    )
-    rows = (
-        placed.where((F.size("hits") > 0) | (F.col("upto") == F.col("n")))
-        .select("s", "parent", "prefix", "n", F.size("wanted").alias("k"),
-                F.explode_outer("hits").alias("w"), (F.col("upto") - F.col("n")).alias("before"))
-        .select("s", "prefix", "n", "k", F.col("w.cut").alias("cut"),
-                (F.col("w.rank") - F.col("before")).alias("rank"))
+        found = _at_wanted(counts.withColumn("upto", upto), F.lit(False))
+
+    if found:
+        for row in _sorted_inside(_inside(hashed, found)):
+            if row.h == row.following:
+                raise ValueError(f"key {key!r} is not unique")
+            cuts[row.i].hashes[row.s].append((row.cut, row.h))
+    for one in cuts:
+        for value, pairs in one.hashes.items():
+            one.hashes[value] = [h for _, h in sorted(pairs)]
+    return cuts
+
+
+def _at_wanted(placed: DataFrame, always: Column) -> list:
+    """The prefix each wanted rank falls into, and the rank left inside it.
+
+    Rows where ``always`` holds are returned in any case, without a cut.
+    """
+    before = F.col("upto") - F.col("n")
+    hits = F.filter("wanted", lambda w: (w["rank"] > before) & (w["rank"] <= F.col("upto")))
+    return (
+        placed.select("i", "s", "prefix", "n", before.alias("before"), F.size("wanted").alias("k"),
+                      always.alias("always"), hits.alias("hits"))
+        .where((F.size("hits") > 0) | F.col("always"))
+        .select("*", F.explode_outer("hits").alias("w"))
+        .select("i", "s", "prefix", "n", "k", "w.cut", (F.col("w.rank") - F.col("before")).alias("rank"))
         .collect()
     )
-    return {row.s: row.k for row in rows}, [row for row in rows if row.cut is not None]
 
 
-def _narrow(hashed: DataFrame, found):
-    """Rows under the located prefixes, and what is wanted of each prefix."""
-    spark = hashed.sparkSession
-    kind = hashed.schema["s"].dataType.simpleString()
-    wanted = (
-        spark.createDataFrame(
-            [(r.s, r.prefix, r.cut, r["rank"]) for r in found],
-            f"s {kind}, parent string, cut int, rank long",
+def _inside(hashed: DataFrame, found) -> DataFrame:
+    """Rows under the located prefixes, with what is wanted of each prefix.
+
+    There are few prefixes, so they are part of the filter.
+    """
+    by_prefix = {}
+    for row in found:
+        by_prefix.setdefault((row.i, row.s, row.prefix), []).append(
+            F.struct(F.lit(row.cut).alias("cut"), F.lit(row["rank"]).cast("long").alias("rank"))
         )
-        .groupBy("s", "parent")
-        .agg(F.collect_list(F.struct("cut", "rank")).alias("wanted"))
-    )
-    width = len(found[0].prefix)
-    inside = hashed.withColumn("parent", F.substring("h", 1, width)).join(
-        F.broadcast(wanted.select("s", "parent")), ["s", "parent"], "left_semi"
+    parent = F.substring("h", 1, len(found[0].prefix))
+    if len(by_prefix) > INLINE_PREFIXES:
+        spark = hashed.sparkSession
+        kind = hashed.schema["s"].dataType.simpleString()
+        table = spark.createDataFrame(
+            [(r.i, r.s, r.prefix, r.cut, r["rank"]) for r in found],
+            f"i int, s {kind}, parent string, cut int, rank long",
+        ).groupBy("i", "s", "parent").agg(F.collect_list(F.struct("cut", "rank")).alias("wanted"))
+        return hashed.withColumn("parent", parent).join(F.broadcast(table), ["i", "s", "parent"])
+    wanted = None
+    for (i, value, prefix), ranks in by_prefix.items():
+        same = (F.col("i") == i) & F.col("s").eqNullSafe(F.lit(value)) & (parent == prefix)
+        wanted = F.when(same, F.array(*ranks)) if wanted is None else wanted.when(same, F.array(*ranks))
+    prefixes = sorted({prefix for _, _, prefix in by_prefix})
+    candidates = hashed.where(parent.isin(*prefixes))
+    return candidates.select("*", parent.alias("parent"), wanted.alias("wanted")).where(F.col("wanted").isNotNull())
+
+
+def _sorted_inside(inside: DataFrame) -> list:
+    order = Window.partitionBy("i", "s", "parent").orderBy("h")
+    ranked = inside.select(
+        "i", "s", "h", "wanted", F.row_number().over(order).alias("r"), F.lead("h").over(order).alias("following")
     )
-    return inside, wanted
-
-
-def _sort_inside(hashed: DataFrame, found):
-    if not found:
-        return []
-    inside, wanted = _narrow(hashed, found)
-    counts = inside.groupBy("s", "parent", F.col("h").alias("prefix")).agg(F.count("*").alias("n"))
-    return _locate(counts.join(F.broadcast(wanted), ["s", "parent"]), ["s", "parent"])[1]
+    hits = F.filter("wanted", lambda w: w["rank"] == F.col("r"))
+    return ranked.select("i", "s", "h", "following", F.explode(hits).alias("w")).select("*", "w.cut").drop("w").collect()
 
 
 def running_totals(df: DataFrame, order: str, values, *, groups=()) -> DataFrame:

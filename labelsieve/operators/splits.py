@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelsieve.constants import ATTACK_PREFIX, DEVICE_COLUMN, RANDOM_SEED, TEST_SIZE
 from labelsieve.functions.columns import binary_label, col
 from labelsieve.functions.hashing import hash_unit
-from labelsieve.operators.ranking import hash_cuts
-from labelsieve.storage import join_small
+from labelsieve.operators.ranking import hash_cuts, repeated_hash_cuts
+from labelsieve.storage import join_small, materialise
 
 TRAIN, TEST = "train", "test"
 
@@ -20,14 +20,19 @@ def source_counts(df: DataFrame, source: str) -> DataFrame:
     return df.groupBy(col(source).alias("source")).agg(F.count("*").alias("n"))
 
 
-def capped_sample(df: DataFrame, source: str, caps: Column, key=None, *, seed=RANDOM_SEED) -> DataFrame:
+def capped_sample(
+    df: DataFrame, source: str, caps: Column, key=None, *, counts: DataFrame = None, seed=RANDOM_SEED
+) -> DataFrame:
     """Keep about ``caps`` rows of each source, each row with equal probability.
 
     ``caps`` is an expression over the ``source`` column. Sources within their
     cap are kept whole. With ``key`` a row's fate hangs on its key; without,
-    on a seeded generator, which repeats for the same file splits.
+    on a seeded generator, which repeats for the same file splits. ``counts``
+    are the source counts, if known already.
     """
-    rates = source_counts(df, source).select("source", F.least(F.lit(1.0), caps / F.col("n")).alias("rate_"))
+    if counts is None:
+        counts = materialise(source_counts(df, source), "counts")
+    rates = counts.select("source", F.least(F.lit(1.0), caps / F.col("n")).alias("rate_"))
     draw = F.rand(int(seed)) if key is None else hash_unit(key, seed)
     drawn = df.withColumns({"draw_": draw, "source_": col(source)})
     kept = join_small(drawn, rates.withColumnRenamed("source", "source_"), "source_")
@@ -39,24 +44,26 @@ def subsample(df: DataFrame, n: int, key, *, seed=RANDOM_SEED) -> DataFrame:
     if n <= 0:
         raise ValueError(f"n must be positive; got {n}")
     cuts = hash_cuts(df, key, lambda size: F.array(F.least(size, F.lit(n))), seed=seed)
-    return df.where(cuts.chunk() == 0)
+    return cuts.attach(df, "chunk_").where(F.col("chunk_") == 0).drop("chunk_")
 
 
-def held_out(df: DataFrame, key, label: str, *, test_size=TEST_SIZE, seed=RANDOM_SEED) -> Column:
-    """Whether a row is held out: round(size * test_size) rows of each class."""
+def hold_out(df: DataFrame, name: str, key, label: str, *, test_size=TEST_SIZE, seed=RANDOM_SEED) -> DataFrame:
+    """Add a boolean: held out are round(size * test_size) rows of each class."""
     if not 0.0 < test_size < 1.0:
         raise ValueError(f"test_size must be in (0, 1); got {test_size}")
     cuts = hash_cuts(
         df, key, lambda size: F.array(F.round(size * F.lit(test_size))),
         seed=seed, stratum=binary_label(col(label)),
     )
-    return cuts.chunk() == 0
+    if None in cuts.hashes:
+        raise ValueError(f"label column {label!r} holds values that are not 0 or 1")
+    return cuts.attach(df, name).withColumn(name, F.col(name) == 0)
 
 
 def stratified_split(df: DataFrame, key, label: str, *, test_size=TEST_SIZE, seed=RANDOM_SEED) -> DataFrame:
     """Add ``split``: ``test`` for the held-out rows of each class, else ``train``."""
-    test = held_out(df, key, label, test_size=test_size, seed=seed)
-    return df.withColumn("split", F.when(test, TEST).otherwise(TRAIN))
+    split = hold_out(df, "split", key, label, test_size=test_size, seed=seed)
+    return split.withColumn("split", F.when(F.col("split"), TEST).otherwise(TRAIN))
 
 
 def kfold_assign(
@@ -73,11 +80,11 @@ def kfold_assign(
     smallest = df.groupBy(stratum.alias("s")).count().agg(F.min("count").alias("n")).first().n or 0
     if smallest < n_splits:
         raise ValueError(f"the smallest class has {smallest} rows, fewer than {n_splits} folds")
-    folds = {}
-    for repeat in range(n_repeats):
-        cuts = hash_cuts(df, key, part_ends(n_splits), seed=f"{seed}:{repeat}", stratum=stratum)
-        folds[f"fold_{repeat}"] = cuts.chunk()
-    return df.withColumns(folds)
+    seeds = [f"{seed}:{repeat}" for repeat in range(n_repeats)]
+    cuts = repeated_hash_cuts(df, key, part_ends(n_splits), seeds=seeds, stratum=stratum)
+    for repeat, one in enumerate(cuts):
+        df = one.attach(df, f"fold_{repeat}")
+    return df
 
 
 def part_ends(parts: int):

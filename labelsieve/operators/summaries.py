@@ -14,6 +14,7 @@ from labelsieve.constants import (
 )
 from labelsieve.functions.columns import binary_label, col, token
 from labelsieve.operators.ranking import running_totals
+from labelsieve.storage import join_small
 
 BALANCE_DIMENSIONS = (MULTICLASS_LABEL, DEVICE_COLUMN, LAYER_COLUMN)
 
@@ -61,7 +62,7 @@ def percentiles(df: DataFrame, value: str, fractions: dict, *, by) -> DataFrame:
     counted = df.where(col(value).isNotNull()).groupBy(*by, col(value).alias("v")).agg(F.count("*").alias("n"))
     placed = running_totals(counted, "v", ["n"], groups=by)
     totals = placed.groupBy(*by).agg(F.sum("n").alias("total"))
-    joined = placed.join(totals, by)
+    joined = join_small(placed, totals, by)
 
     def at(position):
         inside = (position >= F.col("n_upto") - F.col("n")) & (position < F.col("n_upto"))

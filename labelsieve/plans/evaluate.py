@@ -46,6 +46,12 @@ def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> Dat
     return vectors.drop(*inputs)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: a small table may sit in one file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass
 class Runs:
     """Predictions of several fits in one table, and the facts about each fit."""
@@ -67,7 +73,7 @@ class Runs:
         width = len(train.select(FEATURES).first()[0])
         parts = test if isinstance(test, list) else [(split, test)]
         started = time.perf_counter()
-        model = spec.build(width, sum(classes.values()), **settings).fit(train)
+        model = spec.build(width, sum(classes.values()), **settings).fit(spread(train))
         fitted = time.perf_counter()
         for name, rows in parts:
             scored = model.transform(rows).select(

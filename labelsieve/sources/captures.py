@@ -15,7 +15,8 @@ from labelsieve.constants import (
     SCENARIO_DEVICES,
 )
 from labelsieve.functions.columns import col, null_if_missing
-from labelsieve.sources.tables import _csv, read_header
+from labelsieve.sources.tables import csv_reader, read_header
+from labelsieve.storage import join_small
 
 STEM = "capture"
 
@@ -54,11 +55,11 @@ def catalogue(spark: SparkSession, rows=None) -> DataFrame:
 def attribute(df: DataFrame, dimension: DataFrame, stem: str = STEM) -> DataFrame:
     """Stamp rows with the label, class, device and layer of their capture.
 
-    The dimension has one row per capture file and is broadcast.
+    The dimension has one row per capture file.
     """
     labels = [n for n in df.columns if n in dimension.columns and n != stem]
     bare = df.drop(*labels)
-    return bare.join(F.broadcast(dimension.withColumnRenamed(STEM, stem)), stem)
+    return join_small(bare, dimension.withColumnRenamed(STEM, stem), stem)
 
 
 def scan_captures(spark: SparkSession, paths, *, multiline: bool = False) -> DataFrame:
@@ -68,7 +69,7 @@ def scan_captures(spark: SparkSession, paths, *, multiline: bool = False) -> Dat
         if read_header(spark, path) != header:
             raise ValueError(f"{path} has another header than {paths[0]}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    scan = _csv(spark, multiline).schema(schema).csv(list(paths))
+    scan = csv_reader(spark, multiline).schema(schema).csv(list(paths))
     name = F.url_decode(F.col("_metadata.file_name"))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return scan.select(*[null_if_missing(col(n)).alias(n) for n in header], stem.alias(STEM))

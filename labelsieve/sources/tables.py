@@ -8,7 +8,7 @@ from labelsieve.functions.columns import col, null_if_missing, numeric
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def _csv(spark: SparkSession, multiline: bool):
+def csv_reader(spark: SparkSession, multiline: bool):
     return spark.read.options(
         header=True, escape='"', quote='"', encoding="UTF-8", multiLine=multiline, enforceSchema=True
     )
@@ -16,7 +16,7 @@ def _csv(spark: SparkSession, multiline: bool):
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file or folder; the body is not read."""
-    return _csv(spark, False).csv(path).columns
+    return csv_reader(spark, False).csv(path).columns
 
 
 def read_strings(
@@ -38,7 +38,7 @@ def read_strings(
         raise ValueError(f"columns absent from {paths[0]}: {absent}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     mode = "DROPMALFORMED" if skip_ragged else "PERMISSIVE"
-    reader = _csv(spark, multiline).option("mode", mode).option("columnPruning", not skip_ragged)
+    reader = csv_reader(spark, multiline).option("mode", mode).option("columnPruning", not skip_ragged)
     df = reader.schema(schema).csv(paths)
     if header[0].startswith(BYTE_ORDER_MARK):
         df = df.withColumnRenamed(header[0], header[0].lstrip(BYTE_ORDER_MARK))
@@ -69,8 +69,13 @@ def read_keyed_parquet(spark: SparkSession, path: str, key: str = "row_key") ->
 
 
 def write_benchmark(df: DataFrame, path: str, partition: str = "source_device", mode: str = "errorifexists") -> None:
-    """Parquet laid out by source, so a held-out source is a pruned folder."""
-    df.write.mode(mode).partitionBy(partition).parquet(path)
+    """Parquet laid out by source, so a held-out source is a pruned folder.
+
+    Rebalancing gathers the rows of a source into files of the advisory size:
+    small sources get few files, and a source holding much of the table is
+    split over many tasks.
+    """
+    df.hint("rebalance", col(partition)).write.mode(mode).partitionBy(partition).parquet(path)
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
