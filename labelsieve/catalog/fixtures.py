@@ -66,17 +66,18 @@ PREDICTIONS = {
     "score": "value / 1000",
 }
 
-# A labelled numeric table for model fits: weak signal, and a separating column.
+# A labelled numeric table for model fits: a weak signal in one column, and one
+# that shows only in two columns together.
 NUMBERS = {
     "event_id": "event_id",
-    "value": "value",
+    "hour": "CAST(extract(HOUR FROM ts) AS DOUBLE)",
     "user": "CAST(user_id AS DOUBLE)",
     "shifted": "value + CASE WHEN event_type = 'error' THEN 25 ELSE 0 END",
     "parity": "CAST((user_id + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) % 4 AS DOUBLE)",
     "Attack_label": "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END",
     "Attack_type": "CASE WHEN event_type = 'error' THEN 'XSS' ELSE 'Normal' END",
 }
-NUMBER_FEATURES = ("value", "user", "shifted", "parity")
+NUMBER_FEATURES = ("hour", "user", "shifted", "parity")
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

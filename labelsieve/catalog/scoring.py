@@ -107,7 +107,7 @@ def cross_domain(spark, folder):
     source = view(read(spark, folder, "events"), NUMBERS)
     target = view(
         read(spark, folder, "orders"),
-        {"Value": "o_totalprice / 1000", "USER": "CAST(o_custkey AS DOUBLE)", "other": "o_orderkey",
+        {"Shifted": "o_totalprice / 1000", "USER": "CAST(o_custkey AS DOUBLE)", "other": "o_orderkey",
          "label": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END"},
     )
     return evaluate.cross_domain(source, NUMBER_FEATURES, KEY, target, SUITE)

@@ -17,6 +17,7 @@ from pyspark.ml.feature import StandardScaler
 from labelsieve.constants import RANDOM_SEED
 
 FEATURES, LABEL = "features", "label"
+MAX_LEAVES = 2_000
 
 
 @dataclass(frozen=True)
@@ -40,14 +41,28 @@ class ModelSpec:
         return Pipeline(stages=[scaler, estimator] if self.scales_input else [estimator])
 
 
+def _full_depth(n_rows):
+    """Settings of a tree that grows as deep as it can.
+
+    A grown tree lives on the driver, so its size must not follow the data: a
+    leaf keeps at least a ``1 / MAX_LEAVES`` share of the rows. Node ids are
+    cached, so a deep tree is not walked from its root at every level.
+    """
+    return {
+        "maxDepth": 30,
+        "minInstancesPerNode": max(1, n_rows // MAX_LEAVES),
+        "maxMemoryInMB": 1024,
+        "cacheNodeIds": True,
+        "seed": RANDOM_SEED,
+    }
+
+
 def _decision_tree(n_features, n_rows, **settings):
-    return DecisionTreeClassifier(**{"maxDepth": 30, "seed": RANDOM_SEED, **settings})
+    return DecisionTreeClassifier(**{**_full_depth(n_rows), **settings})
 
 
 def _random_forest(n_features, n_rows, **settings):
-    return RandomForestClassifier(
-        **{"numTrees": 100, "maxDepth": 30, "seed": RANDOM_SEED, "maxMemoryInMB": 1024, **settings}
-    )
+    return RandomForestClassifier(**{"numTrees": 100, **_full_depth(n_rows), **settings})
 
 
 def _boosted_trees(n_features, n_rows, **settings):
