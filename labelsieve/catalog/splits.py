@@ -12,7 +12,7 @@ from labelsieve.functions.text import contains_any, derive, shannon_entropy
 from labelsieve.operators import alignment, clients, encoders, splits
 from labelsieve.constants import INJECTION_MARKERS
 from labelsieve.sources import captures, tables
-from labelsieve.storage import scratch_path
+from labelsieve.storage import scratch_path, spread
 
 LABEL, KEY = "Attack_label", "event_id"
 FARMS = (("Soil_Moisture", "phValue"), ("Modbus",))
@@ -94,12 +94,12 @@ def lodo_split(spark, folder):
 
 
 def text_features(spark, folder):
-    df = read(spark, folder, "documents")
+    df = spread(read(spark, folder, "documents").select("doc_id", "text"))
     return rounded(df.select("doc_id", *derive(F.col("text"), "text")))
 
 
 def char_entropy(spark, folder):
-    df = read(spark, folder, "pages")
+    df = spread(read(spark, folder, "pages").select("page_id", "html"))
     return rounded(df.select("page_id", shannon_entropy(F.col("html")).alias("entropy")))
 
 

@@ -38,7 +38,9 @@ def token(column: Column, missing: str = MISSING_TOKEN) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.btrim(column, F.lit(WHITESPACE))
+    """Text without white space at its ends; most text has none and is passed on."""
+    ends = F.substring(column, 1, 1).isin(*WHITESPACE) | F.substring(column, -1, 1).isin(*WHITESPACE)
+    return F.when(ends, F.btrim(column, F.lit(WHITESPACE))).otherwise(column)
 
 
 def numeric(column: Column) -> Column:

@@ -27,14 +27,31 @@ def class_ratio(text: Column, pattern: str) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character, from the counts of the distinct characters."""
-    length = F.length(text).cast("double")
-    share = F.transform(
-        F.array_distinct(F.split(text, "")),
-        lambda ch: (length - F.length(F.replace(text, ch, F.lit("")))) / length,
+    """Bits per character, from the counts of the distinct characters.
+
+    Each distinct character is removed in turn from what is left of the text,
+    and counted by the loss of length; frequent characters tend to come first,
+    so little is left soon. A removal is counted at the next step, where the
+    shortened text is at hand.
+    """
+    size = F.length(text).cast("double")
+
+    def counted(state):
+        n = state["before"] - F.length(state["rest"])
+        return state["sum"] + F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+
+    def remove(state, character):
+        return F.struct(
+            F.replace(state["rest"], character, F.lit("")).alias("rest"),
+            F.length(state["rest"]).alias("before"),
+            counted(state).alias("sum"),
+        )
+
+    start = F.struct(text.alias("rest"), F.length(text).alias("before"), F.lit(0.0).alias("sum"))
+    bits = F.aggregate(
+        F.array_distinct(F.split(text, "")), start, remove, lambda state: F.log2(size) - counted(state) / size
     )
-    bits = F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.when(length > 0, bits).otherwise(F.lit(0.0))
+    return F.when(size > 0, bits).otherwise(F.lit(0.0))
 
 
 def contains_any(text: Column, characters: str) -> Column:

@@ -44,15 +44,14 @@ def canonicalise_report(df: DataFrame, columns, *, tokens=PLACEHOLDERS, sentinel
     longer than ``tokens``.
     """
     check_placeholders(tokens, sentinel)
-    cells = []
-    for i, name in enumerate(present(df, columns)):
-        text = stripped(col(name))
-        hit = text.isin(*tokens)
-        cells.append(F.count_if(hit).alias(f"n{i}"))
-        cells.append(F.collect_set(F.when(hit, text)).alias(f"s{i}"))
     names = present(df, columns)
     if not names:
         raise ValueError("none of the columns to canonicalise is present")
+    texts = df.select(*[stripped(col(name)).alias(f"t{i}") for i, name in enumerate(names)])
+    hits = texts.select(*[F.when(F.col(t).isin(*tokens), F.col(t)).alias(t) for t in texts.columns])
+    cells = []
+    for i in range(len(names)):
+        cells += [F.count(f"t{i}").alias(f"n{i}"), F.collect_set(f"t{i}").alias(f"s{i}")]
     entries = [
         F.struct(
             F.lit(name).alias("column"),
@@ -61,7 +60,7 @@ def canonicalise_report(df: DataFrame, columns, *, tokens=PLACEHOLDERS, sentinel
         )
         for i, name in enumerate(names)
     ]
-    report = df.agg(*cells).select(F.inline(F.array(*entries)))
+    report = hits.agg(*cells).select(F.inline(F.array(*entries)))
     return report.withColumns(
         {
             "affected": F.col("replacements") > 0,

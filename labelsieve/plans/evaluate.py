@@ -32,7 +32,7 @@ from labelsieve.operators.metrics import (
 )
 from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, lodo_split, stratified_split
 from labelsieve.plans.models import FEATURES, LABEL, MODELS
-from labelsieve.storage import materialise, scratch_path
+from labelsieve.storage import materialise, scratch_path, spread
 
 
 def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> DataFrame:
@@ -46,12 +46,6 @@ def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> Dat
     return vectors.drop(*inputs)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core: a small table may sit in one file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @dataclass
 class Runs:
     """Predictions of several fits in one table, and the facts about each fit."""
