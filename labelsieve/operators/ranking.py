@@ -16,7 +16,7 @@ from labelsieve.storage import join_small, materialise
 PREFIX_DIGITS = 3
 SORT_ROWS = 1_000_000
 RANGE_ROWS = 500_000
-INLINE_CUTS = 16
+INLINE_CUTS = 256
 INLINE_PREFIXES = 64
 
 
@@ -39,18 +39,24 @@ class HashCuts:
         inputs = {"h_": hash_hex(self.key, self.seed), "s_": self.stratum}
         number = None
         for value, cuts in self.hashes.items():
-            beyond = F.lit(self.requested) - self._cuts_at_or_above(F.col("h_"), cuts)
+            beyond = _cuts_below(F.col("h_"), cuts, self.requested - len(cuts))
             same = F.col("s_").eqNullSafe(F.lit(value))
             number = F.when(same, beyond) if number is None else number.when(same, beyond)
         number = F.lit(self.requested) if number is None else number
         return df.withColumns(inputs).withColumn(name, number).drop("h_", "s_")
 
-    @staticmethod
-    def _cuts_at_or_above(h: Column, cuts: list) -> Column:
-        if len(cuts) > INLINE_CUTS:
-            literal = F.array(*[F.lit(c) for c in cuts])
-            return F.size(F.filter(literal, lambda c: h <= c))
-        return sum(((h <= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+def _cuts_below(h: Column, cuts: list, already: int) -> Column:
+    """``already`` plus the number of sorted ``cuts`` below ``h``, by halving."""
+    if not cuts:
+        return F.lit(already)
+    if len(cuts) > INLINE_CUTS:
+        literal = F.array(*[F.lit(c) for c in cuts])
+        return F.size(F.filter(literal, lambda c: c < h)) + F.lit(already)
+    middle = len(cuts) // 2
+    return F.when(h <= F.lit(cuts[middle]), _cuts_below(h, cuts[:middle], already)).otherwise(
+        _cuts_below(h, cuts[middle + 1 :], already + middle + 1)
+    )
 
 
 def hash_cuts(df: DataFrame, key, ranks, *, seed, stratum: Column = None) -> HashCuts:
@@ -70,8 +76,11 @@ def repeated_hash_cuts(df: DataFrame, key, ranks, *, seeds, stratum: Column = No
     (orders x strata x ranks) rows reach the driver.
     """
     stratum = F.lit(0) if stratum is None else stratum
-    hashes = F.array(*[hash_hex(key, seed) for seed in seeds])
-    hashed = df.select(stratum.alias("s"), F.posexplode(hashes).alias("i", "h"))
+    hashes = [hash_hex(key, seed) for seed in seeds]
+    if len(seeds) == 1:
+        hashed = df.select(stratum.alias("s"), F.lit(0).alias("i"), hashes[0].alias("h"))
+    else:
+        hashed = df.select(stratum.alias("s"), F.posexplode(F.array(*hashes)).alias("i", "h"))
 
     depth = PREFIX_DIGITS
     size = F.sum("n").over(Window.partitionBy("i", "s"))

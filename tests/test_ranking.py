@@ -65,7 +65,9 @@ def test_folds_are_checked(rows):
             splits.kfold_assign(rows, "id", "y", **options)
 
 
-def test_many_parts_use_the_array_form(rows):
+@pytest.mark.parametrize("inline", [256, 5])
+def test_many_parts(rows, monkeypatch, inline):
+    monkeypatch.setattr(ranking, "INLINE_CUTS", inline)
     sizes = clients.label_skew(clients.partition_iid(rows, 40, "id"), "y").collect()
     assert len(sizes) == 40 and sizes[0].client == "client_00" and {r.n_rows for r in sizes} == {125}
 
