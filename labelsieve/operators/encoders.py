@@ -17,7 +17,7 @@ from labelsieve.functions.text import derive_many
 from labelsieve.operators.audit import accuracy_aggregates, held_out_accuracy, split_contingency
 from labelsieve.operators.profile import low_cardinality_levels, parse_rates
 from labelsieve.operators.ranking import running_totals
-from labelsieve.storage import join_lookup
+from labelsieve.storage import join_lookup, materialise
 
 NULL_TEXT = "nan"
 
@@ -66,8 +66,8 @@ def encode_ordinal(df: DataFrame, column: str) -> DataFrame:
 def encode_frequency(df: DataFrame, column: str) -> DataFrame:
     """Add ``frequency``: the share of rows holding the token."""
     rows = tokens_of(df, column)
-    table = rows.groupBy("token_").agg(F.count("*").alias("weight_"))
-    total = df.count()
+    table = materialise(rows.groupBy("token_").agg(F.count("*").alias("weight_")), "tokens")
+    total = table.agg(F.sum("weight_").alias("n")).first().n or 1
     shares = table.withColumn("frequency", F.col("weight_") / F.lit(total))
     return _attach(rows, shares, "frequency").drop("token_")
 

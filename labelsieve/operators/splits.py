@@ -36,7 +36,9 @@ def capped_sample(
     draw = F.rand(int(seed)) if key is None else hash_unit(key, seed)
     drawn = df.withColumns({"draw_": draw, "source_": col(source)})
     kept = join_small(drawn, rates.withColumnRenamed("source", "source_"), "source_")
-    return kept.where(F.col("draw_") < F.col("rate_")).drop("draw_", "rate_", "source_")
+    # The default keeps the planner from testing the draw for null, and hashing twice.
+    chosen = F.coalesce(F.col("draw_") < F.col("rate_"), F.lit(False))
+    return kept.where(chosen).drop("draw_", "rate_", "source_")
 
 
 def subsample(df: DataFrame, n: int, key, *, seed=RANDOM_SEED) -> DataFrame:

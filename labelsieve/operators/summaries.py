@@ -14,7 +14,7 @@ from labelsieve.constants import (
 )
 from labelsieve.functions.columns import binary_label, col, token
 from labelsieve.operators.ranking import running_totals
-from labelsieve.storage import join_small
+from labelsieve.storage import join_small, materialise
 
 BALANCE_DIMENSIONS = (MULTICLASS_LABEL, DEVICE_COLUMN, LAYER_COLUMN)
 
@@ -47,9 +47,14 @@ def class_balance(df: DataFrame, label: str = BINARY_LABEL, dimensions=BALANCE_D
 
 
 def last_per_group(df: DataFrame, group: str, order: str) -> DataFrame:
-    """The row of each group with the largest ``order``."""
-    whole = F.struct(*[col(name).alias(name) for name in df.columns])
-    return df.groupBy(col(group).alias("group_")).agg(F.max_by(whole, col(order)).alias("row_")).select("row_.*")
+    """The row of each group with the largest ``order``; one of them on a tie.
+
+    The largest values are found by hash aggregation of two narrow columns and
+    matched with the rows, so whole rows are neither sorted nor shuffled.
+    """
+    latest = materialise(df.groupBy(col(group).alias("group_")).agg(F.max(col(order)).alias("order_")), "latest")
+    found = F.col("group_").eqNullSafe(col(group)) & (F.col("order_") == col(order))
+    return join_small(df, latest, found).dropDuplicates(["group_"]).drop("group_", "order_")
 
 
 def percentiles(df: DataFrame, value: str, fractions: dict, *, by) -> DataFrame:

@@ -19,29 +19,34 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return csv_reader(spark, False).csv(path).columns
 
 
+def without_mark(header) -> list[str]:
+    """Column names without the byte order mark a file may begin with."""
+    return [header[0].lstrip(BYTE_ORDER_MARK), *header[1:]]
+
+
 def read_strings(
     spark: SparkSession, paths, *, columns=None, limit: int = None, multiline: bool = False,
-    missing: bool = True, skip_ragged: bool = False, label: str = BINARY_LABEL,
+    missing: bool = True, skip_ragged: bool = False, trim_header: bool = False, label: str = BINARY_LABEL,
 ) -> DataFrame:
     """CSV with every column as text, so "0" and "0.0" stay apart.
 
     ``missing`` turns the usual spellings of a missing value into null.
     ``multiline`` admits line breaks inside quotes; such a file is read by one
     task, so it is meant for captures that need it. ``skip_ragged`` leaves out
-    records with the wrong number of fields. A ``label`` column that is read
-    must be numeric throughout.
+    records with the wrong number of fields. ``trim_header`` takes white space
+    off the column names. A ``label`` column that is read must be numeric
+    throughout.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = read_header(spark, paths[0])
-    absent = sorted(set(columns or ()) - set(header))
-    if absent:
-        raise ValueError(f"columns absent from {paths[0]}: {absent}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     mode = "DROPMALFORMED" if skip_ragged else "PERMISSIVE"
     reader = csv_reader(spark, multiline).option("mode", mode).option("columnPruning", not skip_ragged)
     df = reader.schema(schema).csv(paths)
-    if header[0].startswith(BYTE_ORDER_MARK):
-        df = df.withColumnRenamed(header[0], header[0].lstrip(BYTE_ORDER_MARK))
+    df = df.toDF(*[name.strip() if trim_header else name for name in without_mark(header)])
+    absent = sorted(set(columns or ()) - set(df.columns))
+    if absent:
+        raise ValueError(f"columns absent from {paths[0]}: {absent}")
     names = list(columns or df.columns)
     df = df.select(*[(null_if_missing(col(n)) if missing else col(n)).alias(n) for n in names])
     if limit is not None:

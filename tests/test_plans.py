@@ -179,3 +179,10 @@ def test_sweep_skips_absent_devices(spark):
     assert {r.split for r in scores.collect()} == {"lodo_d0", "lodo_d1"}
     row = metrics.lodo_pivot(scores, ["lodo_d0", "lodo_d1"]).first()
     assert row.mean == 1.0 and row.worst == 1.0
+
+
+def test_last_row_of_each_group(spark):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z"), ("b", 2, "z"), (None, 5, "n"), (None, 4, "m")]
+    df = spark.createDataFrame(rows, "scheme string, round int, v string")
+    got = sorted(((r.scheme, r.v) for r in summaries.last_per_group(df, "scheme", "round").collect()), key=str)
+    assert got == [("a", "y"), ("b", "z"), (None, "n")]

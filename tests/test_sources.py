@@ -41,6 +41,8 @@ def test_header_mark_and_ragged_rows(spark, tmp_path):
     df = tables.read_strings(spark, path, skip_ragged=True)
     assert df.columns == ["a", "b"]
     assert sorted(r.a for r in df.select("a").collect()) == ["1", "7"]
+    spaced = write(tmp_path / "s.csv", " a ,b\n1,2\n")
+    assert tables.read_strings(spark, spaced, trim_header=True, columns=["a"]).columns == ["a"]
 
 
 def test_reading_is_checked(spark, tmp_path):
