@@ -1,4 +1,4 @@
-"""The model suite, trained on the cluster by Spark ML."""
+"""The model suite: Spark ML estimators and the settings they train with."""
 
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,33 +16,37 @@ from pyspark.ml.feature import StandardScaler
 
 from labelsieve.constants import RANDOM_SEED
 
-FEATURES, LABEL = "features", "label"
+FEATURES, LABEL, SCALED = "features", "label", "scaled"
 MAX_LEAVES = 2_000
 
 
 @dataclass(frozen=True)
-class ModelSpec:
-    """A named estimator factory.
+class Model:
+    """An estimator class, its settings for a training set, and its use.
 
-    ``factory`` takes the number of features and of training rows, and any
-    setting to override.
+    ``settings`` maps the number of features and of rows to estimator
+    parameters. A ``scaled`` model gets standardised features; an ``edge``
+    model is one a gateway could run.
     """
 
     name: str
-    factory: Callable
-    scales_input: bool
-    edge_candidate: bool
+    estimator: type
+    settings: Callable[[int, int], dict]
+    scaled: bool = False
+    edge: bool = True
 
-    def build(self, n_features: int, n_rows: int, **settings) -> Pipeline:
+    def build(self, n_features: int, n_rows: int, **overrides) -> Pipeline:
         """A fresh, unfitted pipeline."""
-        column = "scaled" if self.scales_input else FEATURES
-        estimator = self.factory(n_features, n_rows, featuresCol=column, labelCol=LABEL, **settings)
-        scaler = StandardScaler(inputCol=FEATURES, outputCol=column, withMean=True)
-        return Pipeline(stages=[scaler, estimator] if self.scales_input else [estimator])
+        column = SCALED if self.scaled else FEATURES
+        parameters = {**self.settings(n_features, n_rows), **overrides}
+        stages = [self.estimator(featuresCol=column, labelCol=LABEL, **parameters)]
+        if self.scaled:
+            stages.insert(0, StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True))
+        return Pipeline(stages=stages)
 
 
-def _full_depth(n_rows):
-    """Settings of a tree that grows as deep as it can.
+def full_depth(n_features: int, n_rows: int) -> dict:
+    """A tree that grows as deep as it can.
 
     A grown tree lives on the driver, so its size must not follow the data: a
     leaf keeps at least a ``1 / MAX_LEAVES`` share of the rows. Node ids are
@@ -57,55 +61,37 @@ def _full_depth(n_rows):
     }
 
 
-def _decision_tree(n_features, n_rows, **settings):
-    return DecisionTreeClassifier(**{**_full_depth(n_rows), **settings})
+def hidden_layers(*widths: int):
+    def settings(n_features: int, n_rows: int) -> dict:
+        return {"layers": [n_features, *widths, 2], "maxIter": 60, "seed": RANDOM_SEED}
 
-
-def _random_forest(n_features, n_rows, **settings):
-    return RandomForestClassifier(**{"numTrees": 100, **_full_depth(n_rows), **settings})
-
-
-def _boosted_trees(n_features, n_rows, **settings):
-    defaults = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "seed": RANDOM_SEED}
-    return GBTClassifier(**{**defaults, **settings})
-
-
-def _logistic(n_features, n_rows, **settings):
-    defaults = {"maxIter": 1000, "regParam": 1.0 / max(n_rows, 1), "standardization": False}
-    return LogisticRegression(**{**defaults, **settings})
-
-
-def _gaussian_nb(n_features, n_rows, **settings):
-    return NaiveBayes(**{"modelType": "gaussian", **settings})
-
-
-def _mlp(n_features, n_rows, **settings):
-    hidden = settings.pop("hidden", [64, 32])
-    defaults = {"layers": [n_features, *hidden, 2], "maxIter": 60, "seed": RANDOM_SEED}
-    return MultilayerPerceptronClassifier(**{**defaults, **settings})
-
-
-def _mlp_deep(n_features, n_rows, **settings):
-    return _mlp(n_features, n_rows, **{"hidden": [256, 128, 64], **settings})
+    return settings
 
 
 MODELS = (
-    ModelSpec("DecisionTree", _decision_tree, scales_input=False, edge_candidate=True),
-    ModelSpec("RandomForest", _random_forest, scales_input=False, edge_candidate=True),
-    ModelSpec("HistGradientBoosting", _boosted_trees, scales_input=False, edge_candidate=True),
-    ModelSpec("LogisticRegression", _logistic, scales_input=True, edge_candidate=True),
-    ModelSpec("GaussianNB", _gaussian_nb, scales_input=True, edge_candidate=True),
-    ModelSpec("MLP", _mlp, scales_input=True, edge_candidate=False),
+    Model("DecisionTree", DecisionTreeClassifier, full_depth),
+    Model("RandomForest", RandomForestClassifier, lambda p, n: {"numTrees": 100, **full_depth(p, n)}),
+    Model(
+        "HistGradientBoosting", GBTClassifier,
+        lambda p, n: {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "seed": RANDOM_SEED},
+    ),
+    # A penalty of C = 1 on the summed loss is 1/n on the mean loss.
+    Model(
+        "LogisticRegression", LogisticRegression,
+        lambda p, n: {"maxIter": 1000, "regParam": 1.0 / max(n, 1), "standardization": False}, scaled=True,
+    ),
+    Model("GaussianNB", NaiveBayes, lambda p, n: {"modelType": "gaussian"}, scaled=True),
+    Model("MLP", MultilayerPerceptronClassifier, hidden_layers(64, 32), scaled=True, edge=False),
 )
-DEEP_MLP = ModelSpec("DeepMLP", _mlp_deep, scales_input=True, edge_candidate=False)
+DEEP_MLP = Model("DeepMLP", MultilayerPerceptronClassifier, hidden_layers(256, 128, 64), scaled=True, edge=False)
 
 
-def get_model(name: str) -> ModelSpec:
-    for spec in (*MODELS, DEEP_MLP):
-        if spec.name == name:
-            return spec
-    raise ValueError(f"unknown model {name!r}; registered are {[spec.name for spec in MODELS]}")
+def get_model(name: str) -> Model:
+    by_name = {model.name: model for model in (*MODELS, DEEP_MLP)}
+    if name not in by_name:
+        raise ValueError(f"unknown model {name!r}; known are {sorted(by_name)}")
+    return by_name[name]
 
 
-def edge_models() -> tuple:
-    return tuple(spec for spec in MODELS if spec.edge_candidate)
+def edge_models() -> list[Model]:
+    return [model for model in MODELS if model.edge]

@@ -33,13 +33,13 @@ def test_planted_leak_is_removed_by_the_clean_protocol(traffic):
 
 def test_switches_of_the_clean_protocol(traffic):
     keyed = traffic.withColumn("k", F.monotonically_increasing_id())
-    config = recipes.CleanConfig(False, False, False, max_onehot_cardinality=3)
-    kept = recipes.prepare_clean(keyed, config, key="k")
+    off = {"canonical": False, "distinct": False, "drop_leaking": False}
+    kept = recipes.prepare_clean(keyed, key="k", max_onehot=3, **off)
     assert kept.notes["rows_out"] == 600 and kept.notes["duplicates_removed"] == 0
     assert "mqtt.topic_probe" in kept.features and "http.referer__entropy" in kept.features
     assert kept.notes["placeholder_replacements"] == 0
     with pytest.raises(ValueError, match="key"):
-        recipes.prepare_clean(traffic, config)
+        recipes.prepare_clean(traffic, distinct=False)
 
 
 def test_preparation_is_checked(spark, traffic):
@@ -120,7 +120,7 @@ def test_vector_mean(spark):
 
 
 def test_registry():
-    assert models.get_model("MLP").scales_input and not models.get_model("RandomForest").scales_input
+    assert models.get_model("MLP").scaled and not models.get_model("RandomForest").scaled
     assert [m.name for m in models.edge_models()] == [m.name for m in models.MODELS if m.name != "MLP"]
     with pytest.raises(ValueError):
         models.get_model("SVM")
