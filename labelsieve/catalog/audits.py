@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from labelsieve.catalog import sqltext as s
 from labelsieve.catalog.fixtures import (
-    CATEGORICAL, LINE_COLUMNS, LINES, PREDICTIONS, TRAFFIC, read, rounded, sql, view,
+    CATEGORICAL, LINE_COLUMNS, LINES, TRAFFIC, read, rounded, sql, view,
 )
 from labelsieve.functions.columns import numeric_or_zero, col
 from labelsieve.operators import audit, contingency as c, duplicates, encoders, placeholders, profile

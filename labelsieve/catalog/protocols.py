@@ -1,7 +1,5 @@
 """Queries of the preparation protocols, the benchmark build and the stream."""
 
-from pyspark.sql import functions as F
-
 from labelsieve.catalog import sqltext as s
 from labelsieve.catalog.audits import _TRAFFIC as TRAFFIC_SQL
 from labelsieve.catalog.fixtures import (

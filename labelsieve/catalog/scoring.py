@@ -6,7 +6,7 @@ from labelsieve.catalog import sqltext as s
 from labelsieve.catalog.fixtures import (
     DEVICES, NUMBER_FEATURES, NUMBERS, PREDICTIONS, PROVENANCE, TRAFFIC, read, rounded, sql, view,
 )
-from labelsieve.constants import BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, LABEL_COLUMNS, Z_95
+from labelsieve.constants import BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, Z_95
 from labelsieve.operators import metrics, summaries
 from labelsieve.operators.splits import TEST, TRAIN, stratified_split
 from labelsieve.plans import evaluate, models, recipes

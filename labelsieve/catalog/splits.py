@@ -6,11 +6,10 @@ from labelsieve.catalog import sqltext as s
 from labelsieve.catalog.fixtures import (
     ATTACKS, CAPTURE, DEVICES, PROVENANCE, TRAFFIC, read, rounded, sql, view,
 )
-from labelsieve.constants import BENIGN_VALUES, NA_STRINGS, RANDOM_SEED
+from labelsieve.constants import BENIGN_VALUES, INJECTION_MARKERS, NA_STRINGS, RANDOM_SEED
 from labelsieve.functions.columns import col
 from labelsieve.functions.text import contains_any, derive, shannon_entropy
 from labelsieve.operators import alignment, clients, encoders, splits
-from labelsieve.constants import INJECTION_MARKERS
 from labelsieve.sources import captures, tables
 from labelsieve.storage import scratch_path, spread
 

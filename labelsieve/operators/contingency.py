@@ -5,11 +5,9 @@ Tokens are counted before the shuffle, so a placeholder covering most rows is
 one record per task. Each statistic is then a second, small aggregate.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelsieve.constants import FLOAT_ZERO, MISSING_TOKEN, PLACEHOLDERS, STRING_ZERO
+from labelsieve.constants import FLOAT_ZERO, MISSING_TOKEN, STRING_ZERO
 from labelsieve.functions.columns import binary_label, col, present, quoted, strip, token, xlogx
 
 
@@ -179,7 +177,3 @@ def placeholder_label_distribution(df: DataFrame, columns, label: str) -> DataFr
     )
     labels = counts.groupBy("column", "token").agg((F.count("*") == 1).alias("single_label"))
     return counts.join(labels, ["column", "token"])
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelsieve.functions.columns import col
 from labelsieve.functions.hashing import hash_hex, hash_unit
 from labelsieve.storage import join_small, materialise
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from labelsieve.catalog.fixtures import NUMBER_FEATURES, TRAFFIC, view
+from labelsieve.catalog.fixtures import TRAFFIC, view
 from labelsieve.operators import metrics, summaries
 from labelsieve.plans import evaluate, models, recipes
 

@@ -6,9 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from labelsieve.catalog.fixtures import TRAFFIC
 from labelsieve.functions.columns import strip
-from labelsieve.functions.text import derive, shannon_entropy
+from labelsieve.functions.text import derive
 from labelsieve.operators import alignment, contingency as c
 from labelsieve.plans import benchmark
 from labelsieve.sources import captures, tables
