@@ -30,6 +30,16 @@ def held_out(id_column: str) -> Column:
     return fold(id_column) == 0
 
 
+def computed(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
+    """``keep`` and the given columns, each evaluated once a row.
+
+    A projection alone would be merged with those above it, and an expression used in a
+    lambda or a pushed-down filter be evaluated again at each use. Generated columns are not.
+    """
+    packed = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*keep, F.inline(F.array(packed)))
+
+
 def per_document(
     docs: DataFrame,
     work: Callable[[list], list[tuple]],

@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelsieve.llm import decontamination, fingerprints, neardup, pieces
-from labelsieve.llm.common import table
+from labelsieve.llm import (
+    chat,
+    decontamination,
+    extraction,
+    fingerprints,
+    licenses,
+    lines,
+    neardup,
+    pieces,
+    quality,
+    toxicity,
+)
+from labelsieve.llm.common import held_out, table
 
 
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,6 +24,11 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, folder, "documents"))
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     encoded = pieces.encode(table(spark, folder, "documents"))
@@ -34,19 +50,99 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.KEEP).cast("int").alias("predicted"),
+    )
+
+
 def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash of every document and the smallest document it is linked with."""
     found = neardup.classes(table(spark, folder, "documents"))
     return found.select("doc_id", neardup.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the runs of lines that repeat earlier ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs)
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return model.transform(docs).select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that no longer one continues, in chat markup."""
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    texts = extraction.extract(table(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_licenses": op2_licenses,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_neardup": op6_neardup,
+    "op7_lines": op7_lines,
+    "op8_toxicity": op8_toxicity,
+    "op9_chat": op9_chat,
+    "op10_extraction": op10_extraction,
 }
 
+
+def _license_sql() -> str:
+    rows = ", ".join(
+        "('{}', '{}')".format(*(v.replace("'", "''") for v in pair))
+        for pair in licenses.NOTICES.items()
+    )
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    shingles = "[array_to_string(words[i:i + 4], ' ') FOR i IN range(1, greatest(len(words) - 4, 0) + 1)]"
+    return rf"""
+WITH templates(license, text) AS (VALUES {rows}),
+parts AS (
+  SELECT license, list_distinct({shingles}) AS parts
+  FROM (SELECT license, {words} AS words FROM templates)),
+known AS (SELECT license, parts, CAST(pow(2, ceil(log2(len(parts)))) AS INT) AS m FROM parts WHERE len(parts) > 0),
+texts AS (
+  SELECT * FROM (
+    SELECT doc_id, {shingles} AS pieces FROM (SELECT doc_id, {words} AS words FROM documents))
+  WHERE list_has_any(pieces, (SELECT flatten(list(parts)) FROM known))),
+windows AS (
+  SELECT doc_id, m, j * m AS skipped, pieces[j * m + 1:j * m + 2 * m] AS piece
+  FROM (SELECT doc_id, pieces, m,
+          unnest(range(0, greatest(CAST(ceil(len(pieces) / m) AS INT) - 2, 0) + 1)) AS j
+        FROM texts CROSS JOIN (SELECT DISTINCT m FROM known) WHERE len(pieces) > 0)),
+found AS (
+  SELECT doc_id, license, len(list_intersect(list_distinct(piece), parts)) / len(parts) AS containment,
+    [skipped + i - 1 FOR i IN range(1, len(piece) + 1) IF list_contains(parts, piece[i])] AS places
+  FROM windows JOIN known USING (m) WHERE list_has_any(piece, parts))
+SELECT doc_id, license, max(containment) AS containment, min(list_min(places)) AS first_word,
+  max(list_max(places)) + 4 AS last_word
+FROM found WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
+
 ORACLES = {
     "op4_decontamination": r"""
 WITH doc_words AS (
@@ -78,5 +174,57 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM doc_words LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op2_licenses": _license_sql(),
+    "op7_lines": r"""
+WITH every AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+measured AS (
+  SELECT doc_id, pos, trim(raw, ' ') AS line, len(regexp_extract_all(raw, '\S+')) AS w FROM every),
+placed AS (
+  SELECT *, row_number() OVER d AS i, sum(w) OVER d AS till, sum(w) OVER d - w AS since
+  FROM measured WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+reach AS (
+  SELECT a.doc_id, a.i AS low, max(b.i) AS high FROM placed a JOIN placed b
+  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.since - a.since < 50
+  GROUP BY a.doc_id, a.i HAVING max(b.till) - min(a.since) >= 50
+  UNION
+  SELECT a.doc_id, min(b.i), a.i FROM placed a JOIN placed b
+  ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 49 AND a.i AND a.till - b.till < 50
+  GROUP BY a.doc_id, a.i HAVING max(a.till) - min(b.since) >= 50),
+windows AS (
+  SELECT r.doc_id, low, high, string_agg(line, chr(10) ORDER BY i) AS content, min(pos) AS first_at, max(pos) AS last_at
+  FROM reach r JOIN placed p ON r.doc_id = p.doc_id AND p.i BETWEEN low AND high
+  GROUP BY r.doc_id, low, high),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER c AS first_doc, first_value(high) OVER c AS first_high
+  FROM windows WINDOW c AS (PARTITION BY content ORDER BY doc_id, low)),
+doomed AS (
+  SELECT DISTINCT doc_id, unnest(range(first_at, last_at + 1)) AS pos FROM ranked
+  WHERE doc_id > first_doc OR (doc_id = first_doc AND low > first_high)),
+kept AS (
+  SELECT e.doc_id, string_agg(raw, chr(10) ORDER BY e.pos) FILTER (WHERE d.pos IS NULL) AS text,
+    count(*) AS n_lines, count(d.pos) AS n_removed
+  FROM every e LEFT JOIN doomed d ON e.doc_id = d.doc_id AND e.pos = d.pos GROUP BY e.doc_id)
+SELECT kept.doc_id, CASE WHEN n_removed = 0 THEN documents.text ELSE coalesce(kept.text, '') END AS text,
+  n_lines, n_removed
+FROM kept JOIN documents USING (doc_id)
+""",
+    "op9_chat": r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+rolling AS (
+  SELECT conv_id, row_number() OVER w AS n,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS so_far,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+whole AS (SELECT so_far, min(conv_id) AS conv_id FROM rolling WHERE n = n_turns GROUP BY so_far),
+kept AS (
+  SELECT conv_id FROM whole WHERE so_far NOT IN (SELECT so_far FROM rolling WHERE n < n_turns))
+SELECT conv_id, count(*) AS n_turns,
+  string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |')
+    || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+FROM turns JOIN kept USING (conv_id) GROUP BY conv_id
 """,
 }
