@@ -80,25 +80,22 @@ def _fit(name):
     return query
 
 
-# Suites of many fits train the quick members of the registry.
-SUITE = tuple(models.get_model(name) for name in ("DecisionTree", "LogisticRegression", "GaussianNB"))
-
 
 def leaky_vs_clean(spark, folder):
     df = view(read(spark, folder, "events"), TRAFFIC).drop(KEY)
     prepared = [recipes.prepare_readme(df), recipes.prepare_clean(df)]
-    return metrics.delta_pivot(evaluate.compare_protocols(prepared, SUITE))
+    return metrics.delta_pivot(evaluate.compare_protocols(prepared))
 
 
 def repeated_kfold(spark, folder):
     df = view(read(spark, folder, "events"), NUMBERS)
     prepared = recipes.Prepared(df, NUMBER_FEATURES, "numbers", (), {})
-    return evaluate.repeated_kfold(prepared, (models.get_model("GaussianNB"),))
+    return evaluate.repeated_kfold(prepared)
 
 
 def lodo_sweep(spark, folder):
     matrix = view(read(spark, folder, "events"), NUMBERS, {DEVICE_COLUMN: PROVENANCE[DEVICE_COLUMN]})
-    scores = evaluate.lodo_sweep(matrix, KEY, DEVICES, (models.get_model("DecisionTree"), models.get_model("GaussianNB")))
+    scores = evaluate.lodo_sweep(matrix, KEY, DEVICES)
     return metrics.lodo_pivot(scores, [f"lodo_{d}" for d in DEVICES])
 
 
@@ -110,7 +107,7 @@ def cross_domain(spark, folder):
         {"Shifted": "o_totalprice / 1000", "USER": "CAST(o_custkey AS DOUBLE)", "other": "o_orderkey",
          "label": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END"},
     )
-    return evaluate.cross_domain(source, NUMBER_FEATURES, KEY, target, SUITE)
+    return evaluate.cross_domain(source, NUMBER_FEATURES, KEY, target)
 
 
 QUERIES = {

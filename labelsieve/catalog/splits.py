@@ -88,8 +88,9 @@ def kfold_assign(spark, folder):
 
 
 def lodo_split(spark, folder):
-    long = splits.lodo_splits(_traffic(spark, folder), DEVICES, KEY)
-    return long.select(KEY, "holdout", "split")
+    drawn = splits.lodo_draw(_traffic(spark, folder), KEY)
+    tested = F.filter(F.array(*[F.lit(d) for d in DEVICES]), lambda d: F.col("attack_drawn") | (F.col("source_device") == d))
+    return drawn.select(KEY, "source_device", "attack_drawn", F.array_join(tested, ",").alias("tested_under"))
 
 
 def text_features(spark, folder):
@@ -219,8 +220,10 @@ WHERE {s.unit(KEY)} < least(1.0::DOUBLE, CASE event_type WHEN 'error' THEN 600 W
     "stratified_split": f"""SELECT event_id, "{LABEL}", CASE WHEN row_number() OVER (PARTITION BY "{LABEL}" ORDER BY {s.digest(KEY)})
 <= round(count(*) OVER (PARTITION BY "{LABEL}") * 0.2) THEN 'test' ELSE 'train' END AS split FROM ({_TRAFFIC})""",
     "kfold_assign": f"SELECT event_id, {_fold(0)}, {_fold(1)}, {_fold(2)} FROM ({_TRAFFIC})",
-    "lodo_split": f"""SELECT event_id, holdout, CASE WHEN source_device = holdout OR ({_ATTACK} AND {s.unit(KEY)} < 0.2)
-THEN 'test' ELSE 'train' END AS split FROM ({_TRAFFIC}), (VALUES {', '.join(f"('{d}')" for d in DEVICES)}) AS d(holdout)""",
+    "lodo_split": f"""SELECT event_id, source_device, {_ATTACK} AND {s.unit(KEY)} < 0.2 AS attack_drawn,
+CASE WHEN {_ATTACK} AND {s.unit(KEY)} < 0.2 THEN '{','.join(DEVICES)}'
+WHEN source_device IN ({', '.join(f"'{d}'" for d in DEVICES)}) THEN source_device ELSE '' END AS tested_under
+FROM ({_TRAFFIC})""",
     "text_features": f"SELECT doc_id, {s.structural('text', 'text')} FROM documents",
     "char_entropy": f"SELECT page_id, {s.entropy('html')} AS entropy FROM pages",
     "injection_markers": "SELECT page_id, " + ", ".join(

@@ -12,9 +12,14 @@ HEX_DIGITS = 12
 
 
 def hash_hex(key, seed) -> Column:
-    """md5 of ``seed:key`` as 32 hex digits; ``key`` is a name or several."""
+    """md5 of ``seed:key`` as 32 hex digits; ``key`` is a name or several.
+
+    Each part of a composite key is written with its length, so that no two keys are spelt alike.
+    """
     names = [key] if isinstance(key, str) else list(key)
     parts = [token(col(name)) for name in names]
+    if len(parts) > 1:
+        parts = [F.concat(F.length(part), F.lit(":"), part) for part in parts]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 

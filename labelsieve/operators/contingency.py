@@ -20,6 +20,15 @@ def check_binary_label(df: DataFrame, label: str) -> None:
         raise ValueError(f"label column {label!r} holds {bad} values that are not 0 or 1")
 
 
+def checked_label(label: str) -> Column:
+    """The label as 0 or 1; a row with any other value ends the query with an error."""
+    message = F.concat(
+        F.lit(f"label column {label!r} holds a value that is not 0 or 1: "),
+        F.coalesce(col(label).cast("string"), F.lit("null")),
+    )
+    return F.coalesce(binary_label(col(label)), F.raise_error(message).cast("int"))
+
+
 def unpivot_tokens(df: DataFrame, columns, keep=(), render=token) -> DataFrame:
     """Long (column, token) rows of ``columns`` beside the ``keep`` expressions."""
     tokens = [render(col(name)).alias(name) for name in columns]
@@ -35,9 +44,10 @@ def contingency(
     """Rows per (column, token) and label: ``n0``, ``n1``.
 
     With ``test``, a boolean saying whether a row is held out, the held-out
-    part is counted too: ``test0``, ``test1``.
+    part is counted too: ``test0``, ``test1``. A label other than 0 or 1 is an
+    error, raised by the scan itself.
     """
-    keep = [("y", binary_label(col(label)))]
+    keep = [("y", checked_label(label))]
     if test is not None:
         keep.append(("held_out", test))
     long = unpivot_tokens(df, columns, keep, lambda c: token(c, missing))

@@ -37,6 +37,23 @@ def onehot(name: str, levels) -> list[Column]:
     ]
 
 
+def distinct_names(names) -> list[str]:
+    """The names, with ``~2``, ``~3`` … after those that Spark would take for an earlier one.
+
+    Column names are compared without case, so ``GET`` and ``get`` would be one; so would
+    token ``b_c`` of column ``a`` and token ``c`` of column ``a_b``.
+    """
+    taken, out = set(), []
+    for name in names:
+        number, chosen = 1, name
+        while chosen.lower() in taken:
+            number += 1
+            chosen = f"{name}~{number}"
+        taken.add(chosen.lower())
+        out.append(chosen)
+    return out
+
+
 def tokens_of(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("token_", token(col(column), NULL_TEXT))
 
@@ -110,7 +127,17 @@ class Encoding:
     def features(self, df: DataFrame) -> list[Column]:
         numbers = [numeric_or_zero(col(name)).alias(name) for name in self.numeric]
         dummies = [c for name, values in self.levels.items() for c in onehot(name, values)]
-        return numbers + dummies + derive_many(df, self.structural)
+        names = [*self.numeric, *[f"{c}_{v}" for c, values in self.levels.items() for v in values if v is not None]]
+        apart = distinct_names(names)
+        columns = [c.alias(n) for c, n in zip(numbers + dummies, apart, strict=True)]
+        return columns + derive_many(df, self.structural)
+
+    def slots(self) -> list[tuple]:
+        """(feature, column, token) of each number and one-hot column, in output order; no token for a number."""
+        pairs = [(name, None) for name in self.numeric]
+        pairs += [(c, v) for c, values in self.levels.items() for v in values if v is not None]
+        names = distinct_names([c if v is None else f"{c}_{v}" for c, v in pairs])
+        return [(name, *pair) for name, pair in zip(names, pairs, strict=True)]
 
     def apply(self, df: DataFrame, keep) -> DataFrame:
         features = self.features(df)

@@ -96,7 +96,7 @@ def fold_aggregate(scores: DataFrame, by=("model", "protocol", "metric"), value=
     base = scores.groupBy(*by).agg(
         F.avg(value).alias("mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
-        F.count("*").alias("n_folds"),
+        F.count(value).alias("n_folds"),
     )
     half = F.lit(Z_95) * F.col("std") / F.sqrt(F.col("n_folds").cast("double"))
     return base.select(

@@ -25,20 +25,21 @@ def capped_sample(
 ) -> DataFrame:
     """Keep about ``caps`` rows of each source, each row with equal probability.
 
-    ``caps`` is an expression over the ``source`` column. Sources within their
-    cap are kept whole. With ``key`` a row's fate hangs on its key; without,
+    ``caps`` is an expression over the ``source`` column; a null cap, also that
+    of a null source, keeps all. Sources within their cap are kept whole. With ``key`` a row's fate hangs on its key; without,
     on a seeded generator, which repeats for the same file splits. ``counts``
     are the source counts, if known already.
     """
     if counts is None:
         counts = materialise(source_counts(df, source), "counts")
-    rates = counts.select("source", F.least(F.lit(1.0), caps / F.col("n")).alias("rate_"))
+    rates = counts.select("source", F.coalesce(F.least(F.lit(1.0), caps / F.col("n")), F.lit(1.0)).alias("rate_"))
     draw = F.rand(int(seed)) if key is None else hash_unit(key, seed)
     drawn = df.withColumns({"draw_": draw, "source_": col(source)})
-    kept = join_small(drawn, rates.withColumnRenamed("source", "source_"), "source_")
+    same = F.col("source_").eqNullSafe(F.col("of_"))
+    kept = join_small(drawn, rates.withColumnRenamed("source", "of_"), same)
     # The default keeps the planner from testing the draw for null, and hashing twice.
     chosen = F.coalesce(F.col("draw_") < F.col("rate_"), F.lit(False))
-    return kept.where(chosen).drop("draw_", "rate_", "source_")
+    return kept.where(chosen).drop("draw_", "rate_", "source_", "of_")
 
 
 def subsample(df: DataFrame, n: int, key, *, seed=RANDOM_SEED) -> DataFrame:
@@ -79,7 +80,10 @@ def kfold_assign(
     if n_splits < 2 or n_repeats < 1:
         raise ValueError("n_splits must be at least 2 and n_repeats at least 1")
     stratum = binary_label(col(label))
-    smallest = df.groupBy(stratum.alias("s")).count().agg(F.min("count").alias("n")).first().n or 0
+    sizes = df.groupBy(stratum.alias("s")).count().collect()
+    if any(row.s is None for row in sizes):
+        raise ValueError(f"label column {label!r} holds values that are not 0 or 1")
+    smallest = min((row["count"] for row in sizes), default=0)
     if smallest < n_splits:
         raise ValueError(f"the smallest class has {smallest} rows, fewer than {n_splits} folds")
     seeds = [f"{seed}:{repeat}" for repeat in range(n_repeats)]
@@ -122,14 +126,13 @@ def lodo_split(
     return split
 
 
-def lodo_splits(
-    df: DataFrame, holdouts, key, *, device=DEVICE_COLUMN, attack_fraction=TEST_SIZE, seed=RANDOM_SEED
+def lodo_draw(
+    df: DataFrame, key, *, device=DEVICE_COLUMN, attack_fraction=TEST_SIZE, seed=RANDOM_SEED
 ) -> DataFrame:
-    """The split of every row under every held-out device, in long form.
+    """Add ``attack_drawn``: whether an attack row is tested under every held-out device.
 
-    The attack draw is the same for every device.
+    With the device it tells the side of a row whichever device is held out: tested
+    are the rows of that device and the drawn attacks. One row stays one row.
     """
-    names = F.array(*[F.lit(name) for name in holdouts])
-    long = df.withColumn("holdout", F.explode(names))
-    side = holdout_side(F.col("holdout"), col(device), hash_unit(key, seed), attack_fraction)
-    return long.withColumn("split", side)
+    attack = F.coalesce(col(device).startswith(ATTACK_PREFIX), F.lit(False))
+    return df.withColumn("attack_drawn", attack & (hash_unit(key, seed) < F.lit(attack_fraction)))

@@ -47,14 +47,15 @@ def class_balance(df: DataFrame, label: str = BINARY_LABEL, dimensions=BALANCE_D
 
 
 def last_per_group(df: DataFrame, group: str, order: str) -> DataFrame:
-    """The row of each group with the largest ``order``; one of them on a tie.
+    """The row of each group with the largest ``order``, nulls last.
 
-    The largest values are found by hash aggregation of two narrow columns and
-    matched with the rows, so whole rows are neither sorted nor shuffled.
+    One aggregate, combined before the shuffle: each task sends one row of a
+    group. A tie goes to the row of the largest hash over all columns.
     """
-    latest = materialise(df.groupBy(col(group).alias("group_")).agg(F.max(col(order)).alias("order_")), "latest")
-    found = F.col("group_").eqNullSafe(col(group)) & (F.col("order_") == col(order))
-    return join_small(df, latest, found).dropDuplicates(["group_"]).drop("group_", "order_")
+    tie = F.xxhash64(*[col(name) for name in df.columns])
+    rank = F.struct(col(order).isNotNull().alias("known"), col(order).alias("order"), tie.alias("tie"))
+    row = F.struct(*[col(name).alias(name) for name in df.columns])
+    return df.groupBy(col(group).alias("group_")).agg(F.max_by(row, rank).alias("row_")).select("row_.*")
 
 
 def percentiles(df: DataFrame, value: str, fractions: dict, *, by) -> DataFrame:
@@ -65,7 +66,7 @@ def percentiles(df: DataFrame, value: str, fractions: dict, *, by) -> DataFrame:
     """
     by = list(by)
     counted = df.where(col(value).isNotNull()).groupBy(*by, col(value).alias("v")).agg(F.count("*").alias("n"))
-    placed = running_totals(counted, "v", ["n"], groups=by)
+    placed = materialise(running_totals(counted, "v", ["n"], groups=by), "placed")
     totals = placed.groupBy(*by).agg(F.sum("n").alias("total"))
     joined = join_small(placed, totals, by)
 

@@ -22,9 +22,6 @@ from labelsieve.operators.splits import capped_sample, source_counts
 from labelsieve.sources.captures import STEM, attribute
 from labelsieve.storage import materialise
 
-# A sample this large is never empty (odds below e^-50); smaller caps are checked.
-SURE_ROWS = 50
-
 
 @dataclass(frozen=True)
 class BenchmarkConfig:
@@ -58,9 +55,8 @@ def build_benchmark(
     caps = F.when(F.col("source").isin(*attacks), config.max_rows_per_attack).otherwise(
         config.max_rows_per_device
     )
-    sampled = capped_sample(known, STEM, caps, key, counts=counts, seed=config.seed)
-    if min(config.max_rows_per_device, config.max_rows_per_attack) < SURE_ROWS:
-        _check_filled(source_counts(sampled, STEM), stems, "sampling kept no rows of")
+    sampled = materialise(capped_sample(known, STEM, caps, key, counts=counts, seed=config.seed), "sampled")
+    _check_filled(source_counts(sampled, STEM), stems, "sampling kept no rows of")
     kept = [STEM, *([key] if key else [])]
     standard = standardise_capture(sampled.select("*", *[col(c).alias(f"{c}__kept") for c in kept]).drop(*kept))
     for name in kept:

@@ -1,12 +1,17 @@
 """Fit models under a split protocol and score them.
 
-Fits run one after another, each distributed. Their predictions are appended
-to one table in the scratch folder, and all runs are scored together from it.
+Each fit is distributed; a suite runs a few at a time, as one alone leaves cores
+waiting for the driver between its small jobs. Predictions go to a folder of each
+run in the scratch folder, and all runs are scored together from them.
 """
 
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,11 +33,17 @@ from labelsieve.operators.metrics import (
     confusion,
     fold_aggregate,
     per_class,
+    recall_map,
     roc_auc,
 )
 from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, lodo_split, stratified_split
 from labelsieve.plans.models import FEATURES, LABEL, MODELS
-from labelsieve.storage import materialise, scratch_path, spread
+from labelsieve.storage import materialise, scratch_path
+
+#: Partitions of training rows: bagging is seeded by partition, so their number is fixed.
+TRAIN_PARTITIONS = 32
+#: Fits of a suite that run at the same time.
+PARALLEL_FITS = 4
 
 
 def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> DataFrame:
@@ -48,11 +59,12 @@ def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> Dat
 
 @dataclass
 class Runs:
-    """Predictions of several fits in one table, and the facts about each fit."""
+    """Predictions of several fits, a folder each, and the facts about each fit."""
 
     spark: SparkSession
     path: str
     facts: list = field(default_factory=list)
+    folders: list = field(default_factory=list)
     skipped: list = field(default_factory=list)
 
     @classmethod
@@ -66,17 +78,21 @@ class Runs:
             raise ValueError(f"the training rows of {split!r} hold {len(classes)} classes")
         width = len(train.select(FEATURES).first()[0])
         parts = test if isinstance(test, list) else [(split, test)]
+        content = F.xxhash64(*[F.col(c).cast("string") for c in train.columns])
+        dealt = train.withColumn("h_", content).repartition(TRAIN_PARTITIONS, "h_").sortWithinPartitions("h_").drop("h_")
         started = time.perf_counter()
-        model = spec.build(width, sum(classes.values()), **settings).fit(spread(train))
+        model = spec.build(width, sum(classes.values()), **settings).fit(dealt)
         fitted = time.perf_counter()
+        folder = f"{self.path}/{spec.name}-{uuid.uuid4().hex}"
         for name, rows in parts:
             scored = model.transform(rows).select(
                 F.lit(spec.name).alias("model"), F.lit(protocol).alias("protocol"), F.lit(name).alias("split"),
                 F.col(LABEL).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
                 vector_to_array("probability")[1].alias("score"),
             )
-            scored.write.mode("append").parquet(self.path)
+            scored.write.mode("append").parquet(folder)
         predicted = time.perf_counter()
+        self.folders.append(folder)  # only now: a half run has no part in the scores
         for name, _ in parts:
             self.facts.append(
                 (spec.name, protocol, name, sum(classes.values()), width, fitted - started, predicted - fitted)
@@ -86,19 +102,35 @@ class Runs:
         """Fit; a run that cannot be fitted is noted and left out."""
         try:
             self.fit(spec, *args, **settings)
-        except (ValueError, PySparkException) as problem:
-            self.skipped.append((spec.name, str(problem)))
+        except (ValueError, PySparkException, Py4JJavaError) as problem:
+            protocol, split = args[2], args[3]
+            self.skipped.append((spec.name, protocol, split, str(problem)[:500]))
+
+    def fit_all(self, jobs) -> None:
+        """Fit each (spec, train, test, protocol, split, settings), a few at a time."""
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(lambda job: self.try_fit(*job[:5], **job[5])), jobs))
+
+    def skipped_frame(self) -> DataFrame:
+        """The runs that could not be fitted, and why."""
+        return self.spark.createDataFrame(
+            self.skipped, "model string, protocol string, split string, problem string"
+        )
 
     def predictions(self) -> DataFrame:
         if not self.facts:
             raise ValueError(f"no run was completed: {self.skipped}")
         schema = "model string, protocol string, split string, label int, prediction int, score double"
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(schema).parquet(*self.folders)
 
     def scores(self, auc: bool = True) -> DataFrame:
-        """A row per run: sizes, metrics, and the time each phase took."""
+        """A row per run: sizes, metrics, recall of each class, and the time each phase took.
+
+        A run that could not be fitted has a row too: ``problem`` says why, the rest is null.
+        """
         predictions = self.predictions()
-        metrics = classification_metrics(confusion(predictions))
+        counts = materialise(confusion(predictions), "confusion")
+        metrics = classification_metrics(counts).join(recall_map(counts), list(RUN), "left")
         if auc:
             metrics = metrics.join(roc_auc(predictions), list(RUN))
         facts = self.spark.createDataFrame(
@@ -107,7 +139,10 @@ class Runs:
             "fit_seconds double, predict_seconds double",
         )
         micros = F.col("predict_seconds") * 1e6 / F.col("n_test")
-        return metrics.join(F.broadcast(facts), list(RUN)).withColumn("predict_us_per_sample", micros)
+        card = metrics.join(F.broadcast(facts), list(RUN)).withColumn("predict_us_per_sample", micros)
+        return card.withColumn("problem", F.lit(None).cast("string")).unionByName(
+            self.skipped_frame(), allowMissingColumns=True
+        )
 
 
 def fit_and_score(spec, train: DataFrame, test: DataFrame, *, protocol: str, split: str, **settings) -> DataFrame:
@@ -126,8 +161,9 @@ def fit_split(runs: Runs, prepared, specs, *, test_size=TEST_SIZE, seed=RANDOM_S
     rows = materialise(assemble(split, prepared.features, keep=("split",)), "matrix")
     train = rows.where(F.col("split") == TRAIN).drop("split")
     test = rows.where(F.col("split") == TEST).drop("split")
-    for spec in specs:
-        runs.try_fit(spec, train, test, prepared.protocol, "random_stratified", **(settings or {}).get(spec.name, {}))
+    runs.fit_all(
+        (spec, train, test, prepared.protocol, "random_stratified", (settings or {}).get(spec.name, {})) for spec in specs
+    )
 
 
 def compare_protocols(prepared, specs=MODELS, **options) -> DataFrame:
@@ -152,12 +188,19 @@ def repeated_kfold(
     folds = [f"fold_{repeat}" for repeat in range(n_repeats)]
     rows = materialise(assemble(folded, prepared.features, keep=folds), "folds")
     runs = Runs.start(rows.sparkSession)
-    for fold in folds:
-        for number in range(n_splits):
-            train = rows.where(F.col(fold) != number).drop(*folds)
-            test = rows.where(F.col(fold) == number).drop(*folds)
-            for spec in specs:
-                runs.try_fit(spec, train, test, prepared.protocol, f"{fold}_{number}", **(settings or {}).get(spec.name, {}))
+    runs.fit_all(
+        (
+            spec,
+            rows.where(F.col(fold) != number).drop(*folds),
+            rows.where(F.col(fold) == number).drop(*folds),
+            prepared.protocol,
+            f"{fold}_{number}",
+            (settings or {}).get(spec.name, {}),
+        )
+        for fold in folds
+        for number in range(n_splits)
+        for spec in specs
+    )
     return fold_aggregate(fold_scores(runs.scores(auc=False)))
 
 
@@ -172,17 +215,19 @@ def lodo_sweep(
     rows = materialise(
         assemble(matrix, features, keep=(key, DEVICE_COLUMN)), "sweep"
     )
-    runs = Runs.start(rows.sparkSession)
+    runs, jobs = Runs.start(rows.sparkSession), []
     for device in devices:
         try:
             split = lodo_split(rows, device, key, LABEL, attack_fraction=attack_fraction, seed=seed)
         except ValueError as problem:
-            runs.skipped.append((device, str(problem)))
+            runs.skipped.extend((spec.name, "benchmark", f"lodo_{device}", str(problem)) for spec in specs)
             continue
         train = split.where(F.col("split") == TRAIN).select(LABEL, FEATURES)
         test = split.where(F.col("split") == TEST).select(LABEL, FEATURES)
-        for spec in specs:
-            runs.try_fit(spec, train, test, "benchmark", f"lodo_{device}", **(settings or {}).get(spec.name, {}))
+        jobs += [
+            (spec, train, test, "benchmark", f"lodo_{device}", (settings or {}).get(spec.name, {})) for spec in specs
+        ]
+    runs.fit_all(jobs)
     return runs.scores()
 
 
@@ -228,15 +273,12 @@ def cross_domain(
     aligned = align(split, pairs, side=0, keep=(label, "split"))
     rows = materialise(assemble(aligned, names, label, keep=("split",)), "source")
     foreign = target.withColumnRenamed(target_label, "target_label_")
-    other = assemble(align(foreign, pairs, side=1, keep=("target_label_",)), names, "target_label_")
+    other = materialise(assemble(align(foreign, pairs, side=1, keep=("target_label_",)), names, "target_label_"), "target")
     train = rows.where(F.col("split") == TRAIN).drop("split")
     test = rows.where(F.col("split") == TEST).drop("split")
     runs = Runs.start(rows.sparkSession)
-    for spec in specs:
-        runs.try_fit(
-            spec, train, [(IN_DOMAIN, test), (CROSS_DOMAIN, other)], "cross_domain", "source",
-            **(settings or {}).get(spec.name, {}),
-        )
+    both = [(IN_DOMAIN, test), (CROSS_DOMAIN, other)]
+    runs.fit_all((spec, train, both, "cross_domain", "source", (settings or {}).get(spec.name, {})) for spec in specs)
     return cross_domain_metrics(runs.predictions()).withColumn("shared_features", F.lit(len(pairs)))
 
 

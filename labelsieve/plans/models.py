@@ -17,7 +17,8 @@ from pyspark.ml.feature import StandardScaler
 from labelsieve.constants import RANDOM_SEED
 
 FEATURES, LABEL, SCALED = "features", "label", "scaled"
-MAX_LEAVES = 2_000
+#: Rows that a leaf of a tree or forest keeps at least.
+LEAF_ROWS = 1
 
 
 @dataclass(frozen=True)
@@ -46,15 +47,15 @@ class Model:
 
 
 def full_depth(n_features: int, n_rows: int) -> dict:
-    """A tree that grows as deep as it can.
+    """A tree that grows until leaves are pure, or 30 levels deep, as far as Spark goes.
 
-    A grown tree lives on the driver, so its size must not follow the data: a
-    leaf keeps at least a ``1 / MAX_LEAVES`` share of the rows. Node ids are
+    A grown tree lives on the driver. Where that is too much, pass a larger
+    ``minInstancesPerNode``; none is derived from the data. Node ids are
     cached, so a deep tree is not walked from its root at every level.
     """
     return {
         "maxDepth": 30,
-        "minInstancesPerNode": max(1, n_rows // MAX_LEAVES),
+        "minInstancesPerNode": LEAF_ROWS,
         "maxMemoryInMB": 1024,
         "cacheNodeIds": True,
         "seed": RANDOM_SEED,

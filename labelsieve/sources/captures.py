@@ -55,19 +55,32 @@ def catalogue(spark: SparkSession, rows=None) -> DataFrame:
 def attribute(df: DataFrame, dimension: DataFrame, stem: str = STEM) -> DataFrame:
     """Stamp rows with the label, class, device and layer of their capture.
 
-    The dimension has one row per capture file.
+    The dimension has one row per capture file. A row of a capture that is not
+    in it ends the query with an error.
     """
-    labels = [n for n in df.columns if n in dimension.columns and n != stem]
-    bare = df.drop(*labels)
-    return join_small(bare, dimension.withColumnRenamed(STEM, stem), stem)
+    stamped = [n for n in dimension.columns if n != STEM]
+    bare = df.drop(*[n for n in stamped if n in df.columns])
+    named = dimension.withColumnRenamed(STEM, stem).withColumn("listed_", F.lit(True))
+    joined = join_small(bare, named, stem, "left")
+    message = F.concat(F.lit("no such capture in the catalogue: "), F.coalesce(col(stem), F.lit("null")))
+    unknown = F.raise_error(message)
+    return joined.select(
+        *[
+            F.when(F.col("listed_").isNull(), unknown.cast(joined.schema[n].dataType)).otherwise(col(n)).alias(n)
+            if n in stamped
+            else col(n)
+            for n in joined.columns
+            if n != "listed_"
+        ]
+    )
 
 
 def scan_captures(spark: SparkSession, paths, *, multiline: bool = False) -> DataFrame:
-    """All captures in one scan, as text, with the file stem in ``capture``."""
+    """All captures in one scan, as text, with the file stem in ``capture``.
+
+    A file with another header than the first ends the scan with an error.
+    """
     header = read_header(spark, paths[0])
-    for path in paths[1:]:
-        if read_header(spark, path) != header:
-            raise ValueError(f"{path} has another header than {paths[0]}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     scan = csv_reader(spark, multiline).schema(schema).csv(list(paths))
     name = F.url_decode(F.col("_metadata.file_name"))

@@ -6,11 +6,14 @@ from labelsieve.constants import BINARY_LABEL
 from labelsieve.functions.columns import col, null_if_missing, numeric
 
 BYTE_ORDER_MARK = "\ufeff"
+#: Rows of a report that is written as one file.
+REPORT_ROWS = 100_000
 
 
 def csv_reader(spark: SparkSession, multiline: bool):
+    """A reader that checks the header of every file against the schema as it scans."""
     return spark.read.options(
-        header=True, escape='"', quote='"', encoding="UTF-8", multiLine=multiline, enforceSchema=True
+        header=True, escape='"', quote='"', encoding="UTF-8", multiLine=multiline, enforceSchema=False
     )
 
 
@@ -84,10 +87,18 @@ def write_benchmark(df: DataFrame, path: str, partition: str = "source_device",
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """The table with its sources as text: "0" and "0.0" must not become one number."""
+    setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """One CSV or JSON file; for reports of a few rows."""
-    one = df.coalesce(1).write
+    """One CSV or JSON file of a report; larger tables keep their partitions."""
+    small = df.limit(REPORT_ROWS + 1).count() <= REPORT_ROWS
+    one = (df.coalesce(1) if small else df).write
     one.json(path) if kind == "json" else one.option("header", True).csv(path)

@@ -5,6 +5,7 @@ cluster's shared checkpoint folder: it outlives a lost executor, cuts the
 lineage, and later readers still prune columns.
 """
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def scratch_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="labelsieve-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -194,3 +194,12 @@ def test_standardise_constant_and_empty(spark):
     assert sorted(tuple(r) for r in encoders.standardise(df, ["a", "b"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
     with pytest.raises(ValueError):
         encoders.standardise(df, ["a"], train=F.lit(False))
+
+
+def test_other_labels_end_the_audit(spark):
+    from labelsieve.operators.contingency import contingency, token_purity
+
+    df = spark.createDataFrame([("a", "0"), ("b", "1"), ("c", None)], "t string, y string")
+    with pytest.raises(Exception, match="not 0 or 1: null"):
+        token_purity(contingency(df, ["t"], "y")).collect()
+    assert token_purity(contingency(df.where("y is not null"), ["t"], "y")).first().n_rows == 2

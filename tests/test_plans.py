@@ -57,7 +57,7 @@ def test_preparation_is_checked(spark, traffic):
 
 def test_sparse_features_equal_wide_ones(traffic):
     wide = recipes.prepare_readme(traffic)
-    sparse = recipes.prepare_readme(traffic, wide_columns=10)
+    sparse = recipes.prepare_readme(traffic, vector=True)
     assert sparse.features == ("features",)
     left = {r.row_key: tuple(r[f] for f in wide.features) for r in wide.frame.collect()}
     right = {r.row_key: tuple(r.v) for r in sparse.frame.select("row_key", vector_to_array("features").alias("v")).collect()}
@@ -176,7 +176,8 @@ def test_sweep_skips_absent_devices(spark):
         (F.col("id") % 3).cast("double").alias("f"), (F.col("id") % 7).cast("double").alias("g"),
     )
     scores = evaluate.lodo_sweep(df, "key", ["d0", "d1", "gone"], [models.get_model("DecisionTree")])
-    assert {r.split for r in scores.collect()} == {"lodo_d0", "lodo_d1"}
+    assert {r.split for r in scores.where("problem is null").collect()} == {"lodo_d0", "lodo_d1"}
+    assert [(r.split, r.model) for r in scores.where("problem is not null").collect()] == [("lodo_gone", "DecisionTree")]
     row = metrics.lodo_pivot(scores, ["lodo_d0", "lodo_d1"]).first()
     assert row.mean == 1.0 and row.worst == 1.0
 
@@ -186,3 +187,45 @@ def test_last_row_of_each_group(spark):
     df = spark.createDataFrame(rows, "scheme string, round int, v string")
     got = sorted(((r.scheme, r.v) for r in summaries.last_per_group(df, "scheme", "round").collect()), key=str)
     assert got == [("a", "y"), ("b", "z"), (None, "n")]
+
+
+def test_last_row_keeps_groups_of_null_order(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 2, "y"), ("a", None, "z"), ("b", None, "only"), (None, 5, "n")], "g string, o int, v string"
+    )
+    assert sorted((r.g or "", r.v) for r in summaries.last_per_group(df, "g", "o").collect()) == [("", "n"), ("a", "y"), ("b", "only")]
+
+
+def test_a_failing_fit_is_reported(spark):
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(60)], "key int, f0 double, y int")
+    rows = evaluate.assemble(df, ["f0"], "y")
+    runs = evaluate.Runs.start(spark)
+    tree = models.get_model("DecisionTree")
+    broken = rows.withColumn("label", F.when(F.col("label") == 1, F.expr("1 / int(label - label)")).otherwise(0))
+    runs.fit_all([
+        (tree, rows, rows, "p", "good", {}),
+        (tree, rows, [("half", rows), ("broken", broken)], "p", "bad", {}),
+        (tree, rows.where("label = 0"), rows, "p", "single", {}),
+    ])
+    card = {r.split: r for r in runs.scores(auc=False).collect()}
+    assert set(card) == {"good", "bad", "single"}
+    assert card["good"].problem is None and set(card["good"].per_class_recall) == {"0", "1"}
+    assert "DIVIDE_BY_ZERO" in card["bad"].problem and "1 classes" in card["single"].problem
+
+
+def test_tokens_alike_but_for_case(spark):
+    methods = ["GET", "get", "nan", "NaN"]
+    rows = [(str(i % 2), "N" if i % 2 else "X", methods[i % 4 if i % 3 else 0], str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "Attack_label string, Attack_type string, `http.request.method` string, n string")
+    prepared = [recipes.prepare_readme(df), recipes.prepare_clean(df)]
+    assert len({f.lower() for f in prepared[0].features}) == len(prepared[0].features) == 5
+    scores = evaluate.compare_protocols(prepared, [models.get_model("DecisionTree")])
+    assert scores.where("problem is null").count() == 2
+
+
+def test_vector_form_lists_its_slots(traffic):
+    prepared = recipes.prepare_readme(traffic, vector=True)
+    slots = sorted(r.slot for r in prepared.levels.collect())
+    width = prepared.notes["n_features"]
+    assert slots == list(range(width - prepared.notes["n_dummy_features"], width))
+    assert not prepared.frame.schema["features"].metadata

@@ -163,3 +163,27 @@ def test_lookup_on_every_path(spark, monkeypatch, bound, share):
     assert codes == {i: float(first.index(t)) for i, t in enumerate(text)}
     assert ranks == {i: float(sorted(first).index(t)) for i, t in enumerate(text)}
     assert shares == {i: text.count(t) / len(text) for i, t in enumerate(text)}
+
+
+def test_capped_sample_keeps_rows_of_null_sources(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, src string")
+    assert splits.capped_sample(df, "src", F.lit(100), "id").count() == 3
+
+
+def test_folds_refuse_other_labels(rows):
+    with pytest.raises(ValueError, match="not 0 or 1"):
+        splits.kfold_assign(rows.withColumn("y", F.when(F.col("id") == 3, 2).otherwise(F.col("y"))), "id", "y")
+
+
+def test_composite_keys_are_framed(spark):
+    from labelsieve.functions.hashing import hash_hex
+
+    df = spark.createDataFrame([("a:b", "c"), ("a", "b:c")], "x string, y string")
+    assert df.select(hash_hex(["x", "y"], 1).alias("h")).distinct().count() == 2
+
+
+def test_lodo_draw_tells_every_side(rows):
+    drawn = splits.lodo_draw(rows, "id").collect()
+    for device in ("d0", "d1"):
+        split = {r.id: r.split for r in splits.lodo_split(rows, device, "id", "y").collect()}
+        assert split == {r.id: "test" if r.attack_drawn or r.source_device == device else "train" for r in drawn}

@@ -167,3 +167,27 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert incremental.audit_so_far(spark, counts).collect() == batch
     with pytest.raises(ValueError):
         incremental.read_pieces(spark, data, rows.schema, files_per_batch=0)
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_strings(spark, paths).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        captures.scan_captures(spark, paths).collect()
+
+
+def test_sources_stay_text(spark, tmp_path):
+    df = spark.createDataFrame([("0", 1), ("0.0", 2)], "source_device string, v int")
+    tables.write_benchmark(df, str(tmp_path / "b"))
+    assert sorted(map(tuple, tables.read_benchmark(spark, str(tmp_path / "b")).select("source_device", "v").collect())) == [("0", 1), ("0.0", 2)]
+
+
+def test_unknown_captures_are_an_error(spark):
+    dimension = captures.catalogue(spark, captures.device_rows(["Modbus"]))
+    rows = spark.createDataFrame([("Modbus", "1"), ("Other", "2")], "capture string, v string")
+    with pytest.raises(Exception, match="no such capture"):
+        captures.attribute(rows, dimension).collect()
+    assert captures.attribute(rows.where("capture = 'Modbus'"), dimension).first().source_device == "Modbus"
