@@ -64,11 +64,12 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         docs,
         ["doc_id"],
         text_hash=F.xxhash64(whole_text("text")),
+        n_lines=F.size(lines),
         lines=F.filter(parsed, lambda line: line["w"] > 0),
     )
     rows = computed(
         parsed,
-        ["doc_id", "text_hash"],
+        ["doc_id", "text_hash", "n_lines"],
         at=F.col("lines.at"),
         h=F.col("lines.h"),
         g=F.col("lines.g"),
@@ -102,7 +103,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.xxhash64(hashes).alias("key"),
         F.xxhash64(F.slice(F.col("g"), F.col("w.start"), F.col("w.k"))).alias("key2"),
         F.element_at("at", F.col("w.start")).alias("first_line"),
-        F.element_at("at", F.col("w.start") + F.col("w.k") - 1).alias("last_line"),
+        (F.coalesce(F.get("at", F.col("w.start") + F.col("w.k") - 1), F.col("n_lines")) - 1).alias("last_line"),
     )
 
 
@@ -154,7 +155,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated runs deleted from ``text``, ``n_lines`` and ``n_removed``.
 
     Order is that of doc_id, then of lines. Lines are compared without spaces around
-    them; empty lines inside a deleted run go with it. A null text stays null and has one empty
+    them; empty lines belong to the line before them. A null text stays null and has one empty
     line. Rows of null doc_id come first and stay whole. Rows that agree in
     doc_id and text count as one occurrence and are treated alike. Columns called n_lines or
     n_removed are replaced; all others go along.

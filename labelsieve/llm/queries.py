@@ -181,9 +181,11 @@ WITH every AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 measured AS (
-  SELECT doc_id, pos, trim(raw, ' ') AS line, len(regexp_extract_all(raw, '\S+')) AS w FROM every),
+  SELECT doc_id, pos, trim(raw, ' ') AS line, len(regexp_extract_all(raw, '\S+')) AS w,
+    count(*) OVER (PARTITION BY doc_id) AS n_lines FROM every),
 placed AS (
-  SELECT *, row_number() OVER d AS i, sum(w) OVER d AS till, sum(w) OVER d - w AS since
+  SELECT *, row_number() OVER d AS i, sum(w) OVER d AS till, sum(w) OVER d - w AS since,
+    coalesce(lead(pos) OVER d, n_lines) - 1 AS end_pos
   FROM measured WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 reach AS (
   SELECT a.doc_id, a.i AS low, max(b.i) AS high FROM placed a JOIN placed b
@@ -194,7 +196,7 @@ reach AS (
   ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 49 AND a.i AND a.till - b.till < 50
   GROUP BY a.doc_id, a.i HAVING max(a.till) - min(b.since) >= 50),
 windows AS (
-  SELECT r.doc_id, low, high, string_agg(line, chr(10) ORDER BY i) AS content, min(pos) AS first_at, max(pos) AS last_at
+  SELECT r.doc_id, low, high, string_agg(line, chr(10) ORDER BY i) AS content, min(pos) AS first_at, max(end_pos) AS last_at
   FROM reach r JOIN placed p ON r.doc_id = p.doc_id AND p.i BETWEEN low AND high
   GROUP BY r.doc_id, low, high),
 ranked AS (
