@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelsieve.constants import FLOAT_ZERO, MISSING_TOKEN, STRING_ZERO
 from labelsieve.functions.columns import binary_label, col, present, quoted, strip, token, xlogx
+from labelsieve.storage import materialise
 
 
 def check_binary_label(df: DataFrame, label: str) -> None:
@@ -180,10 +181,7 @@ def placeholder_label_distribution(df: DataFrame, columns, label: str) -> DataFr
     """Rows per label under each zero spelling, and whether it has one label."""
     keep = [("label", strip(token(col(label), "")))]
     long = unpivot_tokens(df, present(df, columns), keep, lambda c: strip(token(c, "")))
-    counts = (
-        long.where(F.col("token").isin(STRING_ZERO, FLOAT_ZERO))
-        .groupBy("column", "token", "label")
-        .agg(F.count("*").alias("n"))
-    )
+    zeros = long.where(F.col("token").isin(STRING_ZERO, FLOAT_ZERO))
+    counts = materialise(zeros.groupBy("column", "token", "label").agg(F.count("*").alias("n")), "zeros")
     labels = counts.groupBy("column", "token").agg((F.count("*") == 1).alias("single_label"))
     return counts.join(labels, ["column", "token"])

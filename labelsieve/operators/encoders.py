@@ -100,7 +100,9 @@ def encoding_agnostic(df: DataFrame, columns, label: str, key, *, test_size=TEST
     equal count: their counts are added before the majority is taken.
     """
     columns = present(df, columns)
-    counts = split_contingency(df, columns, label, key, test_size=test_size, seed=seed, missing=NULL_TEXT)
+    counts = materialise(
+        split_contingency(df, columns, label, key, test_size=test_size, seed=seed, missing=NULL_TEXT), "tokens"
+    )
     merged = counts.groupBy("column", (F.col("n0") + F.col("n1")).alias("count_")).agg(
         *[F.sum(c).alias(c) for c in ("n0", "n1", "test0", "test1")]
     )

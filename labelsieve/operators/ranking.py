@@ -50,14 +50,29 @@ def _cuts_below(h: Column, cuts: list, already: int) -> Column:
     if not cuts:
         return F.lit(already)
     if len(cuts) > INLINE_CUTS:
-        literal = F.array(*[F.lit(c) for c in cuts])
-        return F.size(F.filter(literal, lambda c: c < h)) + F.lit(already)
+        return _placed(h, cuts) + F.lit(already)
     middle = len(cuts) // 2
     return F.when(h <= F.lit(cuts[middle]), _cuts_below(h, cuts[:middle], already)).otherwise(
         _cuts_below(h, cuts[middle + 1 :], already + middle + 1)
     )
 
 
+def _placed(value: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are below ``value``, by halving an array of them."""
+    literal = F.array(*[F.lit(b) for b in bounds])
+    state = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(s: Column, _step: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        below = F.struct(s["low"].alias("low"), middle.alias("high"))
+        narrower = F.when(F.get(literal, middle) < value, above).otherwise(below)
+        return F.when(s["low"] < s["high"], narrower).otherwise(s)
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, state, halve, lambda s: s["low"])
+
+
 def hash_cuts(df: DataFrame, key, ranks, *, seed, stratum: Column = None) -> HashCuts:
     """Find the hashes at ``ranks`` (1-based) of the order by ``md5(seed:key)``.
 
@@ -188,9 +203,8 @@ def running_totals(df: DataFrame, order: str, values, *, groups=()) -> DataFrame
         within = Window.partitionBy(*groups).orderBy(order)
         return df.select("*", *[F.sum(v).over(within).alias(f"{v}_upto") for v in values])
 
-    bounds = _range_bounds(df, order, n)
-    literal = F.array(*[F.lit(b) for b in bounds])
-    ranged = df.withColumn("range_", F.size(F.filter(literal, lambda b: b < F.col(order))))
+    bounds = _range_bounds(df, order, groups, n)
+    ranged = df.withColumn("range_", _placed(F.col(order), bounds) if bounds else F.lit(0))
     ahead = Window.partitionBy(*groups).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*groups, "range_")
@@ -208,15 +222,14 @@ def running_totals(df: DataFrame, order: str, values, *, groups=()) -> DataFrame
     )
 
 
-def _range_bounds(df: DataFrame, order: str, n: int) -> list:
-    """Values splitting the order into ranges, from about 32 samples a range."""
+def _range_bounds(df: DataFrame, order: str, groups, n: int) -> list:
+    """Values splitting the order into ranges, from about 32 samples a range, 2,048 ranges at most.
+
+    A row is drawn by its group and value, so the rows of a common value are drawn one by one.
+    """
     ranges = min(-(-n // RANGE_ROWS), 2048)
     sample = (
-        df.select(order)
-        .where(hash_unit(order, "range-bounds") < 32 * ranges / n)
-        .orderBy(order)
-        .limit(100_000)
-        .collect()
+        df.where(hash_unit([*groups, order], "range-bounds") < 32 * ranges / n).select(order).orderBy(order).collect()
     )
     values = [row[0] for row in sample if row[0] is not None]
     step = max(len(values) // ranges, 1)

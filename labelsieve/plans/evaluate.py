@@ -40,8 +40,9 @@ from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, lodo_split, s
 from labelsieve.plans.models import FEATURES, LABEL, MODELS
 from labelsieve.storage import materialise, scratch_path
 
-#: Partitions of training rows: bagging is seeded by partition, so their number is fixed.
-TRAIN_PARTITIONS = 32
+#: Training rows in a partition, about, and the fewest partitions. Bagging is seeded by
+#: partition, so the layout follows the rows and never the cluster.
+PARTITION_ROWS, FEWEST_PARTITIONS = 50_000, 8
 #: Fits of a suite that run at the same time.
 PARALLEL_FITS = 4
 
@@ -79,7 +80,8 @@ class Runs:
         width = len(train.select(FEATURES).first()[0])
         parts = test if isinstance(test, list) else [(split, test)]
         content = F.xxhash64(*[F.col(c).cast("string") for c in train.columns])
-        dealt = train.withColumn("h_", content).repartition(TRAIN_PARTITIONS, "h_").sortWithinPartitions("h_").drop("h_")
+        partitions = max(FEWEST_PARTITIONS, sum(classes.values()) // PARTITION_ROWS)
+        dealt = train.withColumn("h_", content).repartition(partitions, "h_").sortWithinPartitions("h_").drop("h_")
         started = time.perf_counter()
         model = spec.build(width, sum(classes.values()), **settings).fit(dealt)
         fitted = time.perf_counter()
