@@ -8,10 +8,25 @@ from labelsieve.catalog.fixtures import (
 )
 from labelsieve.functions.columns import numeric_or_zero, col
 from labelsieve.operators import audit, contingency as c, duplicates, encoders, placeholders, profile
+from labelsieve.sources import tables
+from labelsieve.storage import scratch_path
 
 LABEL, KEY = "Attack_label", "event_id"
 
 
+def ragged_separation(spark, folder):
+    """Separation in CSV files of which every tenth record has a field too many."""
+    path = scratch_path(spark, "ragged")
+    rows = _traffic(spark, folder)
+    cells = [col(n) for n in (*CATEGORICAL, "Attack_type")]
+    tables.write_strings(rows.where("event_id % 10 <> 0").select(*cells), f"{path}/whole")
+    longer = [*cells[:-1], F.concat("Attack_type", F.lit(",more")).alias("Attack_type")]
+    unquoted = rows.where("event_id % 10 = 0").select(*longer).write.options(header=True, quote="\u0000")
+    unquoted.csv(f"{path}/ragged")
+    read_back = tables.read_strings(spark, [f"{path}/whole", f"{path}/ragged"], missing=False, skip_ragged=True)
+    return rounded(c.separation_any_label(read_back, CATEGORICAL, "Attack_type"))
+
+
 def _traffic(spark, folder):
     return view(read(spark, folder, "events"), TRAFFIC)
 
@@ -80,6 +95,7 @@ QUERIES = {
     "separation_multiclass": lambda spark, folder: rounded(
         c.separation_any_label(_traffic(spark, folder), CATEGORICAL, "Attack_type")
     ),
+    "ragged_separation": ragged_separation,
     "placeholder_label_dist": lambda spark, folder: c.placeholder_label_distribution(
         _traffic(spark, folder), CATEGORICAL, "Attack_type"
     ),
@@ -114,12 +130,18 @@ SELECT list_position([{', '.join(s.text(n) for n in columns)}], "column")::BIGIN
 FROM purity JOIN nmi USING ("column") JOIN accuracy USING ("column") JOIN spelling USING ("column")"""
 
 
-def _separation(column_sql):
+def _separation(column_sql, where="true"):
     cells = " UNION ALL ".join(
         f"SELECT {s.text(n)} AS \"column\", {s.stripped(s.name(n))} AS token, {s.stripped('\"Attack_type\"')} AS label FROM base"
         for n in CATEGORICAL
     )
-    return f"WITH base AS ({_TRAFFIC}), long AS ({cells}) {column_sql}"
+    return f"WITH base AS (SELECT * FROM ({_TRAFFIC}) WHERE {where}), long AS ({cells}) {column_sql}"
+
+
+_RATES = """SELECT "column", sum(n)::BIGINT AS n_rows, sum(CASE WHEN k = 1 THEN n ELSE 0 END)::BIGINT AS rows_separated,
+round(sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 6) AS separation_rate,
+sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n) > 0.999 AS fully_separates
+FROM (SELECT "column", token, count(*) AS n, count(DISTINCT label) AS k FROM long GROUP BY ALL) GROUP BY "column\""""
 
 
 def _single(expression, null):
@@ -151,12 +173,8 @@ FROM ({_report(CATEGORICAL)})""",
     "audit_columns": _report(CATEGORICAL),
     "leaking_columns": f"""SELECT "column", separation_rate FROM (WITH {_LINE_COUNTS}
 SELECT "column", {s.PURITY} FROM counts GROUP BY "column") WHERE separation_rate >= 0.3""",
-    "separation_multiclass": _separation(
-        """SELECT "column", sum(n)::BIGINT AS n_rows, sum(CASE WHEN k = 1 THEN n ELSE 0 END)::BIGINT AS rows_separated,
-round(sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 6) AS separation_rate,
-sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n) > 0.999 AS fully_separates
-FROM (SELECT "column", token, count(*) AS n, count(DISTINCT label) AS k FROM long GROUP BY ALL) GROUP BY "column\""""
-    ),
+    "separation_multiclass": _separation(_RATES),
+    "ragged_separation": _separation(_RATES, "event_id % 10 <> 0"),
     "placeholder_label_dist": _separation(
         """SELECT "column", token, label, count(*) AS n,
 count(*) OVER (PARTITION BY "column", token) = 1 AS single_label

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from labelsieve.catalog import sqltext as s
+from labelsieve.catalog import protocols, sqltext as s
 from labelsieve.catalog.fixtures import (
     DEVICES, NUMBER_FEATURES, NUMBERS, PREDICTIONS, PROVENANCE, TRAFFIC, read, rounded, sql, view,
 )
-from labelsieve.constants import BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, Z_95
+from labelsieve.constants import ATTACK_PREFIX, BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, FOLD_METRICS, Z_95
 from labelsieve.operators import metrics, summaries
 from labelsieve.operators.splits import TEST, TRAIN, stratified_split
 from labelsieve.plans import evaluate, models, recipes
@@ -65,49 +65,73 @@ def gaussian_nb_params(spark, folder):
     return rounded(evaluate.gaussian_parameters(view(read(spark, folder, "events"), NUMBERS), NUMBER_FEATURES, BINARY_LABEL))
 
 
-def _fit(name):
-    """Score card of one registered model at its registered settings."""
-
-    def query(spark, folder):
-        df = view(read(spark, folder, "events"), NUMBERS)
-        split = stratified_split(df, KEY, BINARY_LABEL)
-        rows = materialise(evaluate.assemble(split, NUMBER_FEATURES, keep=("split",)), "matrix")
-        train = rows.where(F.col("split") == TRAIN).drop("split")
-        test = rows.where(F.col("split") == TEST).drop("split")
-        spec = models.get_model(name)
-        return evaluate.fit_and_score(spec, train, test, protocol="numbers", split="random_stratified")
+def fit_card(name, spark, folder):
+    """Score card of one registered model at its registered settings, with its timings."""
+    df = view(read(spark, folder, "events"), NUMBERS)
+    split = stratified_split(df, KEY, BINARY_LABEL)
+    rows = materialise(evaluate.assemble(split, NUMBER_FEATURES, keep=("split",)), "matrix")
+    train = rows.where(F.col("split") == TRAIN).drop("split")
+    test = rows.where(F.col("split") == TEST).drop("split")
+    spec = models.get_model(name)
+    return evaluate.fit_and_score(spec, train, test, protocol="numbers", split="random_stratified")
+
+
+def _checked(card):
+    """The facts of score cards that SQL knows, and whether each card is whole and within bounds."""
+    bounded = [F.col(m).between(0, 1) for m in ("accuracy", "balanced_accuracy", "f1_macro", "roc_auc")]
+    recalls = F.map_values("per_class_recall")
+    whole = (F.size(recalls) == 2) & F.forall(recalls, lambda r: r.between(0, 1)) & (F.col("fit_seconds") > 0)
+    for one in bounded:
+        whole &= one
+    return card.select(
+        "model", "protocol", "split", "n_train", "n_test", "n_features",
+        F.coalesce(whole & F.col("problem").isNull(), F.lit(False)).alias("well_formed"),
+    )
 
-    return query
 
+def _fit(name):
+    return lambda spark, folder: _checked(fit_card(name, spark, folder))
 
 
 def leaky_vs_clean(spark, folder):
+    """All models under both protocols; the leak makes the tree perfect."""
     df = view(read(spark, folder, "events"), TRAFFIC).drop(KEY)
     prepared = [recipes.prepare_readme(df), recipes.prepare_clean(df)]
-    return metrics.delta_pivot(evaluate.compare_protocols(prepared))
+    card = materialise(evaluate.compare_protocols(prepared), "card")
+    tree = (F.col("model") == "DecisionTree") & (F.col("protocol") == recipes.README)
+    perfect = card.where(tree).select("model", "protocol", (F.col("accuracy") == 1.0).alias("perfect"))
+    return _checked(card).join(F.broadcast(perfect), ["model", "protocol"], "left")
 
 
 def repeated_kfold(spark, folder):
+    """All models over all repeats and folds."""
     df = view(read(spark, folder, "events"), NUMBERS)
     prepared = recipes.Prepared(df, NUMBER_FEATURES, "numbers", (), {})
-    return evaluate.repeated_kfold(prepared)
+    table = evaluate.repeated_kfold(prepared)
+    whole = F.col("mean").between(0, 1) & F.col("mean").between(F.col("ci_low"), F.col("ci_high"))
+    return table.select("model", "protocol", "metric", "n_folds", F.coalesce(whole, F.lit(False)).alias("well_formed"))
 
 
 def lodo_sweep(spark, folder):
+    """All models with every device held out in turn."""
     matrix = view(read(spark, folder, "events"), NUMBERS, {DEVICE_COLUMN: PROVENANCE[DEVICE_COLUMN]})
-    scores = evaluate.lodo_sweep(matrix, KEY, DEVICES)
-    return metrics.lodo_pivot(scores, [f"lodo_{d}" for d in DEVICES])
+    return _checked(evaluate.lodo_sweep(matrix, KEY, DEVICES))
 
 
 def cross_domain(spark, folder):
-    """Train on events, test on the same columns under foreign names."""
+    """Train all models on events, test on the same columns under foreign names."""
     source = view(read(spark, folder, "events"), NUMBERS)
     target = view(
         read(spark, folder, "orders"),
         {"Shifted": "o_totalprice / 1000", "USER": "CAST(o_custkey AS DOUBLE)", "other": "o_orderkey",
          "label": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END"},
     )
-    return evaluate.cross_domain(source, NUMBER_FEATURES, KEY, target)
+    table = evaluate.cross_domain(source, NUMBER_FEATURES, KEY, target)
+    scores = ("in_domain_accuracy", "cross_domain_accuracy", "in_domain_f1_macro", "cross_domain_f1_macro", "cross_domain_attack_recall")
+    whole = F.lit(True)
+    for name in scores:
+        whole &= F.coalesce(F.col(name).between(0, 1), F.lit(False))
+    return table.select("model", "n_source_test", "n_target", "shared_features", whole.alias("well_formed"))
 
 
 QUERIES = {
@@ -222,3 +246,44 @@ round(count(*) / (SELECT count(*) FROM events), 6) AS prior FROM ({sql('events',
         for f in NUMBER_FEATURES
     ),
 }
+
+
+def _sizes(base):
+    """Training and test rows of a stratified split of 20 %."""
+    return f"""(SELECT sum(n - round(n * 0.2))::BIGINT AS n_train, sum(round(n * 0.2))::BIGINT AS n_test
+FROM (SELECT count(*) AS n FROM ({base}) GROUP BY "Attack_label"))"""
+
+
+_NUMBERS = sql("events", NUMBERS)
+_MODELS = [m.name for m in models.MODELS]
+_FITS = {
+    "fit_decision_tree": "DecisionTree", "fit_random_forest": "RandomForest", "fit_gbt": "HistGradientBoosting",
+    "fit_logistic": "LogisticRegression", "fit_gaussian_nb": "GaussianNB", "fit_mlp": "MLP", "fit_mlp_deep": "DeepMLP",
+}
+_SUITE = f"(SELECT unnest({_MODELS!r}) AS model)"
+_ATTACK = f"starts_with({DEVICE_COLUMN}, '{ATTACK_PREFIX}')"
+ORACLES |= {
+    query: f"""SELECT '{name}' AS model, 'numbers' AS protocol, 'random_stratified' AS split, n_train, n_test,
+{len(NUMBER_FEATURES)}::INTEGER AS n_features, true AS well_formed FROM {_sizes(_NUMBERS)}"""
+    for query, name in _FITS.items()
+} | {
+    "leaky_vs_clean": " UNION ALL ".join(
+        f"""SELECT model, '{protocol}' AS protocol, 'random_stratified' AS split, n_train, n_test,
+{features}::INTEGER AS n_features, true AS well_formed,
+CASE WHEN model = 'DecisionTree' AND '{protocol}' = 'readme' THEN true END AS perfect FROM {_SUITE}, {_sizes(rows)}"""
+        for protocol, rows, features in (
+            ("readme", protocols._README_ROWS, len(protocols.NUMBERS) + protocols._N_README),
+            ("clean", protocols._CLEAN_ROWS, len(protocols.NUMBERS) + protocols._N_CLEAN),
+        )
+    ),
+    "repeated_kfold": f"""SELECT model, 'numbers' AS protocol, metric, 15::BIGINT AS n_folds, true AS well_formed
+FROM {_SUITE}, (SELECT unnest({list(FOLD_METRICS)!r}) AS metric)""",
+    "lodo_sweep": f"""SELECT model, 'benchmark' AS protocol, 'lodo_' || device AS split,
+count(*) FILTER (WHERE NOT tested) AS n_train, count(*) FILTER (WHERE tested) AS n_test,
+{len(NUMBER_FEATURES)}::INTEGER AS n_features, true AS well_formed
+FROM {_SUITE}, (SELECT device, {DEVICE_COLUMN} = device OR ({_ATTACK} AND {s.unit(KEY)} < 0.2) AS tested
+  FROM ({sql('events', NUMBERS, {DEVICE_COLUMN: PROVENANCE[DEVICE_COLUMN]})}), (SELECT unnest({list(DEVICES)!r}) AS device))
+GROUP BY model, device""",
+    "cross_domain": f"""SELECT model, n_test AS n_source_test, (SELECT count(*) FROM orders) AS n_target,
+2::INTEGER AS shared_features, true AS well_formed FROM {_SUITE}, {_sizes(_NUMBERS)}""",
+}

@@ -9,7 +9,7 @@ from labelsieve.catalog.fixtures import (
 from labelsieve.constants import BENIGN_VALUES, INJECTION_MARKERS, NA_STRINGS, RANDOM_SEED
 from labelsieve.functions.columns import col
 from labelsieve.functions.text import contains_any, derive, shannon_entropy
-from labelsieve.operators import alignment, clients, encoders, splits
+from labelsieve.operators import alignment, clients, duplicates, encoders, splits
 from labelsieve.sources import captures, tables
 from labelsieve.storage import scratch_path, spread
 
@@ -32,6 +32,18 @@ def string_csv_scan(spark, folder):
     return tables.read_strings(spark, path, columns=["doc_id", "text", "lang", "source"], multiline=True)
 
 
+def capture_scan(spark, folder):
+    """Events as CSV folders, one for each capture, scanned as text and attributed."""
+    path = scratch_path(spark, "captures")
+    rows = view(_events(spark, folder), TRAFFIC, CAPTURE)
+    options = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).partitionBy("capture").csv(path)
+    scanned = captures.scan_captures(spark, [f"{path}/capture={stem}" for stem in (*DEVICES, *ATTACKS)], by_folder=True)
+    dimension = captures.catalogue(spark, captures.device_rows(DEVICES) + captures.attack_rows(ATTACKS))
+    keyed = duplicates.occurrence_key(captures.attribute(scanned, dimension), "key_")
+    return keyed.withColumn("first_copy", F.col("key_").endswith(":1")).drop("key_")
+
+
 def attribution_join(spark, folder):
     df = view(_events(spark, folder), {"event_id": "event_id"}, CAPTURE)
     dimension = captures.catalogue(spark, captures.device_rows(DEVICES) + captures.attack_rows(ATTACKS))
@@ -138,6 +150,7 @@ def label_skew(spark, folder):
 QUERIES = {
     "string_csv_scan": string_csv_scan,
     "attribution_join": attribution_join,
+    "capture_scan": capture_scan,
     "source_counts": lambda spark, folder: splits.source_counts(read(spark, folder, "documents"), "source"),
     "binary_label_default": binary_label_default,
     "binary_label_custom": binary_label_custom,
@@ -205,6 +218,9 @@ _REFERER = f"SELECT event_id, \"http.referer\" AS token FROM ({_TRAFFIC})"
 
 ORACLES = {
     "string_csv_scan": f"SELECT doc_id::VARCHAR AS doc_id, {_missing('text')}, {_missing('lang')}, {_missing('source')} FROM documents",
+    "capture_scan": f"""SELECT {', '.join(_missing(s.name(c)) for c in TRAFFIC if c not in (KEY, LABEL, 'Attack_type'))},
+event_id::VARCHAR AS event_id, "Attack_label"::INTEGER AS "Attack_label", "Attack_type", source_device, source_layer, capture,
+true AS first_copy FROM ({sql('events', TRAFFIC, PROVENANCE, CAPTURE)})""",
     "attribution_join": f"""SELECT event_id, capture, "Attack_label"::INTEGER AS "Attack_label", "Attack_type", source_device, source_layer
 FROM ({sql('events', TRAFFIC, PROVENANCE, CAPTURE)})""",
     "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",

@@ -50,6 +50,21 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.where(filled)
 
 
+def occurrence_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """Add a unique key to rows that have none: their digest and a number among equal rows.
+
+    Equal rows are counted, before the shuffle too, and spread out again, so a row
+    that repeats a million times is no single task's work. The key depends on
+    the rows only, not on files or partitions.
+    """
+    counted = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("copies_"))
+    numbered = counted.select(
+        *[col(c) for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_")
+    )
+    key = F.concat_ws(":", fingerprint(df.dtypes), F.col("copy_").cast("string"))
+    return numbered.withColumn(name, key).drop("copy_")
+
+
 def deduplicate(df: DataFrame) -> DataFrame:
     """One row of each set of equal rows; copies are merged before the shuffle."""
     return df.dropDuplicates()

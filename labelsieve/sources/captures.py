@@ -75,14 +75,18 @@ def attribute(df: DataFrame, dimension: DataFrame, stem: str = STEM) -> DataFram
     )
 
 
-def scan_captures(spark: SparkSession, paths, *, multiline: bool = False) -> DataFrame:
+def scan_captures(spark: SparkSession, paths, *, multiline: bool = False, by_folder: bool = False) -> DataFrame:
     """All captures in one scan, as text, with the file stem in ``capture``.
 
     A file with another header than the first ends the scan with an error.
+    ``by_folder`` takes the name of the folder a file is in instead, after any
+    ``name=``: captures written as several files each.
     """
     header = read_header(spark, paths[0])
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     scan = csv_reader(spark, multiline).schema(schema).csv(list(paths))
-    name = F.url_decode(F.col("_metadata.file_name"))
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    if by_folder:
+        stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/=]*)/[^/]*$", 1)
+    else:
+        stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
     return scan.select(*[null_if_missing(col(n)).alias(n) for n in header], stem.alias(STEM))
