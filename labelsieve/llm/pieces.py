@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelsieve.llm.common import per_document
 
 SPACE = "▁"
-#: Encoded stretches a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+#: Encoded words, and as many stretches, that a worker remembers; then it starts anew.
+REMEMBERED = 400_000
 #: Characters indexed by one suffix array.
 INDEXED = 1 << 20
 
@@ -53,7 +53,8 @@ class PieceModel:
     unknown: int
     byte_ids: list[int]  # of the bytes 0 to 255; empty without byte fallback
     bpe: bool = True
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)  # of stretches
+    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     @cached_property
     def ids(self) -> dict[str, int]:
@@ -67,8 +68,7 @@ class PieceModel:
     def stretches(self) -> re.Pattern:
         """Cuts escaped text where no piece reaches across."""
         letters = {c for p in self.ids for c in p}
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        if crossing:  # pieces with inner spaces: cut at unknown characters only
+        if not self.words_apart:  # pieces with inner spaces: cut at unknown characters only
             inside = "".join(map(re.escape, sorted(letters)))
             return re.compile(f"[{inside}]+|[^{inside}]")
         alpha = "".join(map(re.escape, sorted(c for c in letters if c.isalpha())))
@@ -81,6 +81,11 @@ class PieceModel:
         word = f"[{other}]*[{alpha}]+" if enters else f"[{alpha}]+"  # cut where letters end
         return re.compile(f"{SPACE}*(?:{word}|[{other}]+)|{SPACE}+|[^{alpha}{other}{SPACE}]")
 
+    @cached_property
+    def words_apart(self) -> bool:
+        """No piece has a space after another character."""
+        return not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+
     @cached_property
     def searched(self) -> tuple[list[str], list[int]]:
         """Pieces in the order of their code points, and their ids."""
@@ -135,7 +140,27 @@ class PieceModel:
     # Encoding
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; the same as merging (or best path) over the whole text."""
+        """Ids of each text; the same as merging (or best path) over the whole text.
+
+        Where single spaces part the words, and no piece has one inside, words are encoded
+        one by one and remembered; other texts are cut into stretches as a whole.
+        """
+        parted = [
+            text.split(" ")
+            if text and self.words_apart and "  " not in text and text[0] != " " != text[-1] and SPACE not in text
+            else [text]
+            for text in texts
+        ]
+        words, met = self.words, set().union(*parted)
+        fresh = met.difference(words)
+        if len(words) + len(fresh) > REMEMBERED and words:
+            words.clear()
+            fresh = met
+        fresh = sorted(fresh)
+        words.update(zip(fresh, self._encode_whole(fresh), strict=True))
+        return [list(chain.from_iterable(map(words.__getitem__, parts))) for parts in parted]
+
+    def _encode_whole(self, texts: list[str]) -> list[tuple[int, ...]]:
         cut = [
             self.stretches.findall(SPACE + text.replace(" ", SPACE)) if text else []
             for text in texts
@@ -154,7 +179,10 @@ class PieceModel:
                 end += 1
             self._learn(fresh[start:end])
             start = end
-        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
+        return [
+            known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(known.__getitem__, parts)))
+            for parts in cut
+        ]
 
     def _learn(self, stretches: list[str]) -> None:
         """Index the stretches, match all pieces, sort the edges and relax."""
