@@ -21,7 +21,6 @@ import os
 import re
 from dataclasses import dataclass, field
 from functools import cache, cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelsieve.llm.common import per_document
 
 SPACE = "▁"
+_ID = np.dtype("<i4")
 #: Encoded words, and as many stretches, that a worker remembers; then it starts anew.
 REMEMBERED = 400_000
 #: Characters indexed by one suffix array.
@@ -53,8 +53,8 @@ class PieceModel:
     unknown: int
     byte_ids: list[int]  # of the bytes 0 to 255; empty without byte fallback
     bpe: bool = True
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)  # of stretches
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)  # ids of stretches, packed
+    words: dict[str, bytes] = field(default_factory=dict)
 
     @cached_property
     def ids(self) -> dict[str, int]:
@@ -92,11 +92,6 @@ class PieceModel:
         order = sorted(self.ids.items())
         return [p for p, _ in order], [i for _, i in order]
 
-    @cached_property
-    def numbers(self) -> list[int]:
-        """One object for each id: what is remembered shares them."""
-        return [*range(len(self.pieces))]
-
     @cached_property
     def pairs(self) -> dict[int, bool]:
         return {}
@@ -140,7 +135,11 @@ class PieceModel:
     # Encoding
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; the same as merging (or best path) over the whole text.
+        """Ids of each text; the same as merging (or best path) over the whole text."""
+        return [unpacked(ids).tolist() for ids in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers one after another.
 
         Where single spaces part the words, and no piece has one inside, words are encoded
         one by one and remembered; other texts are cut into stretches as a whole.
@@ -158,9 +157,9 @@ class PieceModel:
             fresh = met
         fresh = sorted(fresh)
         words.update(zip(fresh, self._encode_whole(fresh), strict=True))
-        return [list(chain.from_iterable(map(words.__getitem__, parts))) for parts in parted]
+        return [b"".join(map(words.__getitem__, parts)) for parts in parted]
 
-    def _encode_whole(self, texts: list[str]) -> list[tuple[int, ...]]:
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
         cut = [
             self.stretches.findall(SPACE + text.replace(" ", SPACE)) if text else []
             for text in texts
@@ -179,10 +178,7 @@ class PieceModel:
                 end += 1
             self._learn(fresh[start:end])
             start = end
-        return [
-            known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(known.__getitem__, parts)))
-            for parts in cut
-        ]
+        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
     def _learn(self, stretches: list[str]) -> None:
         """Index the stretches, match all pieces, sort the edges and relax."""
@@ -193,7 +189,7 @@ class PieceModel:
         relax = self._relax_merges if self.bpe else self._relax_scores
         at = 0
         for stretch in stretches:
-            self.known[stretch] = relax(stretch, at, bounds, pieces, lengths)
+            self.known[stretch] = np.array(relax(stretch, at, bounds, pieces, lengths), _ID).tobytes()
             at += len(stretch) + 1
 
     def edges(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +211,7 @@ class PieceModel:
         by = np.lexsort((length, starts))
         return starts[by], np.array(ids, dtype=np.int64)[which][by], length[by]
 
-    def _relax_merges(self, text: str, at: int, bounds, pieces, lengths) -> tuple[int, ...]:
+    def _relax_merges(self, text: str, at: int, bounds, pieces, lengths) -> list[int]:
         """The BPE encoding: at each end the one edge compatible with what precedes it."""
         n, follows, whole = len(text), self.follows, self.whole
         last: list[int | None] = [None] * (n + 1)  # piece that ends there, -1: no piece
@@ -235,7 +231,7 @@ class PieceModel:
                 last[i + 1], back[i + 1] = -1, i
         return self._walk(text, last, back)
 
-    def _relax_scores(self, text: str, at: int, bounds, pieces, lengths) -> tuple[int, ...]:
+    def _relax_scores(self, text: str, at: int, bounds, pieces, lengths) -> list[int]:
         """The path of highest total score; characters outside score below every piece."""
         n, worst = len(text), min(self.scores) - 10.0
         best: list[float | None] = [0.0] + [None] * n
@@ -253,17 +249,17 @@ class PieceModel:
                 best[i + 1], last[i + 1], back[i + 1] = base + worst, -1, i
         return self._walk(text, last, back)
 
-    def _walk(self, text: str, last, back) -> tuple[int, ...]:
+    def _walk(self, text: str, last, back) -> list[int]:
         out: list[int] = []
-        end, numbers = len(text), self.numbers
+        end = len(text)
         while end:
             start, piece = back[end], last[end]
             if piece >= 0:
-                out.append(numbers[piece])
+                out.append(piece)
             else:
                 out.extend(reversed(self.fallback(text[start:end])))
             end = start
-        return tuple(out[::-1])
+        return out[::-1]
 
     # Decoding
 
@@ -357,11 +353,14 @@ def load(path: str, bpe: bool = True) -> PieceModel:
     )
 
 
-def _lists(found: list[list[int]]) -> pa.ListArray:
-    sizes = np.array([0, *map(len, found)], dtype=np.int32)
-    offsets = np.cumsum(sizes, dtype=np.int32)
-    values = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, _ID)
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    sizes = np.array([0, *map(len, found)], dtype=np.int64) // _ID.itemsize
+    offsets = np.cumsum(sizes).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unpacked(b"".join(found))))
 
 
 def encode(
@@ -384,8 +383,8 @@ def encode(
         ids, same = [], []
         for start in range(0, len(texts), 512):
             part = texts[start : start + 512]
-            found = pieces.encode(part)
-            same.extend(pieces.decode(i) == t for i, t in zip(found, part, strict=True))
+            found = pieces.encode_packed(part)
+            same.extend(pieces.decode(unpacked(i).tolist()) == t for i, t in zip(found, part, strict=True))
             ids.append(_lists(found))
         return [pa.concat_arrays(ids) if ids else _lists([]), same]
 
