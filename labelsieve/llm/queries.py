@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelsieve.llm import (
+    centroids,
     chat,
     decontamination,
     extraction,
@@ -12,9 +13,11 @@ from labelsieve.llm import (
     licenses,
     lines,
     neardup,
+    negatives,
     pieces,
     quality,
     toxicity,
+    vecdups,
 )
 from labelsieve.llm.common import held_out, table
 
@@ -97,6 +100,21 @@ def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every embedding, with the inertias and the final centroids' digests."""
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def op12_vecdups(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, class and representative of every embedding."""
+    return vecdups.classes(table(spark, folder, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return negatives.mine(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
@@ -108,6 +126,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_extraction": op10_extraction,
+    "op11_centroids": op11_centroids,
+    "op12_vecdups": op12_vecdups,
+    "op13_negatives": op13_negatives,
 }
 
 
@@ -143,7 +164,85 @@ FROM found WHERE containment >= 0.8 GROUP BY doc_id, license
 """
 
 
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_INTEGERS = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+
+
+def _cluster_sql() -> str:
+    # Whole numbers below 2^53, so sums of products are exact in doubles.
+    square = "list_dot_product(q, q) - 2 * list_dot_product(q, c) + list_dot_product(c, c)"
+    steps = []
+    for step in range(centroids.ROUNDS + 1):
+        steps.append(f"""a{step} AS MATERIALIZED (
+  SELECT row, vec_id, q, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT row, vec_id, q, k, CAST({square} AS BIGINT) AS d FROM points CROSS JOIN c{step})
+  GROUP BY row, vec_id, q)""")
+        if step < centroids.ROUNDS:
+            steps.append(f"""c{step + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m.c, old.c) AS c FROM c{step} old LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c
+    FROM (SELECT k, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n
+          FROM (SELECT k, unnest(range(1, {centroids.WIDTH + 1})) AS i, unnest(q) AS x FROM a{step}) GROUP BY k, i)
+    GROUP BY k) m USING (k))""")
+    last = centroids.ROUNDS
+    return f"""
+WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, {_INTEGERS} AS q FROM embeddings
+  WHERE len(embedding) = {centroids.WIDTH} AND {_FINITE}),
+c0 AS MATERIALIZED (
+  SELECT k, q AS c FROM (
+    SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, q) - 1 AS k, q FROM points)
+  WHERE k < {centroids.CLUSTERS}),
+{", ".join(steps)}
+SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance,
+  CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (k)
+"""
+
+
 ORACLES = {
+    "op11_centroids": _cluster_sql(),
+    "op12_vecdups": f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+fit AS MATERIALIZED (
+  SELECT row, vec_id, label, v FROM rows JOIN (SELECT row_number() OVER () AS row, embedding FROM embeddings) USING (row)
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE} AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.row AS a, b.row AS b FROM fit a JOIN fit b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.row <> b.row
+  WHERE list_cosine_similarity(a.v, b.v) >= {vecdups.THRESHOLD}),
+reached(row, root) AS (
+  SELECT row, row FROM rows UNION SELECT b, root FROM reached JOIN links ON reached.row = links.a),
+classes AS (
+  SELECT reached.row, min(other.vec_id) AS component_id FROM reached JOIN rows other ON reached.root = other.row
+  GROUP BY reached.row),
+degrees AS (SELECT a AS row, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN classes USING (row) LEFT JOIN degrees USING (row)
+""",
+    "op13_negatives": f"""
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, {_INTEGERS} AS q,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+scores AS MATERIALIZED (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS alike,
+    CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.row <> r.row AND len(a.q) = len(r.q) WHERE a.vec_id % {negatives.EVERY} = 0),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM scores WHERE alike),
+ranked AS (
+  SELECT b.anchor_id, b.vec_id AS positive_id, n.vec_id AS negative_id, b.score AS positive_score,
+    n.score AS negative_score,
+    row_number() OVER (PARTITION BY b.anchor, b.place ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM best b JOIN scores n ON b.anchor = n.anchor AND NOT n.alike
+    AND {negatives.LOW} * b.score <= 100 * n.score AND 100 * n.score <= {negatives.HIGH} * b.score
+  WHERE b.place <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= {negatives.NEGATIVES}
+""",
     "op4_decontamination": r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
