@@ -1,3 +1,7 @@
+import math
+import struct
+
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -53,10 +57,131 @@ def test_edges_are_all_occurrences():
     assert set(zip(starts.tolist(), found.tolist(), lengths.tolist())) == expected
 
 
+def varint(value):
+    out = b""
+    while value > 127:
+        out, value = out + bytes([value & 127 | 128]), value >> 7
+    return out + bytes([value])
+
+
+def message(*parts):
+    """A protocol-buffer message of (number, int, float or bytes)."""
+    out = b""
+    for number, value in parts:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def model_file(folder, *, bpe, fallback, charsmap=b"", trim=False, extra=(), size=6000):
+    """A smaller model of the public one's pieces."""
+    public = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    known = [(b"<unk>", 0.0, 2), (b"<s>", 0.0, 3), (b"</s>", 0.0, 3)]
+    known += [(f"<0x{b:02X}>".encode(), 0.0, 6) for b in range(256) if fallback]
+    names = [public.id_to_piece(i) for i in range(259, public.get_piece_size())]
+    singles = [n for n in names if len(n) == 1 and n not in "qxé"]
+    longer = [n for n in names if len(n) > 1 and n.strip("▁")][:size]
+    # A BPE score tells the order of merges, a unigram one is a logarithm.
+    scored = enumerate(longer + singles)
+    known += [(n.encode(), -float(i) if bpe else -math.log(10 + 1.3717 * i), 1) for i, n in scored]
+    known += list(extra)
+    data = message(
+        *[(1, message((1, name), (2, score), (3, kind))) for name, score, kind in known],
+        (2, message((3, 2 if bpe else 1), (35, int(fallback)))),
+        (3, message((1, b"own"), (2, charsmap), (3, 1), (4, int(trim)), (5, 1))),
+    )
+    path = folder / f"{bpe}{fallback}{len(charsmap)}{trim}.model"
+    path.write_bytes(data)
+    return str(path)
+
+
+def charsmap():
+    """The character map of the library's usual normaliser."""
+    proto = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    spec = next(v for n, v in pieces.fields(proto) if n == 3)
+    return next(v for n, v in pieces.fields(spec) if n == 2)
+
+
+@pytest.mark.parametrize("normal", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("bpe", [False, True])
+def test_every_kind_of_model_is_the_library(tmp_path, documents, bpe, fallback, normal):
+    path = model_file(tmp_path, bpe=bpe, fallback=fallback, charsmap=charsmap() if normal else b"", trim=normal)
+    model = pieces.load(path)
+    assert model.bpe == bpe and bool(model.byte_ids) == fallback and (model.normalise is None) != normal
+    texts = ODD + ["qq x é qé", "ＡＢＣ ﬁne ①", " q", "q" * 200, "abq" * 90] + [t for _, t in documents[:150]]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert model.encode(texts) == library.encode(texts)
+
+
+def test_other_models_are_refused(tmp_path):
+    for extra in ([(b"<mask>", 0.0, 4)], [(b"the", -1.0, 5)]):
+        with pytest.raises(ValueError, match="user or unused"):
+            pieces.load(model_file(tmp_path, bpe=True, fallback=True, extra=extra))
+        pieces.load.cache_clear()
+    words = message((1, message((1, b"a"))), (2, message((3, 3))), (3, message((4, 0))))
+    with pytest.raises(ValueError, match="neither unigram nor BPE"):
+        pieces.Kind.read(words)
+
+
+def test_pairs_fit_as_merging_tells(documents):
+    model = pieces.load(pieces.default_model())
+    draw = np.random.default_rng(3)
+    normal = np.nonzero(model.normal)[0]
+    left, right = draw.choice(normal, (2, 4000))
+    # Halves of pieces meet far more often than any two pieces.
+    found = model._formed[0]
+    left = np.concatenate([left, found[::40] // len(model.pieces)])
+    right = np.concatenate([right, found[::40] % len(model.pieces)])
+    expected = [
+        model.merged(model.pieces[a] + model.pieces[b]) == [model.pieces[a], model.pieces[b]]
+        for a, b in zip(left.tolist(), right.tolist())
+    ]
+    assert model.fit(left, right).tolist() == expected
+    assert model.follows(left, right).tolist() == expected and model.follows(left, right).tolist() == expected
+    assert 0 < sum(expected) < len(expected)
+
+
+def test_memory_only_replays_what_was_relaxed(documents, monkeypatch):
+    path = pieces.default_model()
+    texts = [t for _, t in documents[:60]]
+    pieces.load.cache_clear()
+    model, learnt = pieces.load(path), {}
+    relax = model._relaxed
+
+    def relaxed(parts):
+        found = relax(parts)
+        learnt.update(zip(parts, found))
+        return found
+
+    monkeypatch.setattr(model, "_relaxed", relaxed)
+    first = model.encode(texts)
+    # Each stretch went through the suffix array once, none of a second reading did.
+    assert model.known == learnt and len(learnt) > 1000
+    indexed = len(learnt)
+    learnt.clear()
+    assert model.encode(texts) == first and not learnt
+    cut = {part for t in texts if t for part in model.stretches.findall("▁" + t.replace(" ", "▁"))}
+    assert len(cut - set(model.known)) == 0 and indexed == len(model.known)
+
+
+def test_long_stretches_and_short_ones_agree(monkeypatch, documents):
+    model = pieces.load(pieces.default_model())
+    texts = ["".join(t.split())[:400] for _, t in documents[:40] if t]
+    expected = model.encode(texts)
+    model.known.clear(), model.words.clear()
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert model.encode(texts) == expected
+    model.known.clear(), model.words.clear()
+
+
 def test_unigram_takes_the_best_path():
     names = ["<unk>", "▁", "a", "b", "ab", "▁a", "aab"]
     scores = [0.0, -1.0, -2.0, -2.0, -3.5, -2.5, -3.0]
-    model = pieces.PieceModel(names, scores, [False] + [True] * 6, 0, [], bpe=False)
 
     def best(text):
         found = {0: (0.0, [])}
@@ -70,9 +195,10 @@ def test_unigram_takes_the_best_path():
                 found[end] = max(options, key=lambda o: o[0])
         return found[len(text)][1]
 
-    for text in ("a", "ab", "aab", "aabab a", "b aab"):
+    model = pieces.PieceModel(names, scores, [False] + [True] * 6, 0, [], bpe=False)
+    for text in ("a", "ab", "aab", "aabab a", "b aab", "ab" * 50):
         assert model.encode([text])[0] == best("▁" + text.replace(" ", "▁"))
-    assert model.encode(["ax"])[0] == [5, 0]
+    assert model.encode(["ax", "axxa x"]) == [[5, 0], [5, 0, 2, 1, 0]]
 
 
 def test_rows_and_tables(frame, spark):
