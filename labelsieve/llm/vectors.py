@@ -34,7 +34,7 @@ def lengths(lists: pa.ListArray) -> np.ndarray:
 
 def matrix(lists: pa.ListArray, width: int) -> np.ndarray:
     """A list column of equal lengths as rows of a matrix."""
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
 def inner(left: np.ndarray, right: np.ndarray) -> np.ndarray:
