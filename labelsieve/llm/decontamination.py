@@ -13,7 +13,8 @@ ways to the whole run.
 
 The items are a query set. They are taken in blocks of bounded size, each block
 broadcast in turn and all documents streamed past it, so neither the driver nor
-a task ever holds more than one block, whatever the size of the benchmark.
+a task ever holds more than one block, whatever the size of the benchmark. Between blocks
+the documents are written with what was found so far.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelsieve.llm.common import per_document, whole_text
+from labelsieve.llm.common import computed, per_document, whole_text
+from labelsieve.storage import materialise
 
 WINDOW = 13
 #: A document is contaminated when at least this share of its words is hit.
@@ -32,6 +34,8 @@ SHARE = 20
 BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: The same over text whose letters are as they were.
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -110,14 +114,7 @@ def contamination(
     benchmark hits nothing. Texts are taken whole.
     """
     carried = carry if carry is not None else {"doc_id": F.col("doc_id")}
-    queries = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-        whole_text("text").alias("text"),
-    )
-    words = F.length(F.regexp_replace("text", r"\S+", "")) + 1
-    total = queries.agg(F.coalesce(F.sum(words), F.lit(0)).alias("n")).first().n
-    n_blocks = max(1, -(-total // block_words))
-    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    queries, n_blocks = _blocks(benchmark, window, block_words)
     found = docs.select(
         *[column.alias(name) for name, column in carried.items()],
         whole_text("text").alias("__words_of"),
@@ -126,13 +123,48 @@ def contamination(
         F.array().cast("array<string>").alias("items"),
     )
     for block in range(n_blocks):
-        rows = queries.where(place == block).collect()
+        rows = queries.where(F.col("place") % n_blocks == block).collect()
         items = sorted((r.item_id, words_of(r.text.encode())) for r in rows)
-        items = [(name, item) for name, item in items if item]
-        found = _scan(found, docs, items, window, [*carried], last=block == n_blocks - 1)
+        last = block == n_blocks - 1
+        found = _scan(found, docs, items, window, [*carried], last)
+        if not last:  # one scan at a time: each holds a block and has workers of its own
+            found = materialise(found, "contamination")
     return found
 
 
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """Different items with words as ``item_id``, ``text``, ``place``, and how many blocks to deal them to by place.
+
+    Words are counted as words_of() takes them. An item of more than a quarter of a block is
+    cut into pieces that overlap by a window less one word, so each window is in one
+    of them. No block has more than ``block_words`` words, unless that is less than a piece of one window.
+    """
+    named = computed(
+        benchmark,
+        [F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id")],
+        words=F.regexp_extract_all(whole_text("text"), F.lit(_WORDS), F.lit(0)),
+    )
+    size = max(block_words // 4, window)
+    step = size - window + 1
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)), F.lit(step))
+    pieces = materialise(
+        named.where(F.size("words") > 0)
+        .select("item_id", "words", F.explode(starts).alias("start"))
+        .select("item_id", F.slice("words", F.col("start"), size).alias("words"))
+        .select("item_id", F.array_join("words", " ").alias("text"), F.size("words").alias("n"))
+        .distinct()
+        .withColumn("place", F.xxhash64("item_id", "text").bitwiseAND((1 << 62) - 1)),
+        "item-pieces",
+    )
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    count = max(1, -(-total // block_words))
+    while True:
+        fullest = pieces.groupBy(F.col("place") % count).agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first().n
+        if (fullest or 0) <= max(block_words, size) or count > 4 * total:
+            return pieces, count
+        count += -(-count // 2)
+
+
 def _scan(found: DataFrame, docs: DataFrame, items, window: int, carried, last: bool) -> DataFrame:
     session = docs.sparkSession.sparkContext
     vocabulary = session.broadcast(frozenset(w for _, item in items for w in item))

@@ -1,32 +1,38 @@
 """Homomorphic multiset fingerprints of documents.
 
 A document is a multiset of paragraphs (lines). Each paragraph is hashed to a
-wide vector of 16-bit lanes, and the fingerprint is the sum of those vectors
-modulo 2^16. Order of paragraphs doesn't matter, a paragraph is inserted by
+wide vector of 64-bit lanes, and the fingerprint is the sum of those vectors
+modulo 2^64. Order of paragraphs doesn't matter, a paragraph is inserted by
 adding its vector and deleted by subtracting it, and parts are combined by adding.
 
 The vector has two parts. WIDE lanes are uniform output of SHAKE-128 over the
 paragraph: equal sums mean equal multisets. SKETCH lanes are a count sketch
 of the paragraph's three-word shingles with hashed places and signs: their
-cosine estimates how much two documents share, whatever was moved around.
+cosine estimates how much two documents share, whatever was moved around. Written as
+text, a sketch lane has its lower 32 bits: no text of Spark's has 2^31 shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelsieve.llm.common import whole_text
 
-WIDE = 64
+WIDE = 16
 SKETCH = 256
 LANES = WIDE + SKETCH
-_LANE = np.dtype("<u2")
+#: Bytes of a written fingerprint.
+BYTES = 8 * WIDE + 4 * SKETCH
+_LANE, _SHORT = np.dtype("<u8"), np.dtype("<i4")
+#: Paragraphs hashed at a time.
+PARAGRAPHS = 2_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _REMEMBERED = 200_000
 #: About so many documents go to one ordered slice; beyond MOST_SLICES slices they grow.
@@ -57,15 +63,25 @@ class Fingerprinter:
 
     def paragraphs(self, texts: list[str]) -> np.ndarray:
         """The vectors of several paragraphs, a row each."""
-        out = np.zeros((len(texts), LANES), dtype=np.uint16)
+        return np.array([self.total([text]) for text in texts], dtype=np.uint64).reshape(-1, LANES)
+
+    def total(self, texts: list[str]) -> np.ndarray:
+        """The sum of the vectors of paragraphs, a bounded number of them at a time."""
+        state = np.zeros(LANES, dtype=np.uint64)
+        for start in range(0, len(texts), PARAGRAPHS):
+            state += self._total(texts[start : start + PARAGRAPHS])
+        return state
+
+    def _total(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros(LANES, dtype=np.uint64)
         known = self._words
         if len(known) > _REMEMBERED:
             known.clear()
         hashes: list[int] = []
         owners, digest = [], xxhash.xxh64_intdigest
-        for row, text in enumerate(texts):
-            shake = hashlib.shake_128(text.encode()).digest(2 * WIDE)
-            out[row, :WIDE] = np.frombuffer(shake, _LANE)
+        shakes = b"".join([hashlib.shake_128(text.encode()).digest(8 * WIDE) for text in texts])
+        out[:WIDE] = np.frombuffer(shakes, _LANE).reshape(-1, WIDE).sum(axis=0, dtype=np.uint64)
+        for text in texts:
             words = text.split()
             for word in words:
                 if word not in known:
@@ -83,27 +99,21 @@ class Fingerprinter:
                 mixed ^= mixed >> np.uint64(29)
                 mixed *= _MIX[1]
                 mixed ^= mixed >> np.uint64(32)
-            inside = owner[:-2] == owner[2:]
-            mixed, owner = mixed[inside], owner[:-2][inside]
+            mixed = mixed[owner[:-2] == owner[2:]]
             lane = (mixed % np.uint64(SKETCH)).astype(np.int64)
             sign = np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-            sums = np.bincount(owner * SKETCH + lane, sign, len(texts) * SKETCH)
-            out[:, WIDE:] = sums.astype(np.int64).astype(np.uint16).reshape(len(texts), SKETCH)
+            out[WIDE:] = np.bincount(lane, sign, SKETCH).astype(np.int64).view(np.uint64)
         return out
 
     def state(self, text: str) -> np.ndarray:
         """The fingerprint of a text; no paragraph in an empty one."""
-        return total(self.paragraphs(paragraphs_of(text)))
+        return self.total(paragraphs_of(text))
 
 
 def paragraphs_of(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
-def total(vectors: np.ndarray) -> np.ndarray:
-    return vectors.sum(axis=0, dtype=np.uint16)
-
-
 def insert(state: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return state + vector
 
@@ -116,72 +126,104 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     """Cosine of the sketch lanes, within 0 and 1; 1 for equal fingerprints."""
     if np.array_equal(one, other):
         return 1.0
-    a = one[WIDE:].astype(np.int16).astype(np.float64)
-    b = other[WIDE:].astype(np.int16).astype(np.float64)
+    a = one[WIDE:].view(np.int64).astype(np.float64)
+    b = other[WIDE:].view(np.int64).astype(np.float64)
     size = float(a @ a) * float(b @ b)
     return min(1.0, max(0.0, float(a @ b) / size**0.5)) if size else 0.0
 
 
 def as_text(state: np.ndarray) -> str:
-    return state.astype(_LANE).tobytes().hex()
+    short = state[WIDE:].view(np.int64).astype(_SHORT)
+    return state[:WIDE].astype(_LANE).tobytes().hex() + short.tobytes().hex()
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), _LANE).astype(np.uint16)
-
+    raw = bytes.fromhex(text)
+    sketch = np.frombuffer(raw[8 * WIDE :], _SHORT).astype(np.int64)
+    return np.concatenate([np.frombuffer(raw[: 8 * WIDE], _LANE).astype(np.uint64), sketch.view(np.uint64)])
+
+
+@dataclass(frozen=True)
+class Read:
+    """A document that waits for the next one: its text and fingerprint, and that of what an edit touches."""
+
+    doc_id: int | None
+    text: str
+    state: np.ndarray
+    kept: int  # code points that an edit keeps
+    whole: int  # lines wholly in them
+    touched: np.ndarray
+
+    @classmethod
+    def of(cls, maker: Fingerprinter, doc_id: int | None, text: str) -> Read:
+        kept = len(text) - len(text) // 2
+        whole, lines = text.count("\n", 0, kept), paragraphs_of(text)
+        touched = maker.total(lines[whole:])
+        return cls(doc_id, text, insert(maker.total(lines[:whole]), touched), kept, whole, touched)
+
+    def edited(self, maker: Fingerprinter, following: str) -> tuple[str, np.ndarray]:
+        """The text with its last half replaced, and its fingerprint by deletion and insertion.
+
+        Only lines that the edit touches are hashed anew.
+        """
+        changed = self.text[: self.kept] + following[: len(self.text) - self.kept]
+        added = maker.total(paragraphs_of(changed)[self.whole :])
+        return changed, insert(delete(self.state, self.touched), added)
+
+
+def _order() -> list[Column]:
+    """Descending doc_id, null last, then by a hash of the text: smaller comes first."""
+    return [
+        F.col("doc_id").isNull().cast("bigint").alias("unknown"),
+        F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("bigint").alias("down"),
+        F.xxhash64("text").alias("hash"),
+    ]
 
-def edited(maker: Fingerprinter, text: str, vectors: np.ndarray, following: str):
-    """The text with its last half replaced, and its fingerprint by deletion and insertion.
 
-    ``vectors`` are those of the text's paragraphs. Only paragraphs that the edit touches are
-    hashed anew.
-    """
-    half = len(text) // 2
-    kept = text[: len(text) - half]
-    changed = kept + following[:half]
-    before, after = paragraphs_of(text), paragraphs_of(changed)
-    whole = min(kept.count("\n"), len(before), len(after))  # lines wholly in what is kept
-    state = delete(total(vectors), total(vectors[whole:]))
-    if after[whole:]:
-        state = insert(state, total(maker.paragraphs(after[whole:])))
-    return changed, state
+def places(heads: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many heads (sorted, by rows) are at or before each row, and whether one is the row itself."""
+    every = np.concatenate([heads, rows])
+    is_row = np.arange(len(every)) >= len(heads)
+    order = np.lexsort((is_row, *every.T[::-1]))
+    before = np.empty(len(every), np.int64)
+    before[order] = np.cumsum(~is_row[order])
+    before = before[len(heads) :]
+    own = heads[np.maximum(before - 1, 0)] if len(heads) else rows
+    return before, (before > 0) & (own == rows).all(axis=1)
 
 
 def dealt(docs: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Documents dealt into slices of descending doc_id, each with the row that follows it.
+    """Documents dealt into slices of their order, each with the row that follows it.
 
     ``slice``, ``doc_id``, ``text`` and ``follows``. The first row of each slice
     also goes, with ``follows`` set, to the slice before, and the first row of
-    all to the last slice, so every row finds the next one in its own slice.
-    Texts are shuffled once. One number for each slice comes to the driver, MOST_SLICES at most.
+    all to the last slice, so every row finds the next one in its own slice. Rows of one
+    doc_id, or of none, are parted by their texts; only rows alike in both stay together.
+    Texts are shuffled once. The first key of each slice comes to the driver, MOST_SLICES at most.
     """
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    slices = min(MOST_SLICES, max(1, -(-ids.count() // slice_rows)))
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text("text").alias("text"))
+    slices = min(MOST_SLICES, max(1, -(-docs.count() // slice_rows)))
     firsts = (
-        ids.where("doc_id is not null")
-        .repartitionByRange(slices, F.desc("doc_id"))
+        known.select(*_order())
+        .repartitionByRange(slices, "unknown", "down", "hash")
         .groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.max("doc_id").alias("first"))
+        .agg(F.min(F.struct("unknown", "down", "hash")).alias("first"))
     )
-    heads = np.array(sorted(row["first"] for row in firsts.collect()), dtype=np.int64)
+    heads = np.array(sorted(set(tuple(row["first"]) for row in firsts.collect())), dtype=np.int64).reshape(-1, 3)
     last = max(0, len(heads) - 1)
 
     @F.pandas_udf("array<int>")
-    def slices_of(doc_ids: pd.Series) -> pd.Series:
-        """Own slice, and for a slice's first id the slice before."""
-        known = doc_ids.notna().to_numpy()
-        values = doc_ids.fillna(0).to_numpy().astype(np.int64)
-        own = np.clip(last - np.searchsorted(heads, values, "left"), 0, last) if len(heads) else values * 0
-        own = np.where(known, own, last)
-        first = known & np.isin(values, heads)
+    def slices_of(unknown: pd.Series, down: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Own slice, and for a slice's first row the slice before."""
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in (unknown, down, hashes)], axis=1)
+        before, first = places(heads, rows)
+        own = np.clip(before - 1, 0, last)
         return pd.Series(
             [[s, s - 1 if s else last] if f else [s] for s, f in zip(own.tolist(), first.tolist(), strict=True)]
         )
 
-    return docs.select(
-        F.posexplode(slices_of(F.col("doc_id").cast("bigint"))).alias("extra", "slice"),
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        whole_text("text").alias("text"),
+    return known.select(
+        F.posexplode(slices_of(*_order())).alias("extra", "slice"), "doc_id", "text"
     ).select("slice", "doc_id", "text", (F.col("extra") > 0).alias("follows"))
 
 
@@ -203,18 +245,17 @@ def fingerprint_edits(docs: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataF
         maker, waiting, first, at = Fingerprinter(), None, None, None
         out: list[tuple] = []
 
-        def finish(row, following: str, next_state: np.ndarray) -> None:
-            doc_id, text, vectors, state = row
-            changed, edited_state = edited(maker, text, vectors, following)
+        def finish(row: Read, following: str, next_state: np.ndarray) -> None:
+            changed, edited_state = row.edited(maker, following)
             out.append(
                 (
-                    doc_id,
-                    len(text),
+                    row.doc_id,
+                    len(row.text),
                     hashlib.sha256(changed.encode()).hexdigest(),
-                    as_text(state),
+                    as_text(row.state),
                     as_text(edited_state),
-                    likeness(state, edited_state),
-                    likeness(state, next_state),
+                    likeness(row.state, edited_state),
+                    likeness(row.state, next_state),
                 )
             )
 
@@ -240,12 +281,11 @@ def fingerprint_edits(docs: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataF
                         finish(waiting, text, maker.state(text))
                     waiting = None
                     continue
-                vectors = maker.paragraphs(paragraphs_of(text))
-                state = total(vectors)
+                read = Read.of(maker, doc_id, text)
                 if waiting:
-                    finish(waiting, text, state)
-                waiting = (doc_id, text, vectors, state)
-                first = first or (text, state)
+                    finish(waiting, text, read.state)
+                waiting = read
+                first = first or (text, read.state)
             yield batch_of_out()
         if waiting:
             finish(waiting, first[0], first[1])

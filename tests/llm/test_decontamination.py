@@ -57,3 +57,27 @@ def test_nulls_and_edges(spark, frame):
     nothing = de.contamination(docs, bench.limit(0)).collect()
     assert len(nothing) == 7 and not any(r.runs for r in nothing)
     assert de.contamination(frame([]), bench).collect() == []
+
+
+def test_blocks_are_bounded_by_words(spark, frame, documents):
+    """Words count as they are matched: not parted by white space, however long an item is."""
+    glued = "-".join(f"w{i}" for i in range(2_000))
+    rows = [(1, glued), (1, glued), (2, glued.replace("w", "v"))] + [(i, t) for i, t in documents[10:30]]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    pieces, count = de._blocks(bench, de.WINDOW, 1_000)
+    blocks = pieces.groupBy(de.F.col("place") % count).agg(de.F.sum("n").alias("n")).collect()
+    assert count > 3 and max(r.n for r in blocks) <= 1_000
+    assert pieces.where("item_id = '1'").count() == len(range(0, 2_000 - 12, 250 - 12))
+    docs = frame([(1, glued.upper()), (2, " ".join(f"w{i}" for i in range(80, 120))), (3, "w1 w2 w3"), *documents[10:30]])
+    one = {r.doc_id: r for r in de.contamination(docs, bench).collect()}
+    many = {r.doc_id: r for r in de.contamination(docs, bench, block_words=1_000).collect()}
+    assert one == many and one[1].runs[0].end == 2_000 and one[2]["items"] == ["1"] and not one[3].runs
+
+
+def test_clashing_columns(spark, frame):
+    bench = spark.createDataFrame([(1, "alpha beta", 2, 3)], "item_id int, text string, words int, place int")
+    docs = frame([(1, "alpha beta gamma")])
+    for name in ("runs", "items", "n_words", "__words_of", "block_runs"):
+        docs = docs.withColumn(name, de.F.lit(1))
+    got = de.flagged(de.contamination(docs, bench)).first()
+    assert (got.n_words, got.n_hit, got["items"]) == (3, 2, ["1"])

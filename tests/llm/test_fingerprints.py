@@ -63,6 +63,28 @@ def test_nulls_ties_and_empty(frame):
     ).collect()
     assert len(rows) == 6
     assert [r.n_chars for r in rows if r.doc_id == 1] == [4]
-    assert {r.fingerprint for r in rows if r.n_chars == 0} == {"00" * 2 * fp.LANES}
+    assert {r.fingerprint for r in rows if r.n_chars == 0} == {"00" * fp.BYTES}
     alone = fp.fingerprint_edits(frame([(None, "abcd")])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_long_texts_of_equal_lines_and_words():
+    """Counts beyond 16 bits neither wrap nor vanish."""
+    maker = fp.Fingerprinter()
+    cycle = ["red green blue"] * 30_000
+    short, longer = maker.state(" ".join(cycle)), maker.state(" ".join(cycle + cycle[:10_000]))
+    assert fp.likeness(short, longer) > 0.99
+    assert fp.likeness(fp.from_text(fp.as_text(short)), fp.from_text(fp.as_text(longer))) > 0.99
+    one, many = maker.state("a line of text"), maker.state("\n".join(["a line of text"] * 65_537))
+    assert not np.array_equal(one[: fp.WIDE], many[: fp.WIDE])
+    assert np.array_equal(many, one * np.uint64(65_537))
+
+
+def test_one_id_does_not_fill_a_slice(frame):
+    rows = [(None, f"text number {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)]
+    slices = fp.dealt(frame(rows), slice_rows=50).groupBy("slice").count().collect()
+    assert len(slices) > 6 and max(r["count"] for r in slices) < 200
+    got = fp.fingerprint_edits(frame(rows), slice_rows=50).collect()
+    assert len(got) == 600 and sum(r.doc_id is None for r in got) == 300
+    again = fp.fingerprint_edits(frame(rows[::-1]), slice_rows=7).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
