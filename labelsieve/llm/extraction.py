@@ -40,7 +40,8 @@ BLOCK_TAGS = frozenset(
     "iframe label legend li main menu nav noframes ol optgroup option p pre search section select "
     "summary table tbody td textarea tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template svg math head title object canvas audio video".split())
+SKIPPED = frozenset("script style template head title".split())
+RAW = frozenset("script style".split())  # nothing in them is markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes if it is open, up to a boundary.
@@ -72,6 +73,10 @@ _BOILER = re.compile(
     r"subscribe|sign (?:in|up)|log ?in|newsletter|\bshare\b|advertisement|sponsored",
     re.I,
 )
+#: Headings that readers' comments stand under.
+_TALK = re.compile(
+    r"\b(?:comments?|responses?|repl(?:y|ies)|discussion|reactions?|feedback|readers?|thoughts on|join the)\b", re.I
+)
 _COMMENTED = re.compile(r"\b(?:reply|replied|commented|says|wrote)\b", re.I)
 _MARK = "data-main"
 
@@ -88,8 +93,9 @@ class Block:
 class _Blocks(HTMLParser):
     """Collects leaf blocks. Tolerates tags that are not closed or not open."""
 
-    def __init__(self) -> None:
+    def __init__(self, skipped: frozenset[str] = SKIPPED) -> None:
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
         self.blocks: list[Block] = []
         self.open: list[tuple[str, str, bool | None]] = []
         self.parts: list[str] = []
@@ -114,7 +120,7 @@ class _Blocks(HTMLParser):
                 self.skipping.clear()
             else:
                 return
-        if tag in SKIPPED and not self.skipping:
+        if tag in self.skipped and not self.skipping:
             self.skipping.append(tag)
             return
         if self.skipping:
@@ -146,7 +152,7 @@ class _Blocks(HTMLParser):
                     break
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag in VOID or tag not in SKIPPED:
+        if tag in VOID or tag not in self.skipped:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
@@ -172,11 +178,17 @@ class _Blocks(HTMLParser):
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page: white space made single, references decoded, empty ones left out."""
-    parser = _Blocks()
-    parser.feed(page)
-    parser.close()
-    parser.flush()
-    if not parser.blocks and parser.skipping:  # an element that never ends hides the rest: take it as text
+    skipped = SKIPPED
+    while True:
+        parser = _Blocks(skipped)
+        parser.feed(page)
+        parser.close()
+        parser.flush()
+        # An element that never ends hides nothing: it is read again as if its tag meant nothing.
+        if not parser.skipping or parser.skipping[0] not in skipped - RAW:
+            break
+        skipped -= {parser.skipping[0]}
+    if not parser.blocks and parser.skipping:  # nothing but a script or style that never ends
         bare = re.sub(r"(?is)<(script|style)\b.*?(</\1>|$)|<!--.*?(-->|$)|<[^>]*>", " ", page)
         text = " ".join(entities.unescape(bare).split())
         return [Block(text, "body", ())] if text else []
@@ -214,10 +226,30 @@ def _hints(names: str) -> set[str]:
     return {_HINT_OF[w] for w in words if w in _HINT_OF}
 
 
+def under_talk(blocks: list[Block]) -> list[bool]:
+    """Whether a block is, or stands under, a short heading about comments.
+
+    A heading reaches to the end of its parent element, or to another heading of its level or above.
+    """
+    out, reach = [], None  # the parent's path and the level
+    for block in blocks:
+        heads = [k for k, (tag, _) in enumerate(block.ancestors) if tag in HEADINGS]
+        if reach and block.ancestors[: len(reach[0])] != reach[0]:
+            reach = None
+        if heads:
+            level = int(block.ancestors[heads[-1]][0][1])
+            if block.text.count(" ") < 8 and _TALK.search(block.text):
+                reach = (block.ancestors[: heads[-1]], level)
+            elif reach and level <= reach[1]:
+                reach = None
+        out.append(reach is not None)
+    return out
+
+
 def features_of(blocks: list[Block], hidden: bool = False) -> list[list[str]]:
     """Names of the binary features of each block."""
     out = []
-    for i, block in enumerate(blocks):
+    for i, (block, talk) in enumerate(zip(blocks, under_talk(blocks), strict=True)):
         names = ["bias", *_path_features(block.ancestors, hidden)]
         words = block.text.count(" ") + 1
         share = block.linked / max(1, len(block.text) - words + 1)
@@ -229,6 +261,8 @@ def features_of(blocks: list[Block], hidden: bool = False) -> list[list[str]]:
             names.append("boiler")
         if words <= 12 and _COMMENTED.search(block.text):
             names.append("commented")
+        if talk:
+            names.append("talk")
         if i == 0:
             names.append("first")
         if i == len(blocks) - 1:
@@ -380,6 +414,9 @@ LAYOUTS = (
     f"<body><div><a>Home</a> <a>Contact</a></div><div data-main=1><p>{_PROSE[0]}</p><p>{_PROSE[2]}</p><p>{_PROSE[1]} <a>Read the record</a>.</p></div><div><a>Imprint</a> <a>Privacy policy</a></div></body>",
     f"<body><header><h2>Notes</h2><p>A site about rivers.</p></header><article data-main=1><h1>After</h1><p>Be.</p>{_SOME}<h2>Later</h2>{_SOME}</article><section id=respond class=comment-respond><h3>Leave a reply</h3><form><textarea></textarea></form></section><div class=comments-area><p>Eve says: a fine piece.</p></div><footer class=site-footer>Made by hand.</footer></body>",
     f"<body><article class=post data-main=1><h1>After the flood</h1><p class=byline>By Fay Green</p>{_SOME}<aside data-main=0><p>A pull quote.</p></aside><div class=ad data-main=0>Shop at the corner.</div><p>That was all.</p><section id=comments data-main=0><h2>Comments</h2><p>A great piece, thanks!</p><p>I saw it too, from the bridge, and it was a sight.</p></section></article><div class=login-form>Log in</div></body>",
+    f"<body><article><div data-main=1><h1>After the flood</h1>{_SOME}</div><div><h2>Responses</h2><p>I saw it from the bridge, and it was a sight to see.</p><p>My cellar is still wet.</p></div></article><div>All rights reserved</div></body>",
+    f"<body><main><div data-main=1><h1>After the flood</h1>{_SOME}<h2>What the readers of the river gauge saw that night on the bridge</h2>{_SOME}</div><section><h3>12 replies</h3><div><p>Gus: it was not the dam.</p><p>It has never been the dam, as anybody can see who has walked there.</p></div></section></main></body>",
+    f"<body><div data-main=1><h1>After the flood</h1>{_SOME}</div><div><h3>Join the discussion</h3><div><p>We lost two boats and a shed, and nobody called.</p></div><div><p>So did we.</p></div></div></body>",
 )
 
 

@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelsieve.llm.common import per_document
 from labelsieve.storage import join_lookup, materialise
@@ -63,10 +63,10 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, size: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` for every row; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, *, size: int = SHINGLE, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Carried columns (doc_id) and ``fp`` for every row; null and empty texts have fingerprint 0."""
     return per_document(
-        docs, lambda texts: [[simhash(text, size) for text in texts]], "fp bigint"
+        docs, lambda texts: [[simhash(text, size) for text in texts]], "fp bigint", carry=carry
     )
 
 
@@ -210,14 +210,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, *, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` for every row.
+def classes(docs: DataFrame, *, size: int = SHINGLE, carry: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, ``fp``, ``root`` and ``component_id`` for every row, and what else is carried.
 
-    ``component_id`` is the smallest doc_id of the class. Rows of null doc_id get
+    ``root`` is a fingerprint that names the class, ``component_id`` the smallest doc_id of it. Rows of null doc_id get
     a class but name none, unless all of it are null. Repeated rows stay
     repeated; an empty table has an empty result.
     """
-    marked = materialise(fingerprints(docs, size=size), "simhash")
+    carried = {"doc_id": F.col("doc_id"), **(carry or {})}
+    marked = materialise(fingerprints(docs, size=size, carry=carried), "simhash")
     distinct = materialise(
         marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct"
     )
@@ -227,7 +228,7 @@ def classes(docs: DataFrame, *, size: int = SHINGLE) -> DataFrame:
     )
     owners = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     owned = materialise(
-        rooted.join(owners, "root").select("fp", "n", "component_id"), "classes"
+        rooted.join(owners, "root").select("fp", "n", "root", "component_id"), "classes"
     )
     return join_lookup(marked, owned, "fp", "n")
 

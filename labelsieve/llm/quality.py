@@ -116,10 +116,11 @@ def _simplified(terms) -> tuple:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """``doc_id``, ``text``, ``label`` of at most ``limit`` labelled ids outside the held-out fold.
+    """``doc_id``, ``text``, ``label`` of at most ``limit`` labelled documents outside the held-out fold.
 
-    Ids with the smallest hashes are taken. Ids without a label, or with labels that
-    disagree, are left out. The ids are broadcast: there are at most ``limit``.
+    Ids with the smallest hashes are taken; of an id's several texts the one of the smallest hash. Ids
+    without a label, or with labels that disagree, are left out. The ids are broadcast: there are at
+    most ``limit``.
     """
     chosen = (
         labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull())
@@ -130,8 +131,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .limit(limit)
         .select("doc_id", F.col("low").cast("double").alias("label"))
     )
-    return docs.select("doc_id", whole_text("text").alias("text")).join(
-        F.broadcast(chosen), "doc_id"
+    text = whole_text("text")
+    return (
+        docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("one"))
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("one").alias("one"))
+        .select("doc_id", F.col("one.text").alias("text"), "label")
     )
 
 

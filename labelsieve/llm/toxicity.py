@@ -4,7 +4,8 @@ A lexicon of words and word beginnings is learnt from labelled texts, with the l
 of how much likelier each is in toxic ones. Features are lexicon densities and strengths,
 closeness of lexicon words to second-person words, and rates of capitals, punctuation and
 obfuscation. A training row's own counts are taken out of the lexicon when its features are
-computed, so the trees don't learn to trust words seen once.
+computed, so the trees don't learn to trust words seen once. One fold is kept from lexicon and
+trees; the calibration is learnt on it.
 """
 
 from __future__ import annotations
@@ -159,8 +160,8 @@ class Measurer:
             found[0] if found else 0.0,
             found[1] if len(found) > 1 else 0.0,
             len(places) / max(1, n),
-            float(min(len(places), 50)),
-            float(min(len(found), 50)),
+            float(len(places)),
+            float(len(found)),
             sum(found) / max(1, n),
             _closeness(places, you),
             len(you) / max(1, n),
@@ -170,7 +171,7 @@ class Measurer:
             len(_MARKS.findall(text)) / chars,
             len(obfuscated) / max(1, n),
             len(_STRETCHED.findall(lower)) / max(1, n),
-            float(min(hidden, 50)),
+            float(hidden),
             math.log1p(n),
         ]
 
@@ -238,27 +239,35 @@ def _measurer(spread) -> Measurer:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Learn lexicon, trees and calibration from a bounded sample of labelled rows.
 
-    Rows of the held-out fold are never used. Without rows of both labels the score is the
-    smoothed share of label 1.
+    Rows of the held-out fold are never used, and those of the calibration fold for nothing else,
+    unless the other folds lack a label; then there is no calibration. Without rows of both labels the
+    score is the smoothed share of label 1.
     """
-    rows = materialise(labelled_sample(docs, labels, label, sample), "toxicity-sample")
-    lexicon = learn_lexicon(rows)
+    sampled = labelled_sample(docs, labels, label, sample).withColumn("apart", fold("doc_id") == CALIBRATION_FOLD)
+    rows = materialise(sampled, "toxicity-sample")
+    if rows.where("not apart").select("label").distinct().count() < 2:
+        rows = rows.withColumn("apart", F.lit(False))
+    lexicon = learn_lexicon(rows.where("not apart"))
     spread = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches):
         for batch in batches:
             measurer = Measurer(spread.value)
-            texts, marks = batch.column("text").to_pylist(), batch.column("label").to_pylist()
-            made = [
-                measurer.features(t, (1, 0) if y else (0, 1)) for t, y in zip(texts, marks, strict=True)
-            ]
+            texts, marks, apart = (batch.column(c).to_pylist() for c in ("text", "label", "apart"))
+            own = [(0, 0) if a else (1, 0) if y else (0, 1) for y, a in zip(marks, apart, strict=True)]
+            made = [measurer.features(t, o) for t, o in zip(texts, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(made, pa.list_(pa.float64()))],
-                names=["doc_id", "label", "measured"],
+                [
+                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("label"),
+                    batch.column("apart"),
+                    pa.array(made, pa.list_(pa.float64())),
+                ],
+                names=["doc_id", "label", "apart", "measured"],
             )
 
-    measured = rows.select("doc_id", "label", "text").mapInArrow(
-        measure, "doc_id bigint, label double, measured array<double>"
+    measured = rows.select("doc_id", "label", "apart", "text").mapInArrow(
+        measure, "doc_id bigint, label double, apart boolean, measured array<double>"
     )
     # At most `sample` rows of a few numbers: one ordered partition makes the fit repeatable.
     stored = materialise(measured, "toxicity-features").coalesce(1).sortWithinPartitions("doc_id", "measured")
@@ -268,14 +277,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     if not ones or not zeros:
         return ToxicityModel(lexicon, None, None, base)
     ready = stored.withColumn("features", array_to_vector("measured"))
-    for_trees = ready.where(fold("doc_id") != CALIBRATION_FOLD)
-    if len(for_trees.select("label").distinct().take(2)) < 2:
-        for_trees = ready
     trees = GBTClassifier(
         maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7
-    ).fit(for_trees.select("label", "features"))
+    ).fit(ready.where("not apart").select("label", "features"))
     uncalibrated = ToxicityModel(lexicon, trees, None, base)
-    held = uncalibrated._scores(stored.where(fold("doc_id") == CALIBRATION_FOLD))
+    held = uncalibrated._scores(stored.where("apart"))
     if len(held.select("label").distinct().take(2)) < 2:
         return uncalibrated
     isotonic = IsotonicRegression(

@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelsieve.llm import decontamination, pieces
@@ -62,3 +63,20 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, folder, frame):
             docs = stage(spark, docs, folder)
             assert docs.columns == columns
         corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+
+
+def test_repeated_ids_lose_no_other_text(spark, folder, frame):
+    one, near = "alpha beta gamma delta " * 40, "alpha beta gamma delta " * 41
+    other, third = "completely different words stand in here " * 30, "and a third text of its own kind " * 30
+    rows = [(1, one), (1, other), (2, near), (2, third), (5, third), (5, third), (5, other), (None, one), (None, None)]
+    rows += [(7, "lonely text with words " * 20)] * 3
+    docs = frame(rows).withColumn("text_hash", F.lit("mine")).withColumn("root", F.lit(1))
+    got = corpus_pipeline.keep_one_of_each(spark, docs, folder)
+    assert got.columns == docs.columns
+    texts = [r.text for r in got.collect()]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == sorted([(0, ""), (1, one), (1, other), (2, third), (7, "lonely text with words " * 20)])
+    assert len(texts) == 5
+    # Hundreds of rows alike in id and text, under a null id too.
+    docs = frame([(None, one)] * 200 + [(3, third)] * 200)
+    assert sorted(r.text for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()) == sorted([one, third])
