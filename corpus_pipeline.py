@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelsieve.llm import decontamination, lines, neardup, pieces, quality
 from labelsieve.llm.common import table
-from labelsieve.storage import materialise
+from labelsieve.storage import join_lookup, materialise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +29,34 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate class.
+    """One document of each near-duplicate class: of the smallest doc_id, and of its texts of the smallest hash.
 
-    Rows of null doc_id can't be told apart and stay.
+    Rows are told apart by doc_id and text. A doc_id that repeats with texts of different classes keeps
+    one row for each class; of rows alike in both one stays. A null doc_id comes after all others.
     """
-    found = neardup.classes(docs.select("doc_id", "text"))
-    others = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(materialise(others, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = neardup.classes(docs.select("doc_id", "text"), carry={"text_hash": text})
+    keys = ["doc_id", "text_hash"]
+    rows = materialise(found.groupBy("root", *keys).agg(F.count("*").alias("n")), "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), *keys)).alias("first")
+    firsts = rows.groupBy("root").agg(first, F.count("*").alias("weight")).where("weight > 1")
+    others = join_lookup(rows, materialise(firsts, "class-firsts"), "root", "weight").where("first is not null")
+    others = others.where(
+        ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("first.text_hash") != F.col("text_hash"))
+    )
+    others, repeats = (materialise(part.select(*keys), "row-keys") for part in (others, rows.where("n > 1")))
+
+    def among(part: DataFrame, how: str) -> DataFrame:
+        alike = F.col("d.doc_id").eqNullSafe(part["doc_id"]) & (F.col("d.__text_hash") == part["text_hash"])
+        return marked.alias("d").join(part, alike, how).select("d.*")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__text_hash", text)
+    marked = among(others, "left_anti")
+    if repeats.isEmpty():
+        return marked.select(*columns)
+    one = among(repeats, "left_semi").groupBy("doc_id", "__text_hash").agg(F.first(F.struct(*columns)).alias("row"))
+    return among(repeats, "left_anti").select(*columns).unionByName(one.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
