@@ -1,15 +1,18 @@
 """Queries of metrics, score tables, summaries and model fits."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from labelsieve.catalog import protocols, sqltext as s
 from labelsieve.catalog.fixtures import (
-    DEVICES, NUMBER_FEATURES, NUMBERS, PREDICTIONS, PROVENANCE, TRAFFIC, read, rounded, sql, view,
+    CATEGORICAL, DEVICES, NUMBER_FEATURES, NUMBERS, PREDICTIONS, PROVENANCE, TRAFFIC, read, rounded, sql, view,
 )
-from labelsieve.constants import ATTACK_PREFIX, BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, FOLD_METRICS, Z_95
+from labelsieve.constants import (
+    ATTACK_PREFIX, BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, FOLD_METRICS, RANDOM_SEED, Z_95,
+)
 from labelsieve.operators import metrics, summaries
-from labelsieve.operators.splits import TEST, TRAIN, stratified_split
-from labelsieve.plans import evaluate, models, recipes
+from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, stratified_split
+from labelsieve.plans import bayes, evaluate, models, recipes
 from labelsieve.storage import materialise
 
 KEY = "event_id"
@@ -65,57 +68,118 @@ def gaussian_nb_params(spark, folder):
     return rounded(evaluate.gaussian_parameters(view(read(spark, folder, "events"), NUMBERS), NUMBER_FEATURES, BINARY_LABEL))
 
 
-def fit_card(name, spark, folder):
-    """Score card of one registered model at its registered settings, with its timings."""
+def _matrix(spark, folder):
+    """Training and test rows of the numeric view, split by class."""
     df = view(read(spark, folder, "events"), NUMBERS)
     split = stratified_split(df, KEY, BINARY_LABEL)
-    rows = materialise(evaluate.assemble(split, NUMBER_FEATURES, keep=("split",)), "matrix")
-    train = rows.where(F.col("split") == TRAIN).drop("split")
-    test = rows.where(F.col("split") == TEST).drop("split")
-    spec = models.get_model(name)
-    return evaluate.fit_and_score(spec, train, test, protocol="numbers", split="random_stratified")
-
-
-def _checked(card):
-    """The facts of score cards that SQL knows, and whether each card is whole and within bounds."""
-    bounded = [F.col(m).between(0, 1) for m in ("accuracy", "balanced_accuracy", "f1_macro", "roc_auc")]
-    recalls = F.map_values("per_class_recall")
-    whole = (F.size(recalls) == 2) & F.forall(recalls, lambda r: r.between(0, 1)) & (F.col("fit_seconds") > 0)
-    for one in bounded:
-        whole &= one
+    rows = evaluate.dealt(evaluate.assemble(split, NUMBER_FEATURES, keep=(KEY, "split"), key=KEY), "matrix")
+    return [rows.where(F.col("split") == part).drop("split") for part in (TRAIN, TEST)]
+
+
+def fit_card(name, spark, folder):
+    """Score card of one registered model at its registered settings, with its timings."""
+    train, test = _matrix(spark, folder)
+    return evaluate.fit_and_score(models.get_model(name), train, test, protocol="numbers", split="random_stratified")
+
+
+def _facts(runs):
+    """What SQL knows of runs: sizes, rows of each class in the confusion, a score above chance.
+
+    Chance is what a constant score has: an area of one half.
+    """
+    counts = evaluate.confusion(runs.predictions())
+    tested = counts.groupBy("model", "protocol", "split").agg(
+        *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"tested_{k}") for k in (0, 1)]
+    )
+    card = runs.scores().join(tested, ["model", "protocol", "split"], "left")
     return card.select(
-        "model", "protocol", "split", "n_train", "n_test", "n_features",
-        F.coalesce(whole & F.col("problem").isNull(), F.lit(False)).alias("well_formed"),
+        "model", "protocol", "split", "n_train", "n_features", "tested_0", "tested_1",
+        F.greatest("tested_0", "tested_1").alias("majority"),
+        (F.col("roc_auc") > 0.5).alias("above_chance"), "problem",
     )
 
 
 def _fit(name):
-    return lambda spark, folder: _checked(fit_card(name, spark, folder))
+    """A model's facts, and how many training rows it gets right where it can tell all different rows apart."""
+
+    def query(spark, folder):
+        train, test = _matrix(spark, folder)
+        runs = evaluate.Runs.start(spark)
+        both = [("random_stratified", test), ("training", train)]
+        runs.fit(models.get_model(name), train, both, "numbers", "random_stratified")
+        facts = _facts(runs)
+        hits = runs.predictions().where("split = 'training'").agg(
+            F.sum((F.col("label") == F.col("prediction")).cast("bigint")).alias("learnt")
+        )
+        learnt = F.lit(hits.first().learnt if name == "DecisionTree" else None).cast("bigint")
+        return facts.where("split = 'random_stratified'").withColumn("learnt", learnt)
+
+    return query
+
+
+def fit_gaussian_nb(spark, folder):
+    """Log odds and prediction of every test row."""
+    train, test = _matrix(spark, folder)
+    model = models.get_model("GaussianNB").build(len(NUMBER_FEATURES), 0).fit(train).model
+    return rounded(
+        test.withColumn("log_odds", model.log_odds(vector_to_array("features"))).select(
+            KEY, F.col("label").cast("int").alias("label"), (F.col("log_odds") > 0).cast("int").alias("prediction"), "log_odds"
+        )
+    )
+
+
+def _folded(spark, folder, columns):
+    df = view(read(spark, folder, "events"), columns)
+    return kfold_assign(df, KEY, BINARY_LABEL, n_splits=5, n_repeats=3)
+
+
+FOLDS = ("fold_0", "fold_1", "fold_2")
+
+
+def kfold_bayes(spark, folder):
+    """Naive Bayes on every fold of every repeat, from one aggregate over all of them."""
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in NUMBER_FEATURES])
+    rows = materialise(_folded(spark, folder, NUMBERS).select(*FOLDS, x.alias("x"), F.col(BINARY_LABEL).alias("y")), "folds")
+    found = bayes.fold_predictions(rows, list(FOLDS), bayes.fold_models(rows, list(FOLDS), 5))
+    predictions = found.select(
+        F.lit("bayes").alias("model"), F.concat("repeat", F.lit("")).alias("protocol"),
+        F.concat("fold", F.lit("")).alias("split"), F.col("y").alias("label"),
+        (F.col("log_odds") > 0).cast("int").alias("prediction"),
+    )
+    return rounded(metrics.score_table(metrics.classification_metrics(metrics.confusion(predictions))))
+
+
+def kfold_tokens(spark, folder):
+    """Token majorities on every fold of every repeat, from one aggregate."""
+    rows = _folded(spark, folder, TRAFFIC)
+    return rounded(bayes.fold_token_majorities(rows, list(CATEGORICAL), BINARY_LABEL, list(FOLDS)))
 
 
 def leaky_vs_clean(spark, folder):
     """All models under both protocols; the leak makes the tree perfect."""
     df = view(read(spark, folder, "events"), TRAFFIC).drop(KEY)
-    prepared = [recipes.prepare_readme(df), recipes.prepare_clean(df)]
-    card = materialise(evaluate.compare_protocols(prepared), "card")
-    tree = (F.col("model") == "DecisionTree") & (F.col("protocol") == recipes.README)
-    perfect = card.where(tree).select("model", "protocol", (F.col("accuracy") == 1.0).alias("perfect"))
-    return _checked(card).join(F.broadcast(perfect), ["model", "protocol"], "left")
+    runs = evaluate.compared([recipes.prepare_readme(df), recipes.prepare_clean(df)])
+    leaked = (F.col("model") == "DecisionTree") & (F.col("protocol") == recipes.README)
+    hits = runs.predictions().where(leaked).groupBy("model", "protocol").agg(
+        F.sum((F.col("label") == F.col("prediction")).cast("bigint")).alias("right")
+    )
+    return _facts(runs).join(hits, ["model", "protocol"], "left")
 
 
 def repeated_kfold(spark, folder):
-    """All models over all repeats and folds."""
+    """All models over all repeats and folds; the mean scores of naive Bayes in full."""
     df = view(read(spark, folder, "events"), NUMBERS)
     prepared = recipes.Prepared(df, NUMBER_FEATURES, "numbers", (), {})
     table = evaluate.repeated_kfold(prepared)
-    whole = F.col("mean").between(0, 1) & F.col("mean").between(F.col("ci_low"), F.col("ci_high"))
-    return table.select("model", "protocol", "metric", "n_folds", F.coalesce(whole, F.lit(False)).alias("well_formed"))
+    exact = F.when(F.col("model") == "GaussianNB", F.round("mean", 6))
+    inside = (F.col("mean") >= F.col("ci_low")) & (F.col("mean") <= F.col("ci_high"))
+    return table.select("model", "protocol", "metric", "n_folds", exact.alias("mean"), inside.alias("inside"))
 
 
 def lodo_sweep(spark, folder):
     """All models with every device held out in turn."""
     matrix = view(read(spark, folder, "events"), NUMBERS, {DEVICE_COLUMN: PROVENANCE[DEVICE_COLUMN]})
-    return _checked(evaluate.lodo_sweep(matrix, KEY, DEVICES))
+    return _facts(evaluate.swept(matrix, KEY, DEVICES)).drop("above_chance")
 
 
 def cross_domain(spark, folder):
@@ -127,11 +191,12 @@ def cross_domain(spark, folder):
          "label": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END"},
     )
     table = evaluate.cross_domain(source, NUMBER_FEATURES, KEY, target)
-    scores = ("in_domain_accuracy", "cross_domain_accuracy", "in_domain_f1_macro", "cross_domain_f1_macro", "cross_domain_attack_recall")
-    whole = F.lit(True)
-    for name in scores:
-        whole &= F.coalesce(F.col(name).between(0, 1), F.lit(False))
-    return table.select("model", "n_source_test", "n_target", "shared_features", whole.alias("well_formed"))
+    exact = [F.when(F.col("model") == "GaussianNB", F.round(c, 6)).alias(c) for c in (
+        "in_domain_accuracy", "cross_domain_accuracy", "cross_domain_attack_recall")]
+    drop = F.abs(F.col("in_domain_f1_macro") - F.col("cross_domain_f1_macro") - F.col("f1_macro_drop")) < 1e-9
+    return table.select(
+        "model", "n_source_test", "n_target", "shared_features", *exact, drop.alias("drop_adds_up"), "problem"
+    )
 
 
 QUERIES = {
@@ -154,7 +219,9 @@ QUERIES = {
     "fit_random_forest": _fit("RandomForest"),
     "fit_gbt": _fit("HistGradientBoosting"),
     "fit_logistic": _fit("LogisticRegression"),
-    "fit_gaussian_nb": _fit("GaussianNB"),
+    "fit_gaussian_nb": fit_gaussian_nb,
+    "kfold_bayes": kfold_bayes,
+    "kfold_tokens": kfold_tokens,
     "fit_mlp": _fit("MLP"),
     "fit_mlp_deep": _fit("DeepMLP"),
     "leaky_vs_clean": leaky_vs_clean,
@@ -248,42 +315,129 @@ round(count(*) / (SELECT count(*) FROM events), 6) AS prior FROM ({sql('events',
 }
 
 
-def _sizes(base):
-    """Training and test rows of a stratified split of 20 %."""
-    return f"""(SELECT sum(n - round(n * 0.2))::BIGINT AS n_train, sum(round(n * 0.2))::BIGINT AS n_test
-FROM (SELECT count(*) AS n FROM ({base}) GROUP BY "Attack_label"))"""
-
-
 _NUMBERS = sql("events", NUMBERS)
 _MODELS = [m.name for m in models.MODELS]
 _FITS = {
     "fit_decision_tree": "DecisionTree", "fit_random_forest": "RandomForest", "fit_gbt": "HistGradientBoosting",
-    "fit_logistic": "LogisticRegression", "fit_gaussian_nb": "GaussianNB", "fit_mlp": "MLP", "fit_mlp_deep": "DeepMLP",
+    "fit_logistic": "LogisticRegression", "fit_mlp": "MLP", "fit_mlp_deep": "DeepMLP",
 }
 _SUITE = f"(SELECT unnest({_MODELS!r}) AS model)"
 _ATTACK = f"starts_with({DEVICE_COLUMN}, '{ATTACK_PREFIX}')"
+_X = ", ".join(f'"{f}"' for f in NUMBER_FEATURES)
+
+
+def _split_rows(base, digits="0.2"):
+    """Rows of a base with ``tested`` and the label ``y``, split by class."""
+    return f"""SELECT *, "{BINARY_LABEL}"::INTEGER AS y, row_number() OVER (PARTITION BY "{BINARY_LABEL}" ORDER BY {s.digest(KEY)})
+  <= round(count(*) OVER (PARTITION BY "{BINARY_LABEL}") * {digits}) AS tested FROM ({base})"""
+
+
+def _odds(names):
+    """Log odds of class 1 from columns m<k>_<i>, v<k>_<i> and c<k> of the training rows."""
+    parts = [f"(ln(v0_{i} / v1_{i}) / 2 + power(x.{n} - m0_{i}, 2) / (2 * v0_{i}) - power(x.{n} - m1_{i}, 2) / (2 * v1_{i}))"
+             for i, n in enumerate(names)]
+    return f"(ln(c1::DOUBLE / c0) + {' + '.join(parts)})"
+
+
+def _bayes(names, where, by=""):
+    """Parameters of naive Bayes over the rows of ``rows`` that satisfy ``where``."""
+    items = [f"count(*) FILTER (WHERE y = {k}) AS c{k}" for k in (0, 1)]
+    for i, n in enumerate(names):
+        for k in (0, 1):
+            items += [f"avg({n}) FILTER (WHERE y = {k}) AS m{k}_{i}",
+                      f"var_pop({n}) FILTER (WHERE y = {k}) + 1e-9::DOUBLE * var_pop({n}) AS v{k}_{i}"]
+    return f"SELECT {by}{', '.join(items)} FROM rows WHERE {where}"
+
+
+_QUOTED = [f'"{f}"' for f in NUMBER_FEATURES]
+
+
+def _fold_number(repeat):
+    """The fold of a row in a repeat: consecutive parts of its class's hash order."""
+    order = f"""row_number() OVER (PARTITION BY "{BINARY_LABEL}" ORDER BY {s.digest(KEY, f'{RANDOM_SEED}:{repeat}')}) - 1"""
+    n = f'count(*) OVER (PARTITION BY "{BINARY_LABEL}")'
+    return f"""CASE WHEN {order} < ({n} % 5) * ({n} // 5 + 1) THEN ({order}) // ({n} // 5 + 1)
+  ELSE ({n} % 5) + ({order} - ({n} % 5) * ({n} // 5 + 1)) // ({n} // 5) END"""
+
+
+def _folded_rows(base):
+    return " UNION ALL ".join(
+        f"""SELECT *, "{BINARY_LABEL}"::INTEGER AS y, {r} AS repeat, {_fold_number(r)} AS fold FROM ({base})""" for r in range(3)
+    )
+
+
+_FOLD_BAYES = f"""rows AS ({_folded_rows(_NUMBERS)}),
+params AS ({' UNION ALL '.join(
+    f"SELECT {f} AS fold, * FROM ({_bayes(_QUOTED, f'fold <> {f}', 'repeat, ')} GROUP BY repeat)" for f in range(5))}),
+confusion AS (SELECT 'bayes' AS model, ''||x.repeat AS protocol, ''||x.fold AS split, y AS label,
+  ({_odds(_QUOTED)} > 0)::INTEGER AS prediction, count(*) AS n
+  FROM rows x JOIN params USING (repeat, fold) GROUP BY ALL), {s.METRICS}"""
+
+
+def _tested(base, where="tested"):
+    return f"""SELECT count(*) FILTER (WHERE NOT ({where})) AS n_train, count(*) FILTER (WHERE {where} AND y = 0) AS tested_0,
+  count(*) FILTER (WHERE {where} AND y = 1) AS tested_1 FROM ({base})"""
+
+
+def _learnt(base):
+    """Training rows that a tree without limits gets right: the majority of each different row."""
+    return f"""(SELECT sum(greatest(a, b))::BIGINT FROM (SELECT {_X}, count(*) FILTER (WHERE y = 0) AS a,
+  count(*) FILTER (WHERE y = 1) AS b FROM ({base}) WHERE NOT tested GROUP BY {_X}))"""
+
+
+_SPLIT = _split_rows(_NUMBERS)
+_COMMON = """n_train::BIGINT AS n_train, {features}::INTEGER AS n_features, tested_0::BIGINT AS tested_0, tested_1::BIGINT AS tested_1,
+greatest(tested_0, tested_1)::BIGINT AS majority"""
+_SWEEP_BASE = f"""SELECT device, y, {DEVICE_COLUMN} = device OR ({_ATTACK} AND {s.unit(KEY)} < 0.2) AS tested
+FROM (SELECT *, "{BINARY_LABEL}"::INTEGER AS y FROM ({sql('events', NUMBERS, {DEVICE_COLUMN: PROVENANCE[DEVICE_COLUMN]})})),
+  (SELECT unnest({list(DEVICES)!r}) AS device)"""
 ORACLES |= {
-    query: f"""SELECT '{name}' AS model, 'numbers' AS protocol, 'random_stratified' AS split, n_train, n_test,
-{len(NUMBER_FEATURES)}::INTEGER AS n_features, true AS well_formed FROM {_sizes(_NUMBERS)}"""
+    query: f"""SELECT '{name}' AS model, 'numbers' AS protocol, 'random_stratified' AS split,
+{_COMMON.format(features=len(NUMBER_FEATURES))}, least(tested_0, tested_1) > 0 AS above_chance, NULL::VARCHAR AS problem,
+{_learnt(_SPLIT) if name == 'DecisionTree' else 'NULL::BIGINT'} AS learnt FROM ({_tested(_SPLIT)})"""
     for query, name in _FITS.items()
 } | {
+    "fit_gaussian_nb": f"""WITH rows AS ({_SPLIT}), params AS ({_bayes(_QUOTED, 'NOT tested')})
+SELECT event_id, y AS label, (odds > 0)::INTEGER AS prediction, round(odds, 6) + 0.0 AS log_odds
+FROM (SELECT event_id, y, {_odds(_QUOTED)} AS odds FROM rows x, params WHERE tested)""",
+    "kfold_bayes": f"WITH {_FOLD_BAYES} SELECT {_ROUNDED} FROM metrics",
+    "kfold_tokens": f"""WITH rows AS ({_folded_rows(sql('events', TRAFFIC))}),
+long AS ({' UNION ALL '.join(f"SELECT repeat, fold, y, '{c}' AS col, {s.name(c)} AS token FROM rows" for c in CATEGORICAL)}),
+folds AS (SELECT unnest(range(5)) AS tested),
+mostly AS (SELECT repeat, col, tested, sum(y) * 2 > count(*) AS mostly FROM long, folds WHERE fold <> tested GROUP BY ALL),
+votes AS (SELECT repeat, col, token, tested, sum(y) * 2 > count(*) AS vote FROM long, folds WHERE fold <> tested GROUP BY ALL)
+SELECT l.repeat::INTEGER AS repeat, l.fold::INTEGER AS fold, l.col AS "column", count(*) AS n_test,
+  round(avg((coalesce(vote, mostly)::INTEGER = y)::INTEGER), 6) AS accuracy
+FROM long l LEFT JOIN votes v ON l.repeat = v.repeat AND l.col = v.col AND l.fold = v.tested AND l.token IS NOT DISTINCT FROM v.token
+JOIN mostly m ON l.repeat = m.repeat AND l.col = m.col AND l.fold = m.tested GROUP BY l.repeat, l.fold, l.col""",
     "leaky_vs_clean": " UNION ALL ".join(
-        f"""SELECT model, '{protocol}' AS protocol, 'random_stratified' AS split, n_train, n_test,
-{features}::INTEGER AS n_features, true AS well_formed,
-CASE WHEN model = 'DecisionTree' AND '{protocol}' = 'readme' THEN true END AS perfect FROM {_SUITE}, {_sizes(rows)}"""
+        f"""SELECT model, '{protocol}' AS protocol, 'random_stratified' AS split, {_COMMON.format(features=features)},
+least(tested_0, tested_1) > 0 AS above_chance, NULL::VARCHAR AS problem,
+CASE WHEN model = 'DecisionTree' AND '{protocol}' = 'readme' THEN (tested_0 + tested_1)::BIGINT END AS right FROM {_SUITE},
+(SELECT sum(n - t) AS n_train, max(t) FILTER (WHERE y = 0) AS tested_0, max(t) FILTER (WHERE y = 1) AS tested_1
+ FROM (SELECT "{BINARY_LABEL}"::INTEGER AS y, count(*) AS n, round(count(*) * 0.2)::BIGINT AS t FROM ({rows}) GROUP BY 1))"""
         for protocol, rows, features in (
             ("readme", protocols._README_ROWS, len(protocols.NUMBERS) + protocols._N_README),
             ("clean", protocols._CLEAN_ROWS, len(protocols.NUMBERS) + protocols._N_CLEAN),
         )
     ),
-    "repeated_kfold": f"""SELECT model, 'numbers' AS protocol, metric, 15::BIGINT AS n_folds, true AS well_formed
-FROM {_SUITE}, (SELECT unnest({list(FOLD_METRICS)!r}) AS metric)""",
-    "lodo_sweep": f"""SELECT model, 'benchmark' AS protocol, 'lodo_' || device AS split,
-count(*) FILTER (WHERE NOT tested) AS n_train, count(*) FILTER (WHERE tested) AS n_test,
-{len(NUMBER_FEATURES)}::INTEGER AS n_features, true AS well_formed
-FROM {_SUITE}, (SELECT device, {DEVICE_COLUMN} = device OR ({_ATTACK} AND {s.unit(KEY)} < 0.2) AS tested
-  FROM ({sql('events', NUMBERS, {DEVICE_COLUMN: PROVENANCE[DEVICE_COLUMN]})}), (SELECT unnest({list(DEVICES)!r}) AS device))
-GROUP BY model, device""",
-    "cross_domain": f"""SELECT model, n_test AS n_source_test, (SELECT count(*) FROM orders) AS n_target,
-2::INTEGER AS shared_features, true AS well_formed FROM {_SUITE}, {_sizes(_NUMBERS)}""",
+    "repeated_kfold": f"""WITH {_FOLD_BAYES}, long AS ({' UNION ALL '.join(
+        f"SELECT '{m}' AS metric, {m} AS value FROM metrics" for m in FOLD_METRICS)}),
+means AS (SELECT metric, avg(value) AS mean, count(*) AS n FROM long GROUP BY metric)
+SELECT model, 'numbers' AS protocol, metric, n AS n_folds, CASE WHEN model = 'GaussianNB' THEN round(mean, 6) END AS mean,
+  n > 1 AS inside FROM {_SUITE}, means""",
+    "lodo_sweep": f"""SELECT model, 'benchmark' AS protocol, 'lodo_' || device AS split, {_COMMON.format(features=len(NUMBER_FEATURES))},
+NULL::VARCHAR AS problem FROM {_SUITE}, (SELECT device, count(*) FILTER (WHERE NOT tested) AS n_train,
+  count(*) FILTER (WHERE tested AND y = 0) AS tested_0, count(*) FILTER (WHERE tested AND y = 1) AS tested_1
+  FROM ({_SWEEP_BASE}) GROUP BY device)""",
+    "cross_domain": f"""WITH rows AS ({_SPLIT}), params AS ({_bayes(['"user"', '"shifted"'], 'NOT tested')}),
+source AS (SELECT avg((({_odds(['"user"', '"shifted"'])} > 0)::INTEGER = y)::INTEGER) AS accuracy, count(*) AS n FROM rows x, params WHERE tested),
+foreign_rows AS (SELECT o_totalprice / 1000 AS shifted, o_custkey::DOUBLE AS "user", (o_orderstatus = 'F')::INTEGER AS y FROM orders),
+target AS (SELECT avg((hit = y)::INTEGER) AS accuracy, avg(hit) FILTER (WHERE y = 1) AS recall, count(*) AS n
+  FROM (SELECT y, ({_odds(['"user"', '"shifted"'])} > 0)::INTEGER AS hit FROM foreign_rows x, params))
+SELECT model, source.n AS n_source_test, target.n AS n_target, 2::INTEGER AS shared_features,
+CASE WHEN model = 'GaussianNB' THEN round(source.accuracy, 6) END AS in_domain_accuracy,
+CASE WHEN model = 'GaussianNB' THEN round(target.accuracy, 6) END AS cross_domain_accuracy,
+CASE WHEN model = 'GaussianNB' THEN round(target.recall, 6) END AS cross_domain_attack_recall,
+source.n > 0 AS drop_adds_up, NULL::VARCHAR AS problem FROM {_SUITE}, source, target""",
 }

@@ -37,19 +37,23 @@ from labelsieve.operators.metrics import (
     roc_auc,
 )
 from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, lodo_split, stratified_split
+from labelsieve.plans.bayes import GaussianBayesEstimator, fold_models, fold_predictions
 from labelsieve.plans.models import FEATURES, LABEL, MODELS
+from labelsieve.plans.trees import ROW
 from labelsieve.storage import materialise, scratch_path
 
-#: Training rows in a partition, about, and the fewest partitions. Bagging is seeded by
-#: partition, so the layout follows the rows and never the cluster.
+#: Rows in a partition of a matrix, about, and the fewest partitions.
 PARTITION_ROWS, FEWEST_PARTITIONS = 50_000, 8
 #: Fits of a suite that run at the same time.
 PARALLEL_FITS = 4
 
 
-def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> DataFrame:
-    """Feature vector and numeric label, beside the ``keep`` columns."""
+def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=(), key=None) -> DataFrame:
+    """Feature vector and numeric label, beside the ``keep`` columns; with ``key`` a number of the row."""
     labelled = [*[col(c) for c in keep], col(label).cast("double").alias(LABEL)]
+    if key is not None:
+        names = [key] if isinstance(key, str) else list(key)
+        labelled.append(F.xxhash64(*[col(name).cast("string") for name in names]).alias(ROW))
     if list(features) == [FEATURES]:
         return df.select(*labelled, FEATURES)
     plain = [col(name).cast("double").alias(f"f{i}") for i, name in enumerate(features)]
@@ -58,6 +62,15 @@ def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=()) -> Dat
     return vectors.drop(*inputs)
 
 
+def dealt(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written once in partitions and in an order of their numbers.
+
+    Parts of it are then read by a filter, without a shuffle, and the layout depends on the rows only.
+    """
+    partitions = max(FEWEST_PARTITIONS, rows.count() // PARTITION_ROWS)
+    return materialise(rows.repartition(partitions, ROW).sortWithinPartitions(ROW), label)
+
+
 @dataclass
 class Runs:
     """Predictions of several fits, a folder each, and the facts about each fit."""
@@ -79,11 +92,8 @@ class Runs:
             raise ValueError(f"the training rows of {split!r} hold {len(classes)} classes")
         width = len(train.select(FEATURES).first()[0])
         parts = test if isinstance(test, list) else [(split, test)]
-        content = F.xxhash64(*[F.col(c).cast("string") for c in train.columns])
-        partitions = max(FEWEST_PARTITIONS, sum(classes.values()) // PARTITION_ROWS)
-        dealt = train.withColumn("h_", content).repartition(partitions, "h_").sortWithinPartitions("h_").drop("h_")
         started = time.perf_counter()
-        model = spec.build(width, sum(classes.values()), **settings).fit(dealt)
+        model = spec.build(width, sum(classes.values()), **settings).fit(train)
         fitted = time.perf_counter()
         folder = f"{self.path}/{spec.name}-{uuid.uuid4().hex}"
         for name, rows in parts:
@@ -100,6 +110,29 @@ class Runs:
                 (spec.name, protocol, name, sum(classes.values()), width, fitted - started, predicted - fitted)
             )
 
+    def fit_folds(self, spec, rows: DataFrame, folds: list[str], n_splits: int, protocol: str) -> None:
+        """All folds of a model whose statistics add up: one aggregate, one scan of predictions."""
+        arrays = rows.select(*folds, vector_to_array(FEATURES).alias("x"), F.col(LABEL).alias("y"))
+        started = time.perf_counter()
+        models = fold_models(arrays, folds, n_splits)
+        fitted = time.perf_counter()
+        split = F.concat_ws("_", F.lit("fold"), "repeat", "fold")
+        predicted = fold_predictions(arrays, folds, models).select(
+            F.lit(spec.name).alias("model"), F.lit(protocol).alias("protocol"), split.alias("split"),
+            F.col("y").alias("label"), (F.col("log_odds") > 0).cast("int").alias("prediction"),
+            (1 / (1 + F.exp(-F.col("log_odds")))).alias("score"),
+        )
+        folder = f"{self.path}/{spec.name}-{uuid.uuid4().hex}"
+        predicted.write.parquet(folder)
+        seconds = time.perf_counter() - fitted
+        self.folders.append(folder)
+        width = len(rows.select(FEATURES).first()[0])
+        for (repeat, fold), model in models.items():
+            self.facts.append(
+                (spec.name, protocol, f"fold_{repeat}_{fold}", sum(model.counts), width,
+                 (fitted - started) / len(models), seconds / len(models))
+            )
+
     def try_fit(self, spec, *args, **settings) -> None:
         """Fit; a run that cannot be fitted is noted and left out."""
         try:
@@ -160,7 +193,7 @@ def fit_split(runs: Runs, prepared, specs, *, test_size=TEST_SIZE, seed=RANDOM_S
     """Fit every model on a stratified split of a prepared table."""
     key = prepared.frame.columns[0]
     split = stratified_split(prepared.frame, key, BINARY_LABEL, test_size=test_size, seed=seed)
-    rows = materialise(assemble(split, prepared.features, keep=("split",)), "matrix")
+    rows = dealt(assemble(split, prepared.features, keep=("split",), key=key), "matrix")
     train = rows.where(F.col("split") == TRAIN).drop("split")
     test = rows.where(F.col("split") == TEST).drop("split")
     runs.fit_all(
@@ -168,12 +201,17 @@ def fit_split(runs: Runs, prepared, specs, *, test_size=TEST_SIZE, seed=RANDOM_S
     )
 
 
-def compare_protocols(prepared, specs=MODELS, **options) -> DataFrame:
-    """Scores of the models under each preparation protocol."""
+def compared(prepared, specs=MODELS, **options) -> Runs:
+    """Runs of the models under each preparation protocol."""
     runs = Runs.start(prepared[0].frame.sparkSession)
     for one in prepared:
         fit_split(runs, one, specs, **options)
-    return runs.scores()
+    return runs
+
+
+def compare_protocols(prepared, specs=MODELS, **options) -> DataFrame:
+    """Scores of the models under each preparation protocol."""
+    return compared(prepared, specs, **options).scores()
 
 
 def fold_scores(scores: DataFrame) -> DataFrame:
@@ -184,12 +222,19 @@ def fold_scores(scores: DataFrame) -> DataFrame:
 def repeated_kfold(
     prepared, specs=MODELS, *, n_splits: int = 5, n_repeats: int = 3, seed=RANDOM_SEED, settings=None
 ) -> DataFrame:
-    """Mean and interval of each metric over repeated stratified folds."""
+    """Mean and interval of each metric over repeated stratified folds.
+
+    Naive Bayes is not fitted fold by fold: its statistics of all folds come from one aggregate.
+    """
     key = prepared.frame.columns[0]
     folded = kfold_assign(prepared.frame, key, BINARY_LABEL, n_splits=n_splits, n_repeats=n_repeats, seed=seed)
     folds = [f"fold_{repeat}" for repeat in range(n_repeats)]
-    rows = materialise(assemble(folded, prepared.features, keep=folds), "folds")
+    rows = dealt(assemble(folded, prepared.features, keep=folds, key=key), "folds")
     runs = Runs.start(rows.sparkSession)
+    additive = [spec for spec in specs if spec.estimator is GaussianBayesEstimator]
+    specs = [spec for spec in specs if spec not in additive]
+    for spec in additive:
+        runs.fit_folds(spec, rows, folds, n_splits, prepared.protocol)
     runs.fit_all(
         (
             spec,
@@ -206,17 +251,20 @@ def repeated_kfold(
     return fold_aggregate(fold_scores(runs.scores(auc=False)))
 
 
-def lodo_sweep(
+def lodo_sweep(matrix: DataFrame, key: str, devices, specs=MODELS, **options) -> DataFrame:
+    """Scores of every model with every device held out in turn."""
+    return swept(matrix, key, devices, specs, **options).scores()
+
+
+def swept(
     matrix: DataFrame, key: str, devices, specs=MODELS, *, attack_fraction=TEST_SIZE, seed=RANDOM_SEED, settings=None
-) -> DataFrame:
-    """Scores of every model with every device held out in turn.
+) -> Runs:
+    """Runs of every model with every device held out in turn.
 
     A device that cannot be held out is skipped.
     """
     features = [c for c in matrix.columns if c not in (key, *LABEL_COLUMNS, DEVICE_COLUMN)]
-    rows = materialise(
-        assemble(matrix, features, keep=(key, DEVICE_COLUMN)), "sweep"
-    )
+    rows = dealt(assemble(matrix, features, keep=(key, DEVICE_COLUMN), key=key), "sweep")
     runs, jobs = Runs.start(rows.sparkSession), []
     for device in devices:
         try:
@@ -224,13 +272,13 @@ def lodo_sweep(
         except ValueError as problem:
             runs.skipped.extend((spec.name, "benchmark", f"lodo_{device}", str(problem)) for spec in specs)
             continue
-        train = split.where(F.col("split") == TRAIN).select(LABEL, FEATURES)
+        train = split.where(F.col("split") == TRAIN).select(LABEL, ROW, FEATURES)
         test = split.where(F.col("split") == TEST).select(LABEL, FEATURES)
         jobs += [
             (spec, train, test, "benchmark", f"lodo_{device}", (settings or {}).get(spec.name, {})) for spec in specs
         ]
     runs.fit_all(jobs)
-    return runs.scores()
+    return runs
 
 
 IN_DOMAIN, CROSS_DOMAIN = "in_domain", "cross_domain"
@@ -268,12 +316,15 @@ def cross_domain(
     source: DataFrame, features, key: str, target: DataFrame, specs=MODELS, *,
     label: str = BINARY_LABEL, target_label: str = "label", test_size=TEST_SIZE, seed=RANDOM_SEED, settings=None,
 ) -> DataFrame:
-    """Train on the source's shared features, score on it and on the target."""
+    """Train on the source's shared features, score on it and on the target.
+
+    A model that could not be fitted has a row too: ``problem`` says why, the rest is null.
+    """
     pairs = shared_features(features, [c for c in target.columns if c != target_label])
     names = [pair[0] for pair in pairs]
     split = stratified_split(source, key, label, test_size=test_size, seed=seed)
-    aligned = align(split, pairs, side=0, keep=(label, "split"))
-    rows = materialise(assemble(aligned, names, label, keep=("split",)), "source")
+    aligned = align(split.withColumn("key_", col(key)), pairs, side=0, keep=(label, "split", "key_"))
+    rows = dealt(assemble(aligned, names, label, keep=("split",), key="key_"), "source")
     foreign = target.withColumnRenamed(target_label, "target_label_")
     other = materialise(assemble(align(foreign, pairs, side=1, keep=("target_label_",)), names, "target_label_"), "target")
     train = rows.where(F.col("split") == TRAIN).drop("split")
@@ -281,7 +332,9 @@ def cross_domain(
     runs = Runs.start(rows.sparkSession)
     both = [(IN_DOMAIN, test), (CROSS_DOMAIN, other)]
     runs.fit_all((spec, train, both, "cross_domain", "source", (settings or {}).get(spec.name, {})) for spec in specs)
-    return cross_domain_metrics(runs.predictions()).withColumn("shared_features", F.lit(len(pairs)))
+    table = cross_domain_metrics(runs.predictions()).withColumn("shared_features", F.lit(len(pairs)))
+    failed = runs.skipped_frame().select("model", "problem")
+    return table.withColumn("problem", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
 
 
 def gaussian_parameters(df: DataFrame, columns, label: str) -> DataFrame:

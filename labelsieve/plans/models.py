@@ -1,20 +1,20 @@
-"""The model suite: Spark ML estimators and the settings they train with."""
+"""The model suite: estimators and the settings they train with.
+
+Logistic regression and the perceptron's rounds are Spark ML's; trees, boosting and naive Bayes are this
+library's own.
+"""
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 
 from labelsieve.constants import RANDOM_SEED
+from labelsieve.plans.bayes import GaussianBayesEstimator
+from labelsieve.plans.boosting import Booster
+from labelsieve.plans.perceptron import WatchedPerceptron
+from labelsieve.plans.trees import Forest
 
 FEATURES, LABEL, SCALED = "features", "label", "scaled"
 #: Rows that a leaf of a tree or forest keeps at least.
@@ -36,30 +36,39 @@ class Model:
     scaled: bool = False
     edge: bool = True
 
-    def build(self, n_features: int, n_rows: int, **overrides) -> Pipeline:
-        """A fresh, unfitted pipeline."""
+    def build(self, n_features: int, n_rows: int, **overrides):
+        """A fresh, unfitted estimator: fit() gives a model, whose transform() adds predictions."""
         column = SCALED if self.scaled else FEATURES
         parameters = {**self.settings(n_features, n_rows), **overrides}
-        stages = [self.estimator(featuresCol=column, labelCol=LABEL, **parameters)]
-        if self.scaled:
-            stages.insert(0, StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True))
-        return Pipeline(stages=stages)
+        estimator = self.estimator(featuresCol=column, labelCol=LABEL, **parameters)
+        return Scaled(estimator) if self.scaled else estimator
+
+
+@dataclass
+class Scaled:
+    """Standardises features before an estimator, and before its model."""
+
+    estimator: object
+    scaler: object = None
+
+    def fit(self, df):
+        scaler = StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True).fit(df)
+        return Scaled(self.estimator.fit(scaler.transform(df)), scaler)
+
+    def transform(self, df):
+        return self.estimator.transform(self.scaler.transform(df))
+
+    def getStages(self):
+        return [self.estimator]
 
 
 def full_depth(n_features: int, n_rows: int) -> dict:
-    """A tree that grows until leaves are pure, or 30 levels deep, as far as Spark goes.
+    """A tree that grows until its leaves are pure or their rows alike, however deep.
 
     A grown tree lives on the driver. Where that is too much, pass a larger
-    ``minInstancesPerNode``; none is derived from the data. Node ids are
-    cached, so a deep tree is not walked from its root at every level.
+    ``minInstancesPerNode``; none is derived from the data.
     """
-    return {
-        "maxDepth": 30,
-        "minInstancesPerNode": LEAF_ROWS,
-        "maxMemoryInMB": 1024,
-        "cacheNodeIds": True,
-        "seed": RANDOM_SEED,
-    }
+    return {"minInstancesPerNode": LEAF_ROWS, "seed": RANDOM_SEED}
 
 
 def hidden_layers(*widths: int):
@@ -70,21 +79,21 @@ def hidden_layers(*widths: int):
 
 
 MODELS = (
-    Model("DecisionTree", DecisionTreeClassifier, full_depth),
-    Model("RandomForest", RandomForestClassifier, lambda p, n: {"numTrees": 100, **full_depth(p, n)}),
+    Model("DecisionTree", Forest, full_depth),
     Model(
-        "HistGradientBoosting", GBTClassifier,
-        lambda p, n: {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "seed": RANDOM_SEED},
+        "RandomForest", Forest,
+        lambda p, n: {"numTrees": 100, "bootstrap": True, "sqrtFeatures": True, **full_depth(p, n)},
     ),
+    Model("HistGradientBoosting", Booster, lambda p, n: {"maxIter": 100, "stepSize": 0.1, "seed": RANDOM_SEED}),
     # A penalty of C = 1 on the summed loss is 1/n on the mean loss.
     Model(
         "LogisticRegression", LogisticRegression,
         lambda p, n: {"maxIter": 1000, "regParam": 1.0 / max(n, 1), "standardization": False}, scaled=True,
     ),
-    Model("GaussianNB", NaiveBayes, lambda p, n: {"modelType": "gaussian"}, scaled=True),
-    Model("MLP", MultilayerPerceptronClassifier, hidden_layers(64, 32), scaled=True, edge=False),
+    Model("GaussianNB", GaussianBayesEstimator, lambda p, n: {}),
+    Model("MLP", WatchedPerceptron, hidden_layers(64, 32), scaled=True, edge=False),
 )
-DEEP_MLP = Model("DeepMLP", MultilayerPerceptronClassifier, hidden_layers(256, 128, 64), scaled=True, edge=False)
+DEEP_MLP = Model("DeepMLP", WatchedPerceptron, hidden_layers(256, 128, 64), scaled=True, edge=False)
 
 
 def get_model(name: str) -> Model:
