@@ -112,7 +112,7 @@ QUERIES = {
     ),
     "onehot": onehot,
     "encoding_agnostic": lambda spark, folder: rounded(
-        encoders.encoding_agnostic(_traffic(spark, folder), CATEGORICAL, LABEL, KEY)
+        encoders.encoding_agnostic(_traffic(spark, folder), CODED, LABEL, KEY)
     ),
 }
 
@@ -144,8 +144,25 @@ sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n) > 0.999 AS fully_separates
 FROM (SELECT "column", token, count(*) AS n, count(DISTINCT label) AS k FROM long GROUP BY ALL) GROUP BY "column\""""
 
 
-def _single(expression, null):
-    return f"""WITH {s.split_counts(CATEGORICAL, _TRAFFIC, LABEL, KEY, null)}, {s.ACCURACY},
+#: Beside the audited columns one of many tokens and one that no two rows share.
+CODED = (*CATEGORICAL, "tcp.srcport", "frame.time")
+
+
+def _codes(name, order):
+    """Accuracy under codes in an order: unseen codes go to the nearer trained one."""
+    window = f'OVER (PARTITION BY "column" ORDER BY {order}'
+    return f"""{name}_ordered AS (SELECT *, n0 - test0 + n1 - test1 > 0 AS seen, n1 - test1 > n0 - test0 AS vote,
+    row_number() {window}) AS code FROM counts JOIN (SELECT "column", token, min({KEY}) AS first_ FROM
+      ({s.long_form(CODED, '(SELECT * FROM base)', KEY, 'nan')}) GROUP BY "column", token) USING ("column", token)),
+{name}_placed AS (SELECT *, max(CASE WHEN seen THEN code END) {window} ROWS UNBOUNDED PRECEDING) AS low,
+    min(CASE WHEN seen THEN code END) {window} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high FROM {name}_ordered),
+{name} AS (SELECT "column", round(sum(CASE WHEN o.vote THEN p.test1 ELSE p.test0 END) / sum(p.test0 + p.test1), 6) AS {name}
+  FROM {name}_placed p JOIN {name}_ordered o USING ("column")
+  WHERE o.code = CASE WHEN p.low IS NULL OR p.high - p.code < p.code - p.low THEN p.high ELSE p.low END GROUP BY "column")"""
+
+
+def _single(expression, null, columns=CATEGORICAL):
+    return f"""WITH {s.split_counts(columns, _TRAFFIC, LABEL, KEY, null)}, {s.ACCURACY},
 merged AS (SELECT "column", n0 + n1 AS token, sum(n0) AS n0, sum(n1) AS n1, sum(test0) AS test0, sum(test1) AS test1
   FROM counts GROUP BY "column", n0 + n1),
 frequency AS (SELECT "column", round(sum(CASE
@@ -210,8 +227,9 @@ count(DISTINCT {n}) + max(CASE WHEN {n} IS NULL THEN 1 ELSE 0 END) AS n_distinct
         for n, values in _ONEHOT.items() for v in values
     ) + f" FROM ({_LINES})) GROUP BY ALL",
     "encoding_agnostic": _single(
-        """SELECT "column", single_column_accuracy AS onehot, single_column_accuracy AS label,
-single_column_accuracy AS ordinal, frequency, least(single_column_accuracy, frequency) AS minimum
-FROM accuracy JOIN frequency USING ("column")""", "nan",
+        f""", {_codes("label", "first_")}, {_codes("ordinal", "token")}
+SELECT "column", single_column_accuracy AS onehot, label, ordinal, frequency,
+  least(single_column_accuracy, label, ordinal, frequency) AS minimum
+FROM accuracy JOIN frequency USING ("column") JOIN label USING ("column") JOIN ordinal USING ("column")""", "nan", CODED,
     ),
 }

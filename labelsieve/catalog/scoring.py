@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 
 from labelsieve.catalog import protocols, sqltext as s
 from labelsieve.catalog.fixtures import (
-    CATEGORICAL, DEVICES, NUMBER_FEATURES, NUMBERS, PREDICTIONS, PROVENANCE, TRAFFIC, read, rounded, sql, view,
+    ATTACKS, CAPTURE, CATEGORICAL, DEVICES, NUMBER_FEATURES, NUMBERS, PREDICTIONS, PROVENANCE, TRAFFIC, read, rounded, sql, view,
 )
 from labelsieve.constants import (
-    ATTACK_PREFIX, BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, FOLD_METRICS, RANDOM_SEED, Z_95,
+    ATTACK_PREFIX, BACKHAUL_KBPS, BINARY_LABEL, DEVICE_COLUMN, FOLD_METRICS, MAX_ONEHOT_CARDINALITY,
+    NUMERIC_PARSE_RATE, RANDOM_SEED, Z_95,
 )
 from labelsieve.operators import metrics, summaries
 from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, stratified_split
-from labelsieve.plans import bayes, evaluate, models, recipes
+from labelsieve.plans import bayes, benchmark, evaluate, models, recipes
+from labelsieve.sources import captures
 from labelsieve.storage import materialise
 
 KEY = "event_id"
@@ -182,6 +184,18 @@ def lodo_sweep(spark, folder):
     return _facts(evaluate.swept(matrix, KEY, DEVICES)).drop("above_chance")
 
 
+def benchmark_sweep(spark, folder):
+    """Captures, build, matrix and sweep: the facts of every run, and whether both pivots agree with the scores."""
+    df = view(read(spark, folder, "events"), TRAFFIC, CAPTURE)
+    dimension = captures.catalogue(spark, captures.device_rows(DEVICES) + captures.attack_rows(ATTACKS))
+    runs = benchmark.benchmark_sweep(df, dimension, DEVICES, protocols.CONFIG, key=KEY)
+    facts = materialise(_facts(runs).drop("above_chance"), "facts")
+    balanced, f1 = benchmark.sweep_pivots(runs.scores(auc=False), DEVICES)
+    worst = balanced.select("model", (F.col("worst") <= F.col("mean")).alias("worst_below_mean"))
+    pivoted = worst.join(f1.select("model", F.col("mean").isNotNull().alias("f1_known")), "model")
+    return facts.join(F.broadcast(pivoted), "model")
+
+
 def cross_domain(spark, folder):
     """Train all models on events, test on the same columns under foreign names."""
     source = view(read(spark, folder, "events"), NUMBERS)
@@ -227,6 +241,10 @@ QUERIES = {
     "leaky_vs_clean": leaky_vs_clean,
     "repeated_kfold": repeated_kfold,
     "lodo_sweep": lodo_sweep,
+    "benchmark_sweep": benchmark_sweep,
+    "lodo_f1_pivot": lambda spark, folder: rounded(
+        metrics.lodo_pivot(_scores(spark, folder), SPLITS, "f1_macro", worst=False)
+    ),
     "cross_domain": cross_domain,
 }
 
@@ -281,6 +299,10 @@ round(avg({m}) FILTER (WHERE protocol = 'readme') - avg({m}) FILTER (WHERE proto
         f"avg(balanced_accuracy) FILTER (WHERE split = '{p}') AS {p}" for p in SPLITS
     ) + " FROM metrics GROUP BY model) SELECT model, " + ", ".join(f"round({p}, 6) AS {p}" for p in SPLITS)
     + f""", round(({' + '.join(SPLITS)}) / {len(SPLITS)}, 6) AS mean, round(least({', '.join(SPLITS)}), 6) AS worst FROM cells""",
+    "lodo_f1_pivot": _METRICS + ", cells AS (SELECT model, " + ", ".join(
+        f"avg(f1_macro) FILTER (WHERE split = '{p}') AS {p}" for p in SPLITS
+    ) + " FROM metrics GROUP BY model) SELECT model, " + ", ".join(f"round({p}, 6) AS {p}" for p in SPLITS)
+    + f", round(({' + '.join(SPLITS)}) / {len(SPLITS)}, 6) AS mean FROM cells",
     "score_table": f"{_METRICS} SELECT {_ROUNDED} FROM metrics",
     "last_per_group": "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1",
     "latency_summary": """SELECT event_type AS model, 1 AS batch_size, count(*) AS n,
@@ -430,6 +452,19 @@ SELECT model, 'numbers' AS protocol, metric, n AS n_folds, CASE WHEN model = 'Ga
 NULL::VARCHAR AS problem FROM {_SUITE}, (SELECT device, count(*) FILTER (WHERE NOT tested) AS n_train,
   count(*) FILTER (WHERE tested AND y = 0) AS tested_0, count(*) FILTER (WHERE tested AND y = 1) AS tested_1
   FROM ({_SWEEP_BASE}) GROUP BY device)""",
+    "benchmark_sweep": f"""WITH built AS ({protocols._BUILD}),
+widths AS ({' UNION ALL '.join(
+    f"""SELECT CASE WHEN count({s.number(s.name(c))}) >= {NUMERIC_PARSE_RATE} * count(*) THEN 1
+  WHEN count(DISTINCT {s.name(c)}) + max(({s.name(c)} IS NULL)::INTEGER) <= {MAX_ONEHOT_CARDINALITY} THEN count(DISTINCT {s.name(c)})
+  ELSE 13 END AS w FROM built""" for c in protocols._BUILD_COLUMNS)}),
+sides AS (SELECT device, "Attack_label" AS y, source_device = device OR ({_ATTACK} AND {s.unit(KEY)} < 0.2) AS tested
+  FROM built, (SELECT unnest({list(DEVICES)!r}) AS device))
+SELECT model, 'benchmark' AS protocol, 'lodo_' || device AS split, n_train, (SELECT sum(w) FROM widths)::INTEGER AS n_features,
+  tested_0, tested_1, greatest(tested_0, tested_1) AS majority, NULL::VARCHAR AS problem,
+  n_train > 0 AS worst_below_mean, tested_1 > 0 AS f1_known
+FROM {_SUITE}, (SELECT device, count(*) FILTER (WHERE NOT tested) AS n_train,
+  count(*) FILTER (WHERE tested AND y = 0) AS tested_0, count(*) FILTER (WHERE tested AND y = 1) AS tested_1
+  FROM sides GROUP BY device)""",
     "cross_domain": f"""WITH rows AS ({_SPLIT}), params AS ({_bayes(['"user"', '"shifted"'], 'NOT tested')}),
 source AS (SELECT avg((({_odds(['"user"', '"shifted"'])} > 0)::INTEGER = y)::INTEGER) AS accuracy, count(*) AS n FROM rows x, params WHERE tested),
 foreign_rows AS (SELECT o_totalprice / 1000 AS shifted, o_custkey::DOUBLE AS "user", (o_orderstatus = 'F')::INTEGER AS y FROM orders),

@@ -93,10 +93,12 @@ ENCODERS = ("onehot", "label", "ordinal", "frequency")
 
 
 def encoding_agnostic(df: DataFrame, columns, label: str, key, *, test_size=TEST_SIZE, seed=RANDOM_SEED) -> DataFrame:
-    """Held-out single-column accuracy under each of four encodings.
+    """Held-out single-column accuracy of a full-depth tree under each of four encodings.
 
-    One-hot, label and ordinal codes keep tokens apart, so a full-depth tree
-    answers a code as it would the token. Frequency codes merge tokens of
+    A token of the training part is answered alike under one-hot, label and ordinal codes. A token
+    first seen in the held-out part has no one-hot column, so the whole training part answers;
+    under a code it falls between the trained codes around it. Label codes number tokens by their
+    smallest key, ordinal codes by code-point order. Frequency codes merge tokens of
     equal count: their counts are added before the majority is taken.
     """
     columns = present(df, columns)
@@ -106,18 +108,56 @@ def encoding_agnostic(df: DataFrame, columns, label: str, key, *, test_size=TEST
     merged = counts.groupBy("column", (F.col("n0") + F.col("n1")).alias("count_")).agg(
         *[F.sum(c).alias(c) for c in ("n0", "n1", "test0", "test1")]
     )
+    keys = [key] if isinstance(key, str) else list(key)
+    long = df.select(
+        F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key_"),
+        F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), token(col(c), NULL_TEXT).alias("token")) for c in columns
+        ])),
+    )
+    firsts = long.groupBy("column", "token").agg(F.min("key_").alias("first_"))
 
     def accuracy(table, name):
         sums = table.groupBy("column").agg(*accuracy_aggregates())
         return sums.select("column", held_out_accuracy().alias(name))
 
-    identity = accuracy(counts, "onehot").withColumns(
-        {"label": F.col("onehot"), "ordinal": F.col("onehot")}
-    )
-    scores = identity.join(accuracy(merged, "frequency"), "column")
+    scores = accuracy(counts, "onehot").join(accuracy(merged, "frequency"), "column")
+    scores = scores.join(neighbour_accuracy(counts.join(firsts, ["column", "token"]), "first_", "label"), "column")
+    scores = scores.join(neighbour_accuracy(counts, "token", "ordinal"), "column")
     return scores.select("column", *ENCODERS, F.least(*ENCODERS).alias("minimum"))
 
 
+def neighbour_accuracy(counts: DataFrame, order: str, name: str) -> DataFrame:
+    """Held-out accuracy per column of a full-depth tree on the codes of tokens in an order.
+
+    The tree parts two trained codes halfway. A code that was not trained on is answered as the
+    nearer trained one is, the lower on a tie; beyond the last as the last. The trained codes
+    around it are looked up by how many trained tokens come before it.
+    """
+    train0, train1 = F.col("n0") - F.col("test0"), F.col("n1") - F.col("test1")
+    marked = counts.withColumns(
+        {"one": F.lit(1), "known": (train0 + train1 > 0).cast("int"), "attack": train1 > train0}
+    )
+    ranked = materialise(running_totals(marked, order, ["one", "known"], groups=["column"]), "codes")
+    trained = ranked.where("known = 1").select(
+        "column", F.col("known_upto").alias("place"), F.col("one_upto").alias("code"), "attack"
+    )
+    unseen = ranked.where("known = 0 AND test0 + test1 > 0").select(
+        "column", "one_upto", "known_upto", (F.col("known_upto") + 1).alias("next"), "test0", "test1"
+    )
+    below = trained.selectExpr("column", "place AS known_upto", "code AS low", "attack AS low_attack")
+    above = trained.selectExpr("column", "place AS next", "code AS high", "attack AS high_attack")
+    nearer = F.col("high").isNull() | (F.col("one_upto") - F.col("low") <= F.col("high") - F.col("one_upto"))
+    answer = F.when(F.col("low").isNotNull() & nearer, F.col("low_attack")).otherwise(F.col("high_attack"))
+    new = unseen.join(below, ["column", "known_upto"], "left").join(above, ["column", "next"], "left")
+    new_hits = new.groupBy("column").agg(F.sum(F.when(answer, F.col("test1")).otherwise(F.col("test0"))).alias("more_"))
+    sums = counts.groupBy("column").agg(*accuracy_aggregates()).join(new_hits, "column", "left")
+    hits = F.col("hits_") + F.coalesce("more_", F.lit(0))
+    return sums.select(
+        "column", F.when(F.col("two_classes_") & (F.col("tested_") > 0), hits / F.col("tested_")).alias(name)
+    )
+
+
 @dataclass(frozen=True)
 class Encoding:
     """How each column of a table becomes features, in output order."""

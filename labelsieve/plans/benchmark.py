@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelsieve.constants import (
     BINARY_LABEL,
+    DEVICE_COLUMN,
     LABEL_COLUMNS,
     MAX_ROWS_PER_ATTACK,
     MAX_ROWS_PER_DEVICE,
@@ -17,10 +18,14 @@ from labelsieve.constants import (
 from labelsieve.functions.columns import col, present
 from labelsieve.operators.audit import audit_columns, audit_summary
 from labelsieve.operators.duplicates import duplicate_statistics
+from labelsieve.operators.encoders import model_matrix
+from labelsieve.operators.metrics import lodo_pivot
 from labelsieve.operators.placeholders import standardise_capture
 from labelsieve.operators.splits import capped_sample, source_counts
+from labelsieve.plans.evaluate import Runs, swept
+from labelsieve.plans.models import MODELS
 from labelsieve.sources.captures import STEM, attribute
-from labelsieve.storage import materialise
+from labelsieve.storage import materialise, scratch_path
 
 
 @dataclass(frozen=True)
@@ -72,6 +77,31 @@ def _check_filled(counts: DataFrame, stems, problem: str) -> None:
         raise ValueError(f"{problem}: {empty}")
 
 
+def write_benchmark(df: DataFrame, path: str) -> DataFrame:
+    """Write a built benchmark in folders by device, and read it with the schema it had."""
+    df.write.partitionBy(DEVICE_COLUMN).parquet(path)
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(path).select(*[col(c) for c in df.columns])
+
+
+def benchmark_sweep(
+    captures: DataFrame, dimension: DataFrame, devices, config: BenchmarkConfig = None, *, key: str, specs=MODELS, **options
+) -> Runs:
+    """From captures to scores: build, write, encode, and hold out every device in turn.
+
+    The build is written once; the matrix of its features once more, in the layout of the sweep.
+    """
+    spark = captures.sparkSession
+    built = write_benchmark(build_benchmark(captures, dimension, config, key=key), scratch_path(spark, "benchmark"))
+    return swept(model_matrix(built, key=key), key, devices, specs, **options)
+
+
+def sweep_pivots(scores: DataFrame, devices) -> tuple[DataFrame, DataFrame]:
+    """Balanced accuracy by held-out device with mean and worst, and macro-F1 with the mean."""
+    splits = [f"lodo_{device}" for device in devices]
+    return lodo_pivot(scores, splits), lodo_pivot(scores, splits, "f1_macro", worst=False)
+
+
 def recheck_benchmark(df: DataFrame, key=None, columns=RECIPE_DUMMY_COLUMNS) -> DataFrame:
     """Audit of the built table with the verdict and its duplicate rate per row."""
     audited = audit_summary(audit_columns(df, present(df, columns), BINARY_LABEL, key))

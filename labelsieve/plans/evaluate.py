@@ -36,16 +36,16 @@ from labelsieve.operators.metrics import (
     recall_map,
     roc_auc,
 )
-from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, lodo_split, stratified_split
+from labelsieve.operators.splits import TEST, TRAIN, kfold_assign, lodo_draw, stratified_split
 from labelsieve.plans.bayes import GaussianBayesEstimator, fold_models, fold_predictions
 from labelsieve.plans.models import FEATURES, LABEL, MODELS
 from labelsieve.plans.trees import ROW
 from labelsieve.storage import materialise, scratch_path
 
 #: Rows in a partition of a matrix, about, and the fewest partitions.
-PARTITION_ROWS, FEWEST_PARTITIONS = 50_000, 8
+PARTITION_ROWS, FEWEST_PARTITIONS = 50_000, 2
 #: Fits of a suite that run at the same time.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def assemble(df: DataFrame, features, label: str = BINARY_LABEL, keep=(), key=None) -> DataFrame:
@@ -261,19 +261,28 @@ def swept(
 ) -> Runs:
     """Runs of every model with every device held out in turn.
 
-    A device that cannot be held out is skipped.
+    The matrix is written once, in folders by device and by whether an attack row is drawn for testing. Which
+    folders a held-out device trains and tests on is a filter on the folders' names, so a run reads no
+    others. Class counts of all sides come from one aggregate. A device that cannot be held out is skipped.
     """
     features = [c for c in matrix.columns if c not in (key, *LABEL_COLUMNS, DEVICE_COLUMN)]
-    rows = dealt(assemble(matrix, features, keep=(key, DEVICE_COLUMN), key=key), "sweep")
-    runs, jobs = Runs.start(rows.sparkSession), []
+    drawn = lodo_draw(matrix, key, attack_fraction=attack_fraction, seed=seed)
+    rows = assemble(drawn, features, keep=(DEVICE_COLUMN, "attack_drawn"), key=key)
+    spark = rows.sparkSession
+    path = scratch_path(spark, "sweep")
+    partitions = max(FEWEST_PARTITIONS, matrix.count() // PARTITION_ROWS)
+    rows.repartition(partitions, ROW).sortWithinPartitions(DEVICE_COLUMN, "attack_drawn", ROW).write.partitionBy(
+        DEVICE_COLUMN, "attack_drawn"
+    ).parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    sizes = rows.groupBy(DEVICE_COLUMN, "attack_drawn", LABEL).count().collect()
+    runs, jobs = Runs.start(spark), []
     for device in devices:
-        try:
-            split = lodo_split(rows, device, key, LABEL, attack_fraction=attack_fraction, seed=seed)
-        except ValueError as problem:
-            runs.skipped.extend((spec.name, "benchmark", f"lodo_{device}", str(problem)) for spec in specs)
+        problem = sweep_problem(sizes, device)
+        if problem:
+            runs.skipped.extend((spec.name, "benchmark", f"lodo_{device}", problem) for spec in specs)
             continue
-        train = split.where(F.col("split") == TRAIN).select(LABEL, ROW, FEATURES)
-        test = split.where(F.col("split") == TEST).select(LABEL, FEATURES)
+        train, test = sweep_sides(rows, device)
         jobs += [
             (spec, train, test, "benchmark", f"lodo_{device}", (settings or {}).get(spec.name, {})) for spec in specs
         ]
@@ -281,6 +290,25 @@ def swept(
     return runs
 
 
+def sweep_sides(rows: DataFrame, device: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows with a device held out, by the folders they are in."""
+    tested = F.coalesce(F.col(DEVICE_COLUMN) == device, F.lit(False)) | F.col("attack_drawn")
+    train, test = (rows.where(side).drop(DEVICE_COLUMN, "attack_drawn") for side in (~tested, tested))
+    return train, test
+
+
+def sweep_problem(sizes, device: str) -> str | None:
+    """Why a device can't be held out, from counts by device, draw and label; None if it can."""
+    sides = {True: set(), False: set()}
+    for row in sizes:
+        sides[row[DEVICE_COLUMN] == device or row.attack_drawn].add(row[LABEL])
+    if not any(row[DEVICE_COLUMN] == device for row in sizes):
+        return f"device {device!r} is absent"
+    if min(map(len, sides.values())) < 2:
+        return f"holding out {device!r} leaves a single-class side"
+    return None
+
+
 IN_DOMAIN, CROSS_DOMAIN = "in_domain", "cross_domain"
 
 
