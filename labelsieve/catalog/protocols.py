@@ -9,7 +9,7 @@ from labelsieve.constants import ABSENT, IDENTIFIER_COLUMNS, RECIPE_DROP_COLUMNS
 from labelsieve.plans import benchmark, recipes
 from labelsieve.sources import captures
 from labelsieve.storage import materialise, scratch_path
-from labelsieve.streaming import incremental
+from labelsieve.streaming import incremental, tiers
 
 KEY = "event_id"
 CONFIG = benchmark.BenchmarkConfig(max_rows_per_device=1500, max_rows_per_attack=600)
@@ -59,6 +59,29 @@ def streaming_audit(spark, folder):
     return rounded(incremental.audit_so_far(spark, counts))
 
 
+def _streamed(spark, folder):
+    """Order lines as a stream of files."""
+    pieces = scratch_path(spark, "pieces")
+    view(read(spark, folder, "lineitem"), LINES).repartition(4).write.parquet(pieces)
+    return incremental.read_pieces(spark, pieces, spark.read.parquet(pieces).schema, files_per_batch=1)
+
+
+def streaming_audit_folded(spark, folder):
+    """The same audit from counts that are folded by level."""
+    path = scratch_path(spark, "tiers")
+    stream = _streamed(spark, folder)
+    tiers.start_folded_audit(stream, LINE_COLUMNS, "y", path, scratch_path(spark, "offsets"), fanout=2).awaitTermination()
+    return rounded(tiers.folded_audit(spark, path))
+
+
+def streaming_audit_stateful(spark, folder):
+    """The same audit from totals in the state store."""
+    path = scratch_path(spark, "totals")
+    stream = _streamed(spark, folder)
+    tiers.start_stateful_audit(stream, LINE_COLUMNS, "y", path, scratch_path(spark, "offsets")).awaitTermination()
+    return rounded(tiers.stateful_audit(spark, path))
+
+
 QUERIES = {
     "prepare_readme": _features(recipes.prepare_readme),
     "prepare_readme_notes": _notes(recipes.prepare_readme),
@@ -67,6 +90,8 @@ QUERIES = {
     "build_benchmark": build_benchmark,
     "benchmark_recheck": benchmark_recheck,
     "streaming_audit": streaming_audit,
+    "streaming_audit_folded": streaming_audit_folded,
+    "streaming_audit_stateful": streaming_audit_stateful,
 }
 
 _REFERERS = ("0", "0.0", *(f"() {{ {i}; }}" for i in range(10)))
@@ -157,5 +182,8 @@ SELECT "column", n_tokens AS tokens, pure_normal_tokens, pure_attack_tokens, row
 single_column_accuracy, nmi_with_label, coalesce(is_provenance_marker, false) AS provenance_marker,
 separation_rate >= 0.999 AS fully_separating, n - d AS exact_duplicate_rows, round((n - d) / n, 6) AS exact_duplicate_rate
 FROM purity JOIN nmi USING ("column") JOIN accuracy USING ("column") JOIN spelling USING ("column"), copies""",
-    "streaming_audit": f"WITH {s.counts(LINE_COLUMNS, sql('lineitem', LINES), 'y')} SELECT \"column\", {s.PURITY} FROM counts GROUP BY \"column\"",
+    **dict.fromkeys(
+        ("streaming_audit", "streaming_audit_folded", "streaming_audit_stateful"),
+        f"WITH {s.counts(LINE_COLUMNS, sql('lineitem', LINES), 'y')} SELECT \"column\", {s.PURITY} FROM counts GROUP BY \"column\"",
+    ),
 }
