@@ -113,3 +113,9 @@ BACKHAUL_KBPS = {
     "rural_4g": 5000.0,
 }
 BITS_PER_PARAMETER = 32
+
+# Names of the structural features of a text column, after its name and two underscores.
+STRUCTURAL_SUFFIXES = (
+    "length", "digit_ratio", "alpha_ratio", "punct_ratio", "entropy", "has_angle_bracket", "has_quote",
+    "has_path_separator", "has_parenthesis", "has_semicolon", "has_equals", "has_dollar", "has_whitespace",
+)

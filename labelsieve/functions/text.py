@@ -2,18 +2,13 @@
 
 from pyspark.sql import Column, functions as F
 
-from labelsieve.constants import INJECTION_MARKERS
+from labelsieve.constants import INJECTION_MARKERS, STRUCTURAL_SUFFIXES
 from labelsieve.functions.columns import col, present
 
 DIGIT = r"(?U)\d"
 LATIN_LETTER = "[A-Za-z]"
 PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
 
-SUFFIXES = (
-    "length", "digit_ratio", "alpha_ratio", "punct_ratio", "entropy",
-    *(name for name, _ in INJECTION_MARKERS),
-)
-
 
 def text_length(text: Column) -> Column:
     return F.length(text).cast("double")
@@ -75,7 +70,7 @@ def derive(column: Column, prefix: str) -> list[Column]:
         *(contains_any(text, characters) for _, characters in INJECTION_MARKERS),
     ]
     return [
-        value.alias(f"{prefix}__{suffix}") for suffix, value in zip(SUFFIXES, values)
+        value.alias(f"{prefix}__{suffix}") for suffix, value in zip(STRUCTURAL_SUFFIXES, values)
     ]
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelsieve.plans.trees import (
-    TREES, Tree, binned, counted, leaf_of, quantile_bounds, rows_of, scored, training_rows, uniform,
+    TREES, Tree, binned, counted, leaf_of, quantile_bounds, rows_of, scored, training_rows, tree_of, uniform,
 )
 from labelsieve.storage import materialise
 
@@ -321,7 +321,7 @@ class Booster:
             return rows_of([(i, 0, tree) for i, tree in enumerate(trees)]) if trees else rows_of([(0, 0, Tree())])
 
         found = table.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, TREES).collect()
-        return [Tree(r.feature, r.threshold, r["left"], r.value) for r in sorted(found, key=lambda r: r.tree)]
+        return [tree_of(r) for r in sorted(found, key=lambda r: r.tree)]
 
 
 def _watched(how: Boosting):

@@ -43,7 +43,7 @@ from labelsieve.plans.trees import ROW
 from labelsieve.storage import materialise, scratch_path
 
 #: Rows in a partition of a matrix, about, and the fewest partitions.
-PARTITION_ROWS, FEWEST_PARTITIONS = 50_000, 2
+PARTITION_ROWS, FEWEST_PARTITIONS = 10_000, 2
 #: Fits of a suite that run at the same time.
 PARALLEL_FITS = 8
 

@@ -247,14 +247,29 @@ def arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np
     return row[order], y[order], x[order]
 
 
-TREES = "tree int, node int, feature array<int>, threshold array<double>, `left` array<int>, value array<double>"
+TREES = "tree int, node int, feature binary, threshold binary, `left` binary, value binary"
+_KINDS = (np.int32, np.float64, np.int32, np.float64)
 
 
 def rows_of(trees: list[tuple[int, int, Tree]]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), *map(pa.list_, (pa.int32(), pa.float64(), pa.int32(), pa.float64())))
-    columns = zip(*[(t, n, tree.feature, tree.threshold, tree.left, tree.value) for t, n, tree in trees], strict=True)
-    names = ("tree", "node", "feature", "threshold", "left", "value")
-    return pa.table({name: pa.array(list(c), k) for name, c, k in zip(names, columns, kinds, strict=True)})
+    """(tree, node, Tree) as rows of TREES; a tree's lists as bytes, as there may be millions of nodes."""
+    names = ("feature", "threshold", "left", "value")
+    columns = zip(*[[part.tobytes() for part in tree.packed()] for _, _, tree in trees], strict=True)
+    return pa.table({
+        "tree": pa.array([t for t, _, _ in trees], pa.int32()),
+        "node": pa.array([n for _, n, _ in trees], pa.int32()),
+        **{name: pa.array(list(column), pa.binary()) for name, column in zip(names, columns, strict=True)},
+    })
+
+
+def packed_of(row) -> tuple[np.ndarray, ...]:
+    """The arrays of a row of TREES."""
+    parts = (row.feature, row.threshold, row["left"], row.value)
+    return tuple(np.frombuffer(part, kind) for part, kind in zip(parts, _KINDS, strict=True))
+
+
+def tree_of(row) -> Tree:
+    return Tree(*[part.tolist() for part in packed_of(row)])
 
 
 class Forest:
@@ -294,7 +309,7 @@ class Forest:
 
         dealt = rows.withColumn("cohort", F.explode(F.array(*map(F.lit, range(cohorts)))))
         found = dealt.repartition(cohorts, "cohort").groupBy("cohort").applyInArrow(run, TREES).collect()
-        return [Tree(r.feature, r.threshold, r["left"], r.value).packed() for r in sorted(found, key=lambda r: r.tree)]
+        return [packed_of(r) for r in sorted(found, key=lambda r: r.tree)]
 
     def _in_phases(self, rows: DataFrame, size, how: Growth) -> list[tuple]:
         bounds = quantile_bounds(rows, BINS)
@@ -336,7 +351,7 @@ class Forest:
 
         parted = rows.mapInArrow(part, "tree int, node int, row bigint, y double, x array<double>")
         for found in parted.groupBy("tree", "node").applyInArrow(finish, TREES).toLocalIterator():
-            trees[found.tree].graft(found.node, Tree(found.feature, found.threshold, found["left"], found.value))
+            trees[found.tree].graft(found.node, tree_of(found))
         return [t.packed() for t in trees]
 
     def _level(self, rows: DataFrame, trees, large, bounds, how: Growth, depth: int) -> list[tuple]:
