@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows that are turned into Python values together.
+PART_ROWS = 1024
 #: Label rows whose crc32 of the id's text leaves 0 here are never learnt from.
 FOLDS = 5
 
@@ -40,6 +42,13 @@ def computed(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(packed)))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows: Python values of whole batches would take much memory."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
+
+
 def per_document(
     docs: DataFrame,
     work: Callable[[list], list[tuple]],
@@ -66,7 +75,7 @@ def per_document(
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             at = batch.schema.get_field_index("__text")
             columns = work(batch.column(at).to_pylist())
             kept = [i for i in range(batch.num_columns) if i != at]

@@ -36,12 +36,12 @@ from labelsieve.llm.common import per_document
 
 SPACE = "▁"
 _ID = np.dtype("<i4")
-#: Encoded words, and as many stretches, that a worker remembers; then it starts anew.
+#: Encoded stretches that a worker remembers; then it starts anew.
 REMEMBERED = 400_000
 #: Characters indexed by one suffix array.
-INDEXED = 1 << 20
+INDEXED = 1 << 18
 #: Characters of the texts encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Longer stretches are relaxed one at a time.
 LONG = 64
 #: Slots of the memory of pairs, a power of two.
@@ -68,7 +68,6 @@ class PieceModel:
     bpe: bool = True
     normalise: Callable[[str], str] | None = None  # gives escaped text; None: as it is
     known: dict[str, bytes] = field(default_factory=dict)  # ids of stretches, packed
-    words: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         """For merging, characters found in pieces only take part as any other; they are no ids."""
@@ -232,30 +231,10 @@ class PieceModel:
         return [unpacked(ids).tolist() for ids in self.encode_packed(texts)]
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit numbers one after another.
-
-        Where single spaces part the words, and no piece has one inside, words are encoded
-        one by one and remembered; other texts are cut into stretches as a whole.
-        """
-        if self.normalise or not self.bpe:
-            escape = self.normalise or (lambda text: SPACE + text.replace(" ", SPACE) if text else "")
-            escaped = list(map(escape, texts))
-            return self._apart(self._encode_whole(escaped) if self.bpe else self._relaxed(escaped))
-        parted = [
-            text.split(" ")
-            if text and self.words_apart and "  " not in text and text[0] != " " != text[-1] and SPACE not in text
-            else [text]
-            for text in texts
-        ]
-        words, met = self.words, set().union(*parted)
-        fresh = met.difference(words)
-        if len(words) + len(fresh) > REMEMBERED and words:
-            words.clear()
-            fresh = met
-        fresh = sorted(fresh)
-        escaped = [SPACE + word.replace(" ", SPACE) if word else "" for word in fresh]
-        words.update(zip(fresh, self._encode_whole(escaped), strict=True))
-        return self._apart([b"".join(map(words.__getitem__, parts)) for parts in parted])
+        """Ids of each text as 32-bit numbers one after another."""
+        escape = self.normalise or (lambda text: SPACE + text.replace(" ", SPACE) if text else "")
+        escaped = list(map(escape, texts))
+        return self._apart(self._encode_whole(escaped) if self.bpe else self._relaxed(escaped))
 
     def _apart(self, found: list[bytes]) -> list[bytes]:
         """Runs of unknown characters as one unknown piece; not where they are spelled in bytes."""

@@ -173,10 +173,10 @@ def test_long_stretches_and_short_ones_agree(monkeypatch, documents):
     model = pieces.load(pieces.default_model())
     texts = ["".join(t.split())[:400] for _, t in documents[:40] if t]
     expected = model.encode(texts)
-    model.known.clear(), model.words.clear()
+    model.known.clear()
     monkeypatch.setattr(pieces, "LONG", 0)
     assert model.encode(texts) == expected
-    model.known.clear(), model.words.clear()
+    model.known.clear()
 
 
 def test_unigram_takes_the_best_path():
