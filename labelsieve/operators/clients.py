@@ -39,7 +39,9 @@ def partition_iid(df: DataFrame, n_clients: int, key, *, seed=RANDOM_SEED) -> Da
     if n_clients > rows:
         raise ValueError(f"{n_clients} clients for {rows} rows")
     cuts = hash_cuts(df, key, part_ends(n_clients), seed=seed)
-    return cuts.attach(df, "client").withColumn("client", _client_name("client", F.col("client")))
+    dealt = cuts.attach(df, "client").withColumn("client", _client_name("client", F.col("client")))
+    check_partition(dealt, [f"client_{i:02d}" for i in range(n_clients)])
+    return dealt
 
 
 def partition_by_device(df: DataFrame, key, *, seed=RANDOM_SEED) -> DataFrame:
@@ -53,7 +55,9 @@ def partition_by_device(df: DataFrame, key, *, seed=RANDOM_SEED) -> DataFrame:
         raise ValueError("the frame holds no normal device")
     dealt = _deal_attacks(df, key, len(names), seed)
     client = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("dealt_") + 1)
-    return dealt.withColumn("client", F.when(_is_attack(), client).otherwise(col(DEVICE_COLUMN))).drop("dealt_")
+    named = dealt.withColumn("client", F.when(_is_attack(), client).otherwise(col(DEVICE_COLUMN))).drop("dealt_")
+    check_partition(named, [name for name in names if name is not None])
+    return named
 
 
 def partition_by_farm(df: DataFrame, farms, key, *, seed=RANDOM_SEED) -> DataFrame:
@@ -81,7 +85,9 @@ def partition_by_farm(df: DataFrame, farms, key, *, seed=RANDOM_SEED) -> DataFra
     for device, farm in farm_of.items():
         number = number.when(col(DEVICE_COLUMN) == device, F.lit(farm))
     named = dealt.withColumn("client", _client_name("farm", number)).drop("dealt_")
-    return named.where(F.col("client").isNotNull())
+    kept = named.where(F.col("client").isNotNull())
+    check_partition(kept, [f"farm_{i:02d}" for i in range(len(farms))])
+    return kept
 
 
 def label_skew(df: DataFrame, label: str = BINARY_LABEL) -> DataFrame:

@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+
 from labelsieve.constants import DEVICE_COLUMN
-from labelsieve.operators import encoders
+from labelsieve.operators import clients, encoders
 from labelsieve.operators.splits import stratified_split
 from labelsieve.plans import evaluate, models, trees
 
@@ -52,3 +54,38 @@ def test_sweep_reads_only_the_folders_it_needs(spark, monkeypatch):
         assert len(test.inputFiles()) > 0 and train.count() + test.count() == 400
         assert card[f"lodo_{device}"].n_test == test.count() >= sum(r[DEVICE_COLUMN] == device for r in rows)
         assert card[f"lodo_{device}"].n_train == train.count()
+
+
+class Broken:
+    def __init__(self, **_):
+        pass
+
+    def fit(self, df):
+        raise ValueError("cannot be fitted")
+
+
+def test_cross_domain_lists_models_that_failed(spark):
+    df = spark.range(200).select(
+        F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("Attack_label"), (F.col("id") % 7).cast("double").alias("size")
+    )
+    target = df.select(F.col("Attack_label").alias("label"), F.col("size").alias("Size"))
+    specs = [models.get_model("GaussianNB"), models.Model("Broken", Broken, lambda p, n: {})]
+    rows = {r.model: r for r in evaluate.cross_domain(df, ["size"], "key", target, specs).collect()}
+    assert set(rows) == {"GaussianNB", "Broken"} and rows["GaussianNB"].problem is None
+    assert "cannot be fitted" in rows["Broken"].problem and rows["Broken"].in_domain_accuracy is None
+
+
+def test_partitioners_check_their_clients(spark, monkeypatch):
+    df = spark.range(60).select(
+        F.col("id").alias("key"), (F.col("id") % 3 == 0).cast("int").alias("Attack_label"),
+        F.when(F.col("id") % 3 == 0, "attack:X").otherwise(F.concat(F.lit("d"), F.col("id") % 2)).alias(DEVICE_COLUMN),
+    )
+    checked = []
+    check = clients.check_partition
+    monkeypatch.setattr(clients, "check_partition", lambda d, names: checked.append(sorted(names)) or check(d, names))
+    clients.partition_iid(df, 3, "key")
+    clients.partition_by_device(df, "key")
+    clients.partition_by_farm(df, [["d0"], ["d1"]], "key")
+    assert checked == [["client_00", "client_01", "client_02"], ["d0", "d1"], ["farm_00", "farm_01"]]
+    with pytest.raises(ValueError, match="without rows"):
+        check(df.withColumn("client", F.lit("a")), ["a", "b"])
