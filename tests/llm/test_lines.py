@@ -67,7 +67,32 @@ def test_nulls_repeats_clashes_and_empty(frame, spark):
 
 def test_winnowing_selects_a_shared_fingerprint(frame):
     shared = "\n".join(f"line {i} of a shared passage with words" for i in range(9))
-    docs = frame([(1, "x y\n" + shared), (2, shared + "\nz")])
-    found = materialise(lines.windows(docs))
-    prints = {d: {r.fingerprint for r in found.where(f"doc_id = {d}").collect()} for d in (1, 2)}
-    assert prints[1] & prints[2]
+    docs = frame([(1, "x y\n" + shared), (2, shared + "\nz"), (3, "\n".join(f"own words {i}" for i in range(40)))])
+    found = materialise(lines.positions(docs))
+    prints = {d: {r.fingerprint for r in found.where(f"doc_id = {d}").collect()} for d in (1, 2, 3)}
+    matched = lines.matched_positions(found).collect()
+    assert {r.fingerprint for r in matched} == prints[1] & prints[2] and prints[1] & prints[2]
+    assert prints[3] and {r.doc_id for r in matched} == {1, 2}
+
+
+def test_one_row_for_each_selected_position(frame):
+    text = "\n".join(f"line {i} of ten words or so a b c d" for i in range(200))
+    found = lines.positions(frame([(1, text)])).collect()
+    assert len({r.place for r in found}) == len(found) < 150
+    assert all(sum(x.w for x in r.before[:-1]) < lines.MIN_WORDS for r in found)
+
+
+def test_texts_under_one_id_are_different_documents(frame):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, f"a\n{passage}"), (7, f"{passage}\nb"), (8, f"c\n{passage}")]
+    kept = [r.text for r in lines.dedup_lines(frame(rows)).collect()]
+    assert sum(passage in text for text in kept) == 1 and "c" in kept
+
+
+def test_very_long_texts(frame):
+    passage = "\n".join(f"shared line {i} w w w w w w" for i in range(12))
+    own = ["\n".join(f"{d} own {i} x y z" for i in range(9000)) for d in (1, 2)]
+    docs = frame([(1, own[0] + "\n" + passage + "\n" + own[0]), (2, own[1] + "\n" + passage)])
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert got[1].text == own[0] + "\n" + passage and got[1].n_removed == 9000
+    assert got[2].text == own[1] and got[2].n_removed == 12
