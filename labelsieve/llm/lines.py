@@ -101,29 +101,32 @@ def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.transform(forward, lambda w: least(w["s"], w["k"])),
         F.transform(backward, lambda w: least(w["e"] - w["k"] + 1, w["k"])),
     )
-    cut = rows.select("*", F.explode(F.array_remove(chosen, 0)).alias("place"))
-    place = F.col("place")
 
     def around(words: Column, start: Column, left: Column) -> Column:
         """Lines until a window is full, or all that are left."""
         k = _reach(words, start, min_words)
         return F.when(k > 0, k).otherwise(left)
 
-    sized = computed(
-        cut,
-        ["doc_id", "text_hash", "h", "ls", "ats", "place"],
-        n_before=around(F.col("rs"), size - place + 2, place - 1),
-        n_after=around(F.col("ws"), place + 1, size - place),
-    )
-    begin = place - F.col("n_before")
-    found = computed(
-        sized,
-        ["doc_id", "text_hash", "place"],
-        fingerprint=F.element_at("h", place),
-        before=F.reverse(F.slice(F.col("ls"), begin, F.col("n_before"))),
-        after=F.slice(F.col("ls"), place, F.col("n_after") + 1),
-        at=F.slice(F.col("ats"), begin, F.col("n_before") + F.col("n_after") + 2),
-    )
+    def measured(place: Column) -> Column:
+        n_before = around(F.col("rs"), size - place + 2, place - 1)
+        n_after = around(F.col("ws"), place + 1, size - place)
+        return F.struct(place.alias("place"), n_before.alias("n_before"), n_after.alias("n_after"))
+
+    def selected(spot: Column) -> Column:
+        place, n_before, n_after = (spot[name] for name in ("place", "n_before", "n_after"))
+        return F.struct(
+            place.alias("place"),
+            F.element_at("h", place).alias("fingerprint"),
+            F.reverse(F.slice("ls", place - n_before, n_before)).alias("before"),
+            F.slice("ls", place, n_after + 1).alias("after"),
+            F.slice("ats", place - n_before, n_before + n_after + 2).alias("at"),
+        )
+
+    # surroundings are cut before rows are made of them, so that no row holds a whole document
+    kept = ["doc_id", "text_hash"]
+    spots = F.transform(F.array_remove(chosen, 0), measured)
+    sized = computed(rows, [*kept, "h", "ls", "ats"], spots=spots)
+    found = sized.select(*kept, F.inline(F.transform("spots", selected)))
     return found.withColumn("context", F.xxhash64("before.g", F.lit("|"), "after.g"))
 
 
