@@ -143,6 +143,19 @@ def _clients(partition):
     return lambda spark, folder: partition(_traffic(spark, folder)).select(KEY, "client")
 
 
+def partition_by_user(spark, folder):
+    """A device for every user, so that there are many."""
+    df = view(_events(spark, folder), USERS)
+    return clients.partition_by_device(df, KEY).select(KEY, "client")
+
+
+USERS = {
+    "event_id": "event_id",
+    "source_device": "CASE WHEN event_type = 'error' THEN 'attack:probe' ELSE 'user_' || user_id END",
+    "Attack_label": "CASE WHEN event_type = 'error' THEN '1' ELSE '0' END",
+}
+
+
 def label_skew(spark, folder):
     return rounded(clients.label_skew(clients.partition_by_device(_traffic(spark, folder), KEY)))
 
@@ -172,6 +185,7 @@ QUERIES = {
     "standardise": standardise,
     "partition_iid": _clients(lambda df: clients.partition_iid(df, 7, KEY)),
     "partition_by_device": _clients(lambda df: clients.partition_by_device(df, KEY)),
+    "partition_by_user": partition_by_user,
     "partition_by_farm": _clients(lambda df: clients.partition_by_farm(df, FARMS, KEY)),
     "label_skew": label_skew,
 }
@@ -274,6 +288,13 @@ round((user_id - (SELECT avg(user_id) FROM events WHERE event_type <> 'view'))
     "partition_iid": f"""SELECT event_id, 'client_' || lpad(''||({_chunk('r', 'n', 7)})::INTEGER, 2, '0') AS client
 FROM (SELECT event_id, row_number() OVER (ORDER BY {s.digest(KEY)}) AS r, count(*) OVER () AS n FROM events)""",
     "partition_by_device": f"SELECT event_id, client FROM ({_BY_DEVICE})",
+    "partition_by_user": f"""WITH base AS ({sql('events', USERS)}),
+devices AS (SELECT client, row_number() OVER (ORDER BY client) - 1 AS part
+FROM (SELECT DISTINCT source_device AS client FROM base WHERE NOT {_ATTACK})),
+attacks AS (SELECT event_id, row_number() OVER (ORDER BY {s.digest(KEY)}) AS r, count(*) OVER () AS n,
+(SELECT count(*) FROM devices) AS m FROM base WHERE {_ATTACK})
+SELECT event_id, client FROM attacks JOIN devices ON part = {_chunk('r', 'n', 'm')}
+UNION ALL SELECT event_id, source_device FROM base WHERE NOT {_ATTACK}""",
     "partition_by_farm": f"""SELECT event_id, 'farm_0' || CASE WHEN {_ATTACK} THEN ({_chunk('r', 'n', 2)})::INTEGER
 WHEN source_device = 'Modbus' THEN 1 ELSE 0 END AS client FROM ({_dealt(2)}) WHERE source_device <> 'Water_Level'""",
     "label_skew": f"""SELECT client, count(*) AS n_rows, round(avg("{LABEL}"::INTEGER), 6) AS attack_rate,

@@ -4,8 +4,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelsieve.constants import ATTACK_PREFIX, BINARY_LABEL, DEVICE_COLUMN, RANDOM_SEED
 from labelsieve.functions.columns import binary_label, col
-from labelsieve.operators.ranking import hash_cuts
+from labelsieve.operators.ranking import deal, hash_cuts, running_totals
 from labelsieve.operators.splits import part_ends
+from labelsieve.storage import materialise
+
+#: Clients without rows that an error names.
+NAMED = 20
 
 
 def _check(df: DataFrame) -> None:
@@ -38,25 +42,27 @@ def partition_iid(df: DataFrame, n_clients: int, key, *, seed=RANDOM_SEED) -> Da
     rows = df.count()
     if n_clients > rows:
         raise ValueError(f"{n_clients} clients for {rows} rows")
-    cuts = hash_cuts(df, key, part_ends(n_clients), seed=seed)
-    dealt = cuts.attach(df, "client").withColumn("client", _client_name("client", F.col("client")))
-    check_partition(dealt, [f"client_{i:02d}" for i in range(n_clients)])
+    numbered = df.sparkSession.range(n_clients)
+    takers = numbered.select(F.col("id").alias("part"), _client_name("client", F.col("id")).alias("client"))
+    dealt = deal(df, key, takers, "client", seed=seed)
+    check_partition(dealt, takers)
     return dealt
 
 
 def partition_by_device(df: DataFrame, key, *, seed=RANDOM_SEED) -> DataFrame:
-    """Add ``client``: the device of a normal row; attacks are dealt evenly."""
+    """Add ``client``: the device of a normal row; attacks are dealt evenly, in the devices' order.
+
+    The devices are a table throughout, so there may be any number of them.
+    """
     _check(df)
-    names = [
-        row[0]
-        for row in df.where(~_is_attack()).select(col(DEVICE_COLUMN)).distinct().orderBy(col(DEVICE_COLUMN)).collect()
-    ]
-    if not names:
+    devices = df.where(~_is_attack()).select(col(DEVICE_COLUMN).alias("client")).distinct()
+    takers = running_totals(devices.withColumn("n", F.lit(1)), "client", ["n"])
+    takers = materialise(takers.select((F.col("n_upto") - 1).alias("part"), "client"), "devices")
+    if takers.isEmpty():
         raise ValueError("the frame holds no normal device")
-    dealt = _deal_attacks(df, key, len(names), seed)
-    client = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("dealt_") + 1)
-    named = dealt.withColumn("client", F.when(_is_attack(), client).otherwise(col(DEVICE_COLUMN))).drop("dealt_")
-    check_partition(named, [name for name in names if name is not None])
+    dealt = deal(df, key, takers, "client", seed=seed, among=_is_attack())
+    named = dealt.withColumn("client", F.when(_is_attack(), F.col("client")).otherwise(col(DEVICE_COLUMN)))
+    check_partition(named, takers)
     return named
 
 
@@ -106,8 +112,13 @@ def label_skew(df: DataFrame, label: str = BINARY_LABEL) -> DataFrame:
 
 
 def check_partition(df: DataFrame, clients) -> None:
-    """Raise unless every named client has rows."""
-    filled = {row[0] for row in df.select("client").distinct().collect()}
-    empty = sorted(set(clients) - filled)
-    if empty or not filled:
+    """Raise unless every client has rows. ``clients`` are names, or a table of them as ``client``."""
+    filled = df.select("client").distinct()
+    if isinstance(clients, DataFrame):
+        empty = [row[0] for row in clients.join(filled, "client", "left_anti").select("client").limit(NAMED).collect()]
+        none = filled.isEmpty()
+    else:
+        found = {row[0] for row in filled.collect()}
+        empty, none = sorted(set(clients) - found), not found
+    if empty or none:
         raise ValueError(f"clients without rows: {empty}")

@@ -1,7 +1,8 @@
 """Exact global ranks without a global sort.
 
-Two tools. ``HashCuts`` finds the rows at given ranks of a hash order; a split
-or a deal then is a comparison with those few hashes, and no row is shuffled.
+Three tools. ``HashCuts`` finds the rows at given ranks of a hash order; a split
+then is a comparison with those few hashes, and no row is shuffled. ``deal`` cuts
+the order among any number of takers, with a table of cuts instead of literals.
 ``running_totals`` numbers an aggregated table along a real order, in ranges.
 """
 
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from labelsieve.functions.columns import col
 from labelsieve.functions.hashing import hash_hex, hash_unit
 from labelsieve.storage import join_small, materialise
 
@@ -17,6 +19,9 @@ SORT_ROWS = 1_000_000
 RANGE_ROWS = 500_000
 INLINE_CUTS = 256
 INLINE_PREFIXES = 64
+#: Rows and takers of one hash prefix of a deal, on average at most.
+DEALT_ROWS = 50_000
+DEALT_TAKERS = 16
 
 
 @dataclass(frozen=True)
@@ -188,6 +193,63 @@ def _sorted_inside(inside: DataFrame) -> list:
     return ranked.select("i", "s", "h", "following", F.explode(hits).alias("w")).select("*", "w.cut").drop("w").collect()
 
 
+def deal(df: DataFrame, key, takers: DataFrame, name: str, *, seed, among: Column = None) -> DataFrame:
+    """Add ``name``: the taker a row falls to when the hash order is cut into near-equal parts.
+
+    ``takers`` holds ``part`` (0, 1, …) and ``name``; larger parts come first. ``among`` says which
+    rows are dealt; the value of others has no meaning. A lookup table tells for each hash prefix
+    which takers its rows go to and from which hash on. It is joined on the prefix, so no
+    taker passes through the driver and the plan is of one size for any number of them. Only
+    hashes under prefixes that hold a cut are sorted, each prefix by itself.
+    """
+    hashed = (df if among is None else df.where(among)).select(hash_hex(key, seed).alias("h"))
+    parts = takers.count()
+    coarse = hashed.groupBy(F.substring("h", 1, PREFIX_DIGITS).alias("prefix")).agg(F.count("*").alias("n"))
+    rows = coarse.agg(F.sum("n").alias("n")).first().n or 0
+    digits = PREFIX_DIGITS
+    while 16**digits < max(rows / DEALT_ROWS, parts / DEALT_TAKERS):
+        digits += 1
+    hashed = hashed.withColumn("prefix", F.substring("h", 1, digits))
+    ranges = running_totals(hashed.groupBy("prefix").agg(F.count("*").alias("n")), "prefix", ["n"])
+    ranges = ranges.select(
+        "prefix", "n", (F.col("n_upto") - F.col("n")).alias("before"),
+        _part_of("n_upto - n + 1", rows, parts).alias("first"), _part_of("n_upto", rows, parts).alias("last"),
+    )
+    ranges = materialise(ranges, "prefixes")
+    if (ranges.agg(F.max("n").alias("n")).first().n or 0) > SORT_ROWS:
+        raise ValueError(f"key {key!r} is not unique: over {SORT_ROWS} rows share one value")
+
+    split = ranges.where("first < last").select("prefix", "before")
+    order = Window.partitionBy("prefix").orderBy("h")
+    ranked = join_small(hashed, split, "prefix").select(
+        "prefix", "h", (F.col("before") + F.row_number().over(order)).alias("r"), F.lag("h").over(order).alias("ahead")
+    )
+    part = _part_of("r", rows, parts)
+    repeated = F.raise_error(F.lit(f"key {key!r} is not unique")).cast("string")
+    start = F.when(F.col("h") == F.col("ahead"), repeated).otherwise(F.col("h"))
+    starts = ranked.where(F.col("ahead").isNotNull() & (part != _part_of("r - 1", rows, parts)))
+    starts = starts.select("prefix", start.alias("start"), part.alias("part"))
+    starts = starts.unionByName(ranges.select("prefix", F.lit("").alias("start"), F.col("first").alias("part")))
+    taken = join_small(starts, takers.select("part", col(name).alias("taker")), "part")
+    lookup = taken.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("start", "taker"))).alias("starts_"))
+    lookup = materialise(lookup.withColumnRenamed("prefix", "prefix_"), "deal")
+
+    h = hash_hex(key, seed)
+    looked = join_small(df.withColumns({"h_": h, "prefix_": F.substring(h, 1, digits)}), lookup, "prefix_", "left")
+    last = F.element_at(F.filter("starts_", lambda cut: cut["start"] <= F.col("h_")), -1)
+    return looked.select(*[col(c) for c in df.columns if c != name], last["taker"].alias(name))
+
+
+def _part_of(rank: str, rows: int, parts: int) -> Column:
+    """Which of the near-equal parts, larger ones first, the row of a 1-based rank is in."""
+    size, longer = divmod(rows, max(parts, 1))
+    ahead = longer * (size + 1)
+    return F.expr(
+        f"CASE WHEN {rank} <= {ahead} THEN ({rank} - 1) div {size + 1} "
+        f"ELSE {longer} + ({rank} - 1 - {ahead}) div {max(size, 1)} END"
+    )
+
+
 def running_totals(df: DataFrame, order: str, values, *, groups=()) -> DataFrame:
     """Add ``<value>_upto``: the total of ``value`` up to and including a row.
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelsieve import storage
+from labelsieve.constants import RANDOM_SEED
 from labelsieve.operators import clients, encoders, metrics, ranking, splits, summaries
 
 
@@ -72,6 +73,52 @@ def test_many_parts(rows, monkeypatch, inline):
     assert len(sizes) == 40 and sizes[0].client == "client_00" and {r.n_rows for r in sizes} == {125}
 
 
+def dealt_plainly(keys, takers):
+    """The taker of each key: the md5 order cut into near-equal parts, larger ones first."""
+    order = sorted(keys, key=lambda k: hashlib.md5(f"{RANDOM_SEED}:{k}".encode()).hexdigest())
+    size, longer = divmod(len(order), len(takers))
+    ends = [size + (i < longer) for i in range(len(takers))]
+    names = [name for name, n in zip(takers, ends) for _ in range(n)]
+    return dict(zip(order, names))
+
+
+@pytest.mark.parametrize("n,parts,digits", [(0, 3, 3), (7, 10, 3), (1000, 7, 3), (5000, 5000, 3), (5000, 700, 1)])
+def test_deal_equals_plain_cuts(spark, monkeypatch, n, parts, digits):
+    monkeypatch.setattr(ranking, "PREFIX_DIGITS", digits)
+    monkeypatch.setattr(ranking, "DEALT_TAKERS", 1 if n == 5000 else 16)
+    takers = spark.range(parts).select(F.col("id").alias("part"), F.format_string("t%05d", "id").alias("taker"))
+    df = spark.range(n).select("id", F.lit(None).cast("string").alias("a.b"))
+    dealt = ranking.deal(df, "id", takers, "taker", seed=RANDOM_SEED)
+    assert dealt.columns == ["id", "a.b", "taker"]
+    expected = dealt_plainly(range(n), [f"t{i:05d}" for i in range(parts)])
+    assert {r.id: r.taker for r in dealt.collect()} == expected
+
+
+def test_deal_refuses_repeated_keys(spark, monkeypatch):
+    takers = spark.range(2).select(F.col("id").alias("part"), F.col("id").cast("string").alias("taker"))
+    same = spark.range(100).select(F.lit(1).alias("id"))
+    with pytest.raises(Exception, match="not unique"):
+        ranking.deal(same, "id", takers, "taker", seed=1).collect()
+    monkeypatch.setattr(ranking, "SORT_ROWS", 50)
+    with pytest.raises(ValueError, match="not unique"):
+        ranking.deal(same, "id", takers, "taker", seed=1)
+
+
+def test_a_hundred_thousand_devices(spark):
+    def traffic(devices, rows):
+        normal = spark.range(devices).select("id", F.format_string("d%06d", "id").alias("source_device"), F.lit(0).alias("Attack_label"))
+        attacks = spark.range(1_000_000, 1_000_000 + rows).select("id", F.lit("attack:X").alias("source_device"), F.lit(1).alias("Attack_label"))
+        return normal.unionByName(attacks)
+
+    few = clients.partition_by_device(traffic(10, 1000), "id")
+    many = clients.partition_by_device(traffic(100_000, 250_000), "id")
+    plans = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (few, many)]
+    assert abs(plans[0] - plans[1]) < 100
+    sizes = many.groupBy("client").agg(F.count_if(F.col("Attack_label") == 1).alias("n")).groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in sizes} == {2: 50_000, 3: 50_000}
+    assert many.where("client = 'd000000' AND Attack_label = 1").count() == 3
+
+
 def test_more_parts_than_rows(spark, rows):
     few = rows.where("id < 3")
     assert clients.partition_iid(few, 3, "id").select("client").distinct().count() == 3

@@ -1,7 +1,7 @@
 """Codes of unseen tokens, and the device sweep over a written matrix."""
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 import pytest
 
@@ -82,10 +82,18 @@ def test_partitioners_check_their_clients(spark, monkeypatch):
     )
     checked = []
     check = clients.check_partition
-    monkeypatch.setattr(clients, "check_partition", lambda d, names: checked.append(sorted(names)) or check(d, names))
+
+    def noted(dealt, names):
+        plain = [row.client for row in names.collect()] if isinstance(names, DataFrame) else names
+        checked.append(sorted(plain))
+        check(dealt, names)
+
+    monkeypatch.setattr(clients, "check_partition", noted)
     clients.partition_iid(df, 3, "key")
     clients.partition_by_device(df, "key")
     clients.partition_by_farm(df, [["d0"], ["d1"]], "key")
     assert checked == [["client_00", "client_01", "client_02"], ["d0", "d1"], ["farm_00", "farm_01"]]
     with pytest.raises(ValueError, match="without rows"):
         check(df.withColumn("client", F.lit("a")), ["a", "b"])
+    with pytest.raises(ValueError, match="without rows: \\['b'\\]"):
+        check(df.withColumn("client", F.lit("a")), spark.createDataFrame([("a",), ("b",)], "client string"))
