@@ -32,6 +32,13 @@ def string_csv_scan(spark, folder):
     return tables.read_strings(spark, path, columns=["doc_id", "text", "lang", "source"], multiline=True)
 
 
+def string_csv_ranges(spark, folder):
+    """The same, each file read by many tasks."""
+    path = scratch_path(spark, "csv")
+    tables.write_strings(read(spark, folder, "documents"), path)
+    return tables.read_strings(spark, path, columns=["doc_id", "text", "lang", "source"], by_ranges=True)
+
+
 def capture_scan(spark, folder):
     """Events as CSV folders, one for each capture, scanned as text and attributed."""
     path = scratch_path(spark, "captures")
@@ -162,6 +169,7 @@ def label_skew(spark, folder):
 
 QUERIES = {
     "string_csv_scan": string_csv_scan,
+    "string_csv_ranges": string_csv_ranges,
     "attribution_join": attribution_join,
     "capture_scan": capture_scan,
     "source_counts": lambda spark, folder: splits.source_counts(read(spark, folder, "documents"), "source"),
@@ -232,6 +240,7 @@ _REFERER = f"SELECT event_id, \"http.referer\" AS token FROM ({_TRAFFIC})"
 
 ORACLES = {
     "string_csv_scan": f"SELECT doc_id::VARCHAR AS doc_id, {_missing('text')}, {_missing('lang')}, {_missing('source')} FROM documents",
+    "string_csv_ranges": f"SELECT doc_id::VARCHAR AS doc_id, {_missing('text')}, {_missing('lang')}, {_missing('source')} FROM documents",
     "capture_scan": f"""SELECT {', '.join(_missing(s.name(c)) for c in TRAFFIC if c not in (KEY, LABEL, 'Attack_type'))},
 event_id::VARCHAR AS event_id, "Attack_label"::INTEGER AS "Attack_label", "Attack_type", source_device, source_layer, capture,
 true AS first_copy FROM ({sql('events', TRAFFIC, PROVENANCE, CAPTURE)})""",

@@ -15,7 +15,8 @@ from labelsieve.constants import (
     SCENARIO_DEVICES,
 )
 from labelsieve.functions.columns import col, null_if_missing
-from labelsieve.sources.tables import csv_reader, read_header
+from labelsieve.sources.records import read_records
+from labelsieve.sources.tables import csv_reader, read_header, without_mark
 from labelsieve.storage import join_small
 
 STEM = "capture"
@@ -75,18 +76,27 @@ def attribute(df: DataFrame, dimension: DataFrame, stem: str = STEM) -> DataFram
     )
 
 
-def scan_captures(spark: SparkSession, paths, *, multiline: bool = False, by_folder: bool = False) -> DataFrame:
+def scan_captures(
+    spark: SparkSession, paths, *, multiline: bool = False, by_folder: bool = False, by_ranges: bool = False
+) -> DataFrame:
     """All captures in one scan, as text, with the file stem in ``capture``.
 
     A file with another header than the first ends the scan with an error.
     ``by_folder`` takes the name of the folder a file is in instead, after any
-    ``name=``: captures written as several files each.
+    ``name=``: captures written as several files each. ``by_ranges`` reads files
+    with line breaks inside quotes by many tasks, ``multiline`` by one each.
     """
     header = read_header(spark, paths[0])
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    scan = csv_reader(spark, multiline).schema(schema).csv(list(paths))
+    if by_ranges:
+        header = without_mark(header)
+        scan = read_records(spark, paths, header, path="path_")
+        path = F.url_decode(F.col("path_"))
+    else:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        scan = csv_reader(spark, multiline).schema(schema).csv(list(paths))
+        path = F.url_decode(F.col("_metadata.file_path"))
     if by_folder:
-        stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/=]*)/[^/]*$", 1)
+        stem = F.regexp_extract(path, r"([^/=]*)/[^/]*$", 1)
     else:
-        stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
+        stem = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"\.[^.]*$", "")
     return scan.select(*[null_if_missing(col(n)).alias(n) for n in header], stem.alias(STEM))

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from labelsieve.constants import BINARY_LABEL
 from labelsieve.functions.columns import col, null_if_missing, numeric
+from labelsieve.sources.records import BYTE_ORDER_MARK, read_records
 
-BYTE_ORDER_MARK = "\ufeff"
 #: Rows of a report that is written as one file.
 REPORT_ROWS = 100_000
 
@@ -30,22 +30,28 @@ def without_mark(header) -> list[str]:
 def read_strings(
     spark: SparkSession, paths, *, columns=None, limit: int = None, multiline: bool = False,
     missing: bool = True, skip_ragged: bool = False, trim_header: bool = False, label: str = BINARY_LABEL,
+    by_ranges: bool = False,
 ) -> DataFrame:
     """CSV with every column as text, so "0" and "0.0" stay apart.
 
     ``missing`` turns the usual spellings of a missing value into null.
     ``multiline`` admits line breaks inside quotes; such a file is read by one
-    task, so it is meant for captures that need it. ``skip_ragged`` leaves out
+    task. ``by_ranges`` admits them too and reads a file by many tasks, but
+    wants balanced quotes, see ``records.read_records``. ``skip_ragged`` leaves out
     records with the wrong number of fields. ``trim_header`` takes white space
     off the column names. A ``label`` column that is read must be numeric
     throughout.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = read_header(spark, paths[0])
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    mode = "DROPMALFORMED" if skip_ragged else "PERMISSIVE"
-    reader = csv_reader(spark, multiline).option("mode", mode).option("columnPruning", not skip_ragged)
-    df = reader.schema(schema).csv(paths)
+    if by_ranges:
+        df = read_records(spark, paths, without_mark(header), ragged="ragged_" if skip_ragged else "")
+        df = df.where("ragged_ IS NULL").drop("ragged_") if skip_ragged else df
+    else:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        mode = "DROPMALFORMED" if skip_ragged else "PERMISSIVE"
+        reader = csv_reader(spark, multiline).option("mode", mode).option("columnPruning", not skip_ragged)
+        df = reader.schema(schema).csv(paths)
     df = df.toDF(*[name.strip() if trim_header else name for name in without_mark(header)])
     absent = sorted(set(columns or ()) - set(df.columns))
     if absent:
