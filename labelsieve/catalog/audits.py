@@ -74,7 +74,32 @@ def onehot(spark, folder):
     return dummies.groupBy(*[F.col(f"`{n}`") for n in dummies.columns]).agg(F.count("*").alias("n"))
 
 
+#: Columns of long or many tokens: table, view, audited columns, key.
+WIDE = {
+    "audit_texts": (
+        "documents",
+        {"doc_id": "doc_id", "text": "text", "source": "source", "y": "CASE WHEN lang = 'en' THEN '1' ELSE '0' END"},
+        ("text", "source"), "doc_id",
+    ),
+    "audit_urls": (
+        "pages",
+        {"page_id": "page_id", "url": "url", "html": "html", "y": "CASE WHEN length(html) % 2 = 0 THEN '1' ELSE '0' END"},
+        ("url", "html"), "page_id",
+    ),
+    "audit_props": (
+        "events",
+        {"event_id": "event_id", "props": "props", "y": "CASE WHEN event_type = 'error' THEN '1' ELSE '0' END"},
+        ("props",), "event_id",
+    ),
+}
+
+
+def _wide(table, columns, audited, key):
+    return lambda spark, folder: rounded(audit.audit_columns(view(read(spark, folder, table), columns), audited, "y", key))
+
+
 QUERIES = {
+    **{name: _wide(*parts) for name, parts in WIDE.items()},
     "audit_summary": audit_summary,
     "token_contingency": lambda spark, folder: _line_counts(spark, folder),
     "token_purity": lambda spark, folder: rounded(c.token_purity(_line_counts(spark, folder))),
@@ -122,8 +147,8 @@ _LINE_COUNTS = s.counts(LINE_COLUMNS, _LINES, "y")
 _FEW = sql("lineitem", {k: LINES[k] for k in ("y", "returnflag", "discount", "mixed")})
 
 
-def _report(columns):
-    return f"""WITH {s.split_counts(columns, _TRAFFIC, LABEL, KEY)},
+def _report(columns, source=_TRAFFIC, label=LABEL, key=KEY):
+    return f"""WITH {s.split_counts(columns, source, label, key)},
 purity AS (SELECT "column", {s.PURITY} FROM counts GROUP BY "column"),
 {s.NMI}, {s.ACCURACY}, {s.ZEROS}
 SELECT list_position([{', '.join(s.text(n) for n in columns)}], "column")::BIGINT AS position, *
@@ -178,6 +203,7 @@ _ONEHOT = {
 }
 
 ORACLES = {
+    **{name: _report(audited, sql(table, columns), "y", key) for name, (table, columns, audited, key) in WIDE.items()},
     "audit_summary": f"""SELECT "column", n_tokens AS tokens, pure_normal_tokens, pure_attack_tokens, rows_separated,
 separation_rate, single_column_accuracy, nmi_with_label, coalesce(is_provenance_marker, false) AS provenance_marker
 FROM ({_report(CATEGORICAL)})""",

@@ -1,5 +1,7 @@
 """Queries of the preparation protocols, the benchmark build and the stream."""
 
+from pyspark.sql import functions as F
+
 from labelsieve.catalog import sqltext as s
 from labelsieve.catalog.audits import _TRAFFIC as TRAFFIC_SQL
 from labelsieve.catalog.fixtures import (
@@ -8,7 +10,7 @@ from labelsieve.catalog.fixtures import (
 from labelsieve.constants import ABSENT, IDENTIFIER_COLUMNS, RECIPE_DROP_COLUMNS
 from labelsieve.plans import benchmark, recipes
 from labelsieve.sources import captures
-from labelsieve.storage import materialise, scratch_path
+from labelsieve.storage import join_small, materialise, scratch_path
 from labelsieve.streaming import incremental, tiers
 
 KEY = "event_id"
@@ -39,6 +41,30 @@ def _features(prepare):
     return lambda spark, folder: rounded(prepare(_table(spark, folder)).frame.drop(recipes.ROW_KEY))
 
 
+#: Documents as a table to prepare, with whole texts as tokens; the two numbers are not null.
+DOCUMENTS = {
+    "doc_id": "doc_id",
+    "n_chars": "n_chars",
+    "http.request.method": "lang",
+    "http.referer": "text",
+    "mqtt.topic": "source",
+    "Attack_label": "CASE WHEN lang = 'en' THEN '1' ELSE '0' END",
+    "Attack_type": "source",
+}
+DOCUMENT_DUMMIES = tuple(name for name in CATEGORICAL if name in DOCUMENTS)
+
+
+def prepare_readme_vector(spark, folder):
+    """The vector form over tokens of any number: one row for each entry of a document's vector."""
+    prepared = recipes.prepare_readme(view(read(spark, folder, "documents"), DOCUMENTS), vector=True)
+    entries = F.map_from_arrays("v.indices", "v.values")
+    rows = prepared.frame.select("Attack_label", F.unwrap_udt("features").alias("v"))
+    rows = rows.select(F.coalesce(F.try_element_at(entries, F.lit(0)), F.lit(0.0)).alias("doc_id"),
+                       "Attack_label", F.explode(entries).alias("slot", "weight"))
+    named = prepared.levels.select("slot", "column")
+    return join_small(rows, named, "slot", "left").select("doc_id", "Attack_label", "slot", "weight", "column")
+
+
 def build_benchmark(spark, folder):
     return _benchmark(spark, folder)
 
@@ -85,6 +111,7 @@ def streaming_audit_stateful(spark, folder):
 QUERIES = {
     "prepare_readme": _features(recipes.prepare_readme),
     "prepare_readme_notes": _notes(recipes.prepare_readme),
+    "prepare_readme_vector": prepare_readme_vector,
     "prepare_clean": _features(recipes.prepare_clean),
     "prepare_clean_notes": _notes(recipes.prepare_clean),
     "build_benchmark": build_benchmark,
@@ -157,6 +184,17 @@ ORACLES = {
         "dummy_columns": f"'{','.join(CATEGORICAL)}'",
         "n_dummy_features": f"'{_N_README}'",
     }),
+    "prepare_readme_vector": f"""WITH base AS (SELECT DISTINCT * FROM ({sql('documents', DOCUMENTS)})
+WHERE {' AND '.join(f'{s.name(c)} IS NOT NULL' for c in DOCUMENTS)}),
+entries AS (SELECT *, 0 AS slot, doc_id::DOUBLE AS weight, NULL AS "column" FROM base WHERE doc_id <> 0
+UNION ALL SELECT *, 1, n_chars, NULL FROM base WHERE n_chars <> 0
+{' '.join(
+    f"UNION ALL SELECT *, 1 + {' + '.join(['0', *(f'(SELECT count(DISTINCT {s.name(b)}) FROM base)' for b in DOCUMENT_DUMMIES[:i])])}"
+    f" + dense_rank() OVER (ORDER BY {s.name(c)}), 1.0, '{c}' FROM base"
+    for i, c in enumerate(DOCUMENT_DUMMIES)
+)})
+SELECT doc_id::DOUBLE AS doc_id, "Attack_label"::INTEGER AS "Attack_label", slot::INTEGER AS slot, weight::DOUBLE AS weight, "column"
+FROM entries""",
     "prepare_clean": f"""SELECT {', '.join(_HEAD + _NUMERIC + _dummies(_CLEAN_LEVELS))},
 {s.structural(s.name('http.request.version'), 'http.request.version')} FROM ({_CLEAN_ROWS})""",
     "prepare_clean_notes": _note_rows({

@@ -51,6 +51,25 @@ def capture_scan(spark, folder):
     return keyed.withColumn("first_copy", F.col("key_").endswith(":1")).drop("key_")
 
 
+#: Columns that the files of attacks, and of devices, lack.
+LACKING = {"attacks": ("frame.time", "tcp.len"), "devices": ("mqtt.topic",)}
+
+
+def capture_union(spark, folder):
+    """Captures of devices and attacks with different columns in one table, attributed."""
+    path = scratch_path(spark, "captures")
+    rows = view(_events(spark, folder), TRAFFIC, CAPTURE)
+    attacked = F.col("capture").isin(*ATTACKS)
+    for name, part in (("attacks", rows.where(attacked)), ("devices", rows.where(~attacked))):
+        kept = part.drop(*LACKING[name], "Attack_label", "Attack_type")
+        kept.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
+                           ignoreTrailingWhiteSpace=False).partitionBy("capture").csv(f"{path}/{name}")
+    paths = [f"{path}/devices/capture={stem}" for stem in DEVICES] + [f"{path}/attacks/capture={stem}" for stem in ATTACKS]
+    scanned = captures.scan_unlike_captures(spark, paths, by_folder=True)
+    dimension = captures.catalogue(spark, captures.device_rows(DEVICES) + captures.attack_rows(ATTACKS))
+    return captures.attribute(scanned, dimension)
+
+
 def attribution_join(spark, folder):
     df = view(_events(spark, folder), {"event_id": "event_id"}, CAPTURE)
     dimension = captures.catalogue(spark, captures.device_rows(DEVICES) + captures.attack_rows(ATTACKS))
@@ -172,6 +191,7 @@ QUERIES = {
     "string_csv_ranges": string_csv_ranges,
     "attribution_join": attribution_join,
     "capture_scan": capture_scan,
+    "capture_union": capture_union,
     "source_counts": lambda spark, folder: splits.source_counts(read(spark, folder, "documents"), "source"),
     "binary_label_default": binary_label_default,
     "binary_label_custom": binary_label_custom,
@@ -244,6 +264,14 @@ ORACLES = {
     "capture_scan": f"""SELECT {', '.join(_missing(s.name(c)) for c in TRAFFIC if c not in (KEY, LABEL, 'Attack_type'))},
 event_id::VARCHAR AS event_id, "Attack_label"::INTEGER AS "Attack_label", "Attack_type", source_device, source_layer, capture,
 true AS first_copy FROM ({sql('events', TRAFFIC, PROVENANCE, CAPTURE)})""",
+    "capture_union": "SELECT " + ", ".join(
+        f"CASE WHEN {'NOT ' * (c in LACKING['attacks'])}({_ATTACK}) THEN {s.name(c)} END AS {s.name(c)}"
+        if c in (*LACKING["attacks"], *LACKING["devices"]) else s.name(c)
+        for c in TRAFFIC if c not in (KEY, LABEL, "Attack_type")
+    ) + f""", event_id, "Attack_label", "Attack_type", source_device, source_layer, capture FROM (
+SELECT {', '.join(_missing(s.name(c)) for c in TRAFFIC if c not in (KEY, LABEL, 'Attack_type'))},
+event_id::VARCHAR AS event_id, "Attack_label"::INTEGER AS "Attack_label", "Attack_type", source_device, source_layer, capture
+FROM ({sql('events', TRAFFIC, PROVENANCE, CAPTURE)}))""",
     "attribution_join": f"""SELECT event_id, capture, "Attack_label"::INTEGER AS "Attack_label", "Attack_type", source_device, source_layer
 FROM ({sql('events', TRAFFIC, PROVENANCE, CAPTURE)})""",
     "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",

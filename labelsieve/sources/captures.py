@@ -1,5 +1,7 @@
 """Raw captures: one CSV per device or attack, attributed by file name."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from labelsieve.constants import (
@@ -76,6 +78,19 @@ def attribute(df: DataFrame, dimension: DataFrame, stem: str = STEM) -> DataFram
     )
 
 
+def scan_unlike_captures(spark: SparkSession, paths, **options) -> DataFrame:
+    """Captures whose files have different columns: all columns by name, null where a file lacks one.
+
+    One scan for each header there is, with the ``options`` of ``scan_captures``. ``capture`` comes last.
+    """
+    alike = {}
+    for path in paths:
+        alike.setdefault(tuple(read_header(spark, path)), []).append(path)
+    scans = [scan_captures(spark, group, **options) for group in alike.values()]
+    union = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
+    return union.select(*[col(n) for n in union.columns if n != STEM], STEM)
+
+
 def scan_captures(
     spark: SparkSession, paths, *, multiline: bool = False, by_folder: bool = False, by_ranges: bool = False
 ) -> DataFrame:
