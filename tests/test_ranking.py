@@ -73,6 +73,16 @@ def test_many_parts(rows, monkeypatch, inline):
     assert len(sizes) == 40 and sizes[0].client == "client_00" and {r.n_rows for r in sizes} == {125}
 
 
+@pytest.mark.parametrize("inline", [256, 5])
+def test_many_folds(rows, monkeypatch, inline):
+    monkeypatch.setattr(ranking, "INLINE_CUTS", inline)
+    folded = splits.kfold_assign(rows, "id", "y", n_splits=40, n_repeats=1)
+    sizes = folded.groupBy("y", "fold_0").count().collect()
+    for label in (0, 1):
+        counts = [r["count"] for r in sizes if r.y == label]
+        assert len(counts) == 40 and max(counts) - min(counts) <= 1
+
+
 def dealt_plainly(keys, takers):
     """The taker of each key: the md5 order cut into near-equal parts, larger ones first."""
     order = sorted(keys, key=lambda k: hashlib.md5(f"{RANDOM_SEED}:{k}".encode()).hexdigest())
