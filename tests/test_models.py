@@ -296,3 +296,21 @@ def test_perceptron_keeps_the_best_round(table):
     assert model.transform(df).count() == 300
     whole = perceptron.WatchedPerceptron(featuresCol="features", labelCol="label", layers=[4, 3, 2], maxIter=3, holdout=0.0)
     assert whole.fit(df).losses == ()
+
+
+def test_large_forests_stay_a_table(table):
+    """A forest too large for the driver scores from its table as a small one does from memory."""
+    x, y = sample(500, 11, noise=0.4)
+    df = table(x, y)
+    options = {"featuresCol": "features", "labelCol": "label", "numTrees": 6, "bootstrap": True, "sqrtFeatures": True, "seed": 3}
+    for cells in (1 << 24, 800):  # grown whole, and in phases
+        here = trees.Forest(**options, taskCells=cells).fit(df)
+        stored = trees.Forest(**options, taskCells=cells, modelBytes=100).fit(df)
+        assert isinstance(here, trees.ForestModel) and isinstance(stored, trees.StoredForest)
+        assert len(set(stored.cohorts().values())) > 1
+        assert not any(len(upper[0]) > 100 for upper in stored.uppers)
+        twice = df.union(df.where("row_id < 3"))  # rows that repeat are scored one by one
+        assert stored.transform(twice).count() == 503
+        found = predicted(stored, df)
+        assert {i: r.p for i, r in predicted(here, df).items()} == {i: r.p for i, r in found.items()}
+        assert stored.transform(df.where("false")).count() == 0
