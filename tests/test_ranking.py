@@ -244,3 +244,16 @@ def test_lodo_draw_tells_every_side(rows):
     for device in ("d0", "d1"):
         split = {r.id: r.split for r in splits.lodo_split(rows, device, "id", "y").collect()}
         assert split == {r.id: "test" if r.attack_drawn or r.source_device == device else "train" for r in drawn}
+
+
+def test_running_totals_over_rows(spark, monkeypatch):
+    """The order may be a struct, such as a key of several columns, of which some are null."""
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 40)
+    key = F.struct((F.col("id") % 23).alias("k0"), F.when(F.col("id") % 10 > 0, F.concat(F.lit("t"), "id")).alias("k1"), F.col("id").alias("k2"))
+    df = spark.range(1000).select("id", key.alias("v"), (F.col("id") % 5).alias("n"))
+    got = {r.id: r.n_upto for r in ranking.running_totals(df, "v", ["n"]).collect()}
+    total, expected = 0, {}
+    for i in sorted(range(1000), key=lambda i: (i % 23, f"t{i}" if i % 10 else "", i)):
+        total += i % 5
+        expected[i] = total
+    assert got == expected
