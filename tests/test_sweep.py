@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 import pytest
 
 from labelsieve.constants import DEVICE_COLUMN
+from labelsieve.functions.hashing import hash_unit
 from labelsieve.operators import clients, encoders
-from labelsieve.operators.splits import stratified_split
-from labelsieve.plans import evaluate, models, trees
+from labelsieve.operators.splits import lodo_draw, stratified_split
+from labelsieve.plans import benchmark, evaluate, models, trees
 
 
 def test_codes_are_answered_as_a_tree_answers_them(spark):
@@ -97,3 +98,19 @@ def test_partitioners_check_their_clients(spark, monkeypatch):
         check(df.withColumn("client", F.lit("a")), ["a", "b"])
     with pytest.raises(ValueError, match="without rows: \\['b'\\]"):
         check(df.withColumn("client", F.lit("a")), spark.createDataFrame([("a",), ("b",)], "client string"))
+
+
+def test_a_sample_under_the_draws_hash_keeps_attacks_to_train_on(spark):
+    """Sample and draw share a hash; a sample no larger than the draw would be drawn whole."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("key"), F.when(F.col("id") % 2 == 0, "attack:XSS").otherwise("d0").alias(DEVICE_COLUMN)
+    )
+    for share in (0.1, 0.5):
+        sampled = rows.where(hash_unit("key", 42) < share)
+        seed = benchmark.draw_seed(sampled, "key", 0.2, 42, 42)
+        assert (seed == 42) == (share > 0.2)  # as before wherever some attack is left
+        drawn = lodo_draw(sampled, "key", attack_fraction=0.2, seed=seed).where(F.col(DEVICE_COLUMN) != "d0")
+        found = drawn.agg(F.avg(F.col("attack_drawn").cast("int"))).first()[0]
+        assert 0.1 < found < 0.5
+    assert benchmark.draw_seed(rows, "key", 0.2, 7, 42) == 7
+    assert benchmark.draw_seed(rows.where("key % 2 = 1"), "key", 0.2, 42, 42) == 42
