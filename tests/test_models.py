@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -314,3 +315,18 @@ def test_large_forests_stay_a_table(table):
         found = predicted(stored, df)
         assert {i: r.p for i, r in predicted(here, df).items()} == {i: r.p for i, r in found.items()}
         assert stored.transform(df.where("false")).count() == 0
+
+
+def test_boosting_in_a_task_moves_every_margin():
+    """Margins are moved leaf by leaf, as walking the tree with each row does; bins come from Arrow's buffers."""
+    draw = np.random.default_rng(4)
+    bins, y = draw.integers(0, 9, (400, 3)).astype(np.uint8), draw.integers(0, 2, 400).astype(float)
+    how = boosting.Boosting(leaves=6, least_rows=5, seed=1)
+    here = boosting.Here(bins, y, boosting.held(np.arange(400), how), 9, 0.25)
+    tree = boosting.best_first(here, how)
+    here.add(tree)
+    packed = tree.packed()
+    assert len(packed[0]) > 5 and (here.margin == 0.25 + packed[3][trees.leaf_of(packed, bins)]).all()
+    rows = pa.array([row.tobytes() for row in bins], pa.binary())
+    column = pa.chunked_array([rows.slice(30, 50), rows.slice(0, 0), rows.slice(200, 7)])
+    assert (boosting.unpacked(column, 3) == np.concatenate([bins[30:80], bins[200:207]])).all()
