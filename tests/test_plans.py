@@ -229,3 +229,11 @@ def test_vector_form_lists_its_slots(traffic):
     width = prepared.notes["n_features"]
     assert slots == list(range(width - prepared.notes["n_dummy_features"], width))
     assert not prepared.frame.schema["features"].metadata
+
+
+def test_vector_form_lists_its_slots_without_the_rows(traffic):
+    """Slots come from the ranked tokens; the rows are not joined again for them."""
+    prepared = recipes.prepare_readme(traffic, vector=True)
+    assert "Join" not in prepared.levels._jdf.queryExecution().optimizedPlan().toString()
+    tokens = [(r["column"], r.token) for r in prepared.levels.collect()]
+    assert len(tokens) == len(set(tokens)) == prepared.notes["n_dummy_features"]
