@@ -299,6 +299,45 @@ def test_perceptron_keeps_the_best_round(table):
     assert whole.fit(df).losses == ()
 
 
+def test_perceptron_trains_as_spark_ml_does_without_its_fit(table, monkeypatch):
+    """The weights are those of Spark ML's own training, which sees no more than the row that a model is made with."""
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(512, 4))
+    y = (np.sin(3 * x[:, 0]) + draw.normal(size=512) * 0.5 > 0).astype(float)
+    df, options = table(x, y).coalesce(1), {"layers": [4, 8, 5, 2], "maxIter": 14, "seed": 3}
+    theirs = perceptron.MultilayerPerceptronClassifier(**options).fit(df)
+    seen, fit = [], perceptron.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(
+        perceptron.MultilayerPerceptronClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows)
+    )
+    made = perceptron.WatchedPerceptron(featuresCol="features", labelCol="label", holdout=0.0, **options)
+    ours = made.fit(df)
+    assert max(seen) == 1
+    assert ours.model.weights.toArray() == pytest.approx(theirs.weights.toArray(), rel=1e-6, abs=1e-6)
+    first, last = theirs.summary().objectiveHistory[0], theirs.summary().objectiveHistory[-1]
+    assert last < first
+    blocks = perceptron.packed(df, "features", "label", 4, 2)
+    weights = ours.model.weights.toArray()
+    found = []
+    for tasks, fan in ((1, 64), (5, 64), (5, 2)):  # in one task, in some, and with a stage that adds their sums
+        monkeypatch.setattr(perceptron, "FAN", fan)
+        found.append(perceptron.Objective(blocks, [4, 8, 5, 2], tasks)(weights))
+        assert found[-1][0] == pytest.approx(last, rel=1e-8)
+        assert found[-1][1] == pytest.approx(found[0][1], abs=1e-12)
+
+
+def test_perceptron_refuses_rows_that_tell_nothing(table):
+    x, y = np.zeros((20, 2)), np.arange(20) % 2.0
+    made = perceptron.WatchedPerceptron(featuresCol="features", labelCol="label", layers=[2, 3, 2], maxIter=2, holdout=0.0)
+    for bad in ({"x": np.nan}, {"x": np.inf}, {"y": 2.0}, {"y": 0.5}):
+        x_bad, y_bad = x.copy(), y.copy()
+        x_bad[7, 1], y_bad[7] = bad.get("x", 0.0), bad.get("y", y[7])
+        with pytest.raises(Exception, match="a training row"):
+            made.fit(table(x_bad, y_bad))
+    with pytest.raises(Exception, match="a training row"):
+        made.fit(table(np.zeros((20, 3)), y))
+
+
 def test_large_forests_stay_a_table(table):
     """A forest too large for the driver scores from its table as a small one does from memory."""
     x, y = sample(500, 11, noise=0.4)
