@@ -369,3 +369,57 @@ def test_boosting_in_a_task_moves_every_margin():
     rows = pa.array([row.tobytes() for row in bins], pa.binary())
     column = pa.chunked_array([rows.slice(30, 50), rows.slice(0, 0), rows.slice(200, 7)])
     assert (boosting.unpacked(column, 3) == np.concatenate([bins[30:80], bins[200:207]])).all()
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 400])
+def test_forest_shuffles_no_row_for_its_trees(table, monkeypatch, cells):
+    """Training rows are written once; what the trees are finished from reads them without an exchange."""
+    x, y = sample(600, 13)
+    plans, write = {}, trees.materialise
+
+    def spied(df, label="frame"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(trees, "materialise", spied)
+    options = {"featuresCol": "features", "labelCol": "label", "numTrees": 5, "bootstrap": True, "taskCells": cells}
+    df = table(x, y)
+    made = trees.Forest(**options).fit(df)
+    assert "Exchange" not in plans["subtrees"]
+    score = made.score(x)
+    expected = np.zeros(600)
+    for tree in range(5):
+        packed = trees.grown(trees.Coded.of(x), y, trees.drawn(np.arange(600), tree, 0), trees.Growth())
+        expected += packed[3][trees.leaf_of(packed, x)] / 5
+    if cells > 400:
+        assert score == pytest.approx(expected)
+    assert np.corrcoef(score, expected)[0, 1] > 0.8
+
+
+def test_stored_forests_send_few_copies_of_many_rows():
+    """Rows go to one cohort where the model is small beside them, and in parts that keep the tasks busy."""
+    sizes = {(tree, 0): 1_000_000 for tree in range(100)}
+    made = trees.StoredForest("features", [trees.Tree().packed()] * 100, None, sizes)
+    homes, parts = made.layout(30_000_000, 4)
+    assert set(homes) == set(sizes) and len(set(homes.values())) == 1 and parts >= trees.SCORERS
+    homes, parts = made.layout(10_000, 4)
+    assert len(set(homes.values())) * parts >= trees.SCORERS and parts == 1
+
+
+def test_cells_are_counted_alike_by_number_and_by_order(monkeypatch):
+    """The best cuts are the same whether rows are counted in cells or sorted, with keys of 32 bits or of 64."""
+    x, y = sample(3000, 14)
+    weight = trees.drawn(np.arange(3000), 0, 1)
+    coded = trees.Coded.of(np.hstack([x, np.arange(3000.0)[:, None]]))
+    for draw in (0, 2):
+        counted = trees.grown(coded, y, weight, trees.Growth(draw=draw, seed=1))
+        with monkeypatch.context() as patch:
+            patch.setattr(trees, "HALF", 0)
+            ordered = trees.grown(coded, y, weight, trees.Growth(draw=draw, seed=1))
+        for one, two in zip(counted, ordered, strict=True):
+            assert len(one) > 100 and (one == two).all()
+    for bad in ({"w": 0.5}, {"w": 300.0}, {"y": 2.0}):
+        w, label = np.ones(9), np.zeros(9)
+        w[3], label[3] = bad.get("w", 1.0), bad.get("y", 0.0)
+        with pytest.raises(ValueError):
+            trees.grow(x[:9], label, w, trees.Growth())
