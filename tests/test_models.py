@@ -423,3 +423,37 @@ def test_cells_are_counted_alike_by_number_and_by_order(monkeypatch):
         w[3], label[3] = bad.get("w", 1.0), bad.get("y", 0.0)
         with pytest.raises(ValueError):
             trees.grow(x[:9], label, w, trees.Growth())
+
+
+def test_perceptron_looks_at_no_weights_twice():
+    """A round goes on from the loss and slope that the last one ended with."""
+    seen = []
+
+    class Bowl:
+        def __call__(self, weights):
+            seen.append(weights.copy())
+            return float(((weights - 3) ** 4).sum()), 4 * (weights - 3) ** 3
+
+        def loss(self, weights):
+            return float(((weights - 3) ** 4).sum())
+
+    how = perceptron.Rounds(12, 3, 2, 0.0)
+    weights, losses, best = perceptron.trained(Bowl(), Bowl(), np.array([0.0, 1.0]), how)
+    assert len(losses) == 4 and losses == sorted(losses, reverse=True) and best == 3
+    assert len({w.tobytes() for w in seen}) == len(seen) > 12
+
+
+def test_perceptron_in_one_task_is_the_distributed_one(table, monkeypatch):
+    """Few rows are trained on by one task, with the same weights; predictions are those of Spark ML's model."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(400, 4))
+    y = (np.sin(3 * x[:, 0]) + draw.normal(size=400) * 0.5 > 0).astype(float)
+    df, options = table(x, y).coalesce(1), {"featuresCol": "features", "labelCol": "label", "layers": [4, 6, 2], "maxIter": 9, "step": 3, "seed": 2}
+    spread = perceptron.WatchedPerceptron(**options, allWork=0).fit(df)
+    monkeypatch.setattr(perceptron, "Objective", None)
+    here = perceptron.WatchedPerceptron(**options).fit(df)
+    assert here.losses == pytest.approx(spread.losses, rel=1e-9) and here.best == spread.best
+    assert here.model.weights.toArray() == pytest.approx(spread.model.weights.toArray(), rel=1e-7, abs=1e-7)
+    theirs, ours = predicted(here.model, df), predicted(here, df)
+    assert {i: r.prediction for i, r in ours.items()} == {i: r.prediction for i, r in theirs.items()}
+    assert {i: r.p for i, r in ours.items()} == {i: pytest.approx(r.p) for i, r in theirs.items()}
