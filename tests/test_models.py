@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from labelsieve.plans import bayes, boosting, perceptron, trees
+from labelsieve.plans import bayes, boosting, evaluate, models, perceptron, trees
 
 
 @pytest.fixture(scope="module")
@@ -457,3 +457,18 @@ def test_perceptron_in_one_task_is_the_distributed_one(table, monkeypatch):
     theirs, ours = predicted(here.model, df), predicted(here, df)
     assert {i: r.prediction for i, r in ours.items()} == {i: r.prediction for i, r in theirs.items()}
     assert {i: r.p for i, r in ours.items()} == {i: pytest.approx(r.p) for i, r in theirs.items()}
+
+
+def test_suites_start_perceptrons_first_and_in_one_task(spark, monkeypatch):
+    """Beside other fits a perceptron takes its steps in one task up to more work; given settings stay."""
+    asked = {}
+    monkeypatch.setattr(evaluate, "PARALLEL_FITS", 1)
+    monkeypatch.setattr(evaluate, "MOST_FITS", 1)
+    monkeypatch.setattr(evaluate.Runs, "try_fit", lambda self, spec, *args, **settings: asked.update({spec.name: settings}))
+    jobs = [(models.get_model(n), None, None, "p", "s", {"seed": 1} if n == "MLP" else {}) for n in ["DecisionTree", "MLP", "DeepMLP"]]
+    evaluate.Runs.start(spark).fit_all(iter(jobs))
+    assert list(asked) == ["MLP", "DeepMLP", "DecisionTree"]
+    assert asked == {"MLP": {"allWork": perceptron.ALL_WORK, "seed": 1}, "DeepMLP": {"allWork": perceptron.ALL_WORK}, "DecisionTree": {}}
+    monkeypatch.setattr(evaluate, "PARALLEL_FITS", 8)
+    evaluate.Runs.start(spark).fit_all(jobs)
+    assert asked["MLP"]["allWork"] == 3 * perceptron.ALL_WORK
